@@ -4,6 +4,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,18 +65,20 @@ def components(edges: DataFrame) -> DataFrame:
     return names.join(smallest, "to").select("id", "component")
 
 
-def union_find(n: int, a, b) -> list[int]:
-    """Roots of 0..n-1 after joining the pairs; the root is the smallest member."""
-    up = list(range(n))
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for x, y in zip(a, b, strict=True):
-        x, y = root(x), root(y)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-    return [root(x) for x in range(n)]
+def roots(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For every position the smallest id it is joined to by the pairs of positions (x, y)."""
+    order = np.argsort(ids, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    x, y, name = place[x], place[y], np.arange(len(ids))
+    while True:
+        low = np.minimum(name[x], name[y])
+        new = name.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        np.minimum.at(new, name[x], low)  # roots follow, so that long chains take few rounds
+        np.minimum.at(new, name[y], low)
+        new = new[new]
+        if (new == name).all():
+            return ids[order][name][place]
+        name = new

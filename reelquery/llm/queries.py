@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquery.llm import language, pieces, secrets
+from reelquery.llm import language, licenses, mixing, multiindex, ngrams, pieces, secrets, topk
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -18,6 +18,10 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode(docs, public_tokenizers.path(TOKENIZER)).drop("text"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(licenses.recognise(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
 
@@ -29,5 +33,27 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
-QUERIES = {"op1_pieces": op1_pieces, "op3_secrets": op3_secrets, "op4_language": op4_language}
-ORACLE: dict[str, str] = {}
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.valid(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors.filter("vec_id % 50 = 0"), vectors)
+
+
+def op6_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+MIX = ((1, 2), 2, 42)
+
+
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), *MIX)
+    none = F.lit(mixing.NONE)
+    return out.select("doc_id", "epoch", F.col("mix_tokens").alias("n_tokens"), F.coalesce("lang", none).alias("lang"), F.coalesce("source", none).alias("source"))
+
+
+def op10_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op5_topk": op5_topk, "op6_multiindex": op6_multiindex, "op2_licenses": op2_licenses, "op7_mix": op7_mix, "op10_ngrams": op10_ngrams, "op1_pieces": op1_pieces, "op3_secrets": op3_secrets, "op4_language": op4_language}
+ORACLE = {"op2_licenses": licenses.oracle_sql(), "op7_mix": mixing.oracle_sql(*MIX)}
