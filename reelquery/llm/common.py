@@ -1,6 +1,7 @@
 """Shared working tables and graph components."""
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,12 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Lets Spark delete the shuffle files of what has been written out and is no longer referred to."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``(a long, b long)``: ``(id, component)`` with the smallest id reachable.
 

@@ -23,7 +23,6 @@ Null texts have no lines and stay null.  A null doc_id comes after all others.
 their lines: of repeated rows, all keep or lose the same lines.  Columns ``lines_total`` and ``lines_removed`` are replaced.
 """
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelquery.llm.common import saved
+from reelquery.llm.common import release, saved
 from reelquery.llm.ngrams import _mixed, grouped, word_hashes
 
 LEAST, MANY, PAIRWISE = 8, 4, 8
@@ -218,12 +217,6 @@ def _doc() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
 
 
-def release(df: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of what has been written out and is no longer referred to."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(doc, gone array<struct<ln, h>>)``: the lines to be removed from the rows of a doc_id, if any."""
     parts = docs.select(_doc().alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("ln", "line"))

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquery.llm import language, licenses, lines, mixing, multiindex, ngrams, pieces, secrets, topk
+from reelquery.llm import language, licenses, lines, mixing, multiindex, ngrams, pieces, secrets, suffixes, topk
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -51,6 +51,10 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "epoch", F.col("mix_tokens").alias("n_tokens"), F.coalesce("lang", none).alias("lang"), F.coalesce("source", none).alias("source"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(suffixes.cut(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("lines_total").alias("n_lines"), F.col("lines_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -60,5 +64,5 @@ def op10_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op9_lines": op9_lines, "op5_topk": op5_topk, "op6_multiindex": op6_multiindex, "op2_licenses": op2_licenses, "op7_mix": op7_mix, "op10_ngrams": op10_ngrams, "op1_pieces": op1_pieces, "op3_secrets": op3_secrets, "op4_language": op4_language}
+QUERIES = {"op8_suffixes": op8_suffixes, "op9_lines": op9_lines, "op5_topk": op5_topk, "op6_multiindex": op6_multiindex, "op2_licenses": op2_licenses, "op7_mix": op7_mix, "op10_ngrams": op10_ngrams, "op1_pieces": op1_pieces, "op3_secrets": op3_secrets, "op4_language": op4_language}
 ORACLE = {"op2_licenses": licenses.oracle_sql(), "op7_mix": mixing.oracle_sql(*MIX)}
