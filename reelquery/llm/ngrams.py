@@ -326,8 +326,11 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that remain when one document of each group stays: the one with the smallest doc_id.
 
-    Of rows that share an id and are otherwise equal, one stays.
+    Of equal rows that share an id one stays.  Rows without an id, or with a text without words, all stay.
     """
-    judged = near_duplicates(docs, text)
-    gone = judged.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    judged = saved(near_duplicates(docs, text))
+    left = docs.join(judged.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti")
+    twice = judged.filter("kept and doc_id is not null and n_copies > 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    if twice.isEmpty():
+        return left
+    return left.join(twice, "doc_id", "left_anti").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", text]))

@@ -34,6 +34,7 @@ LENGTH, GRAM, PAIRWISE = 200, 32, 40
 BEFORE = LENGTH - GRAM  # how far a window that holds the suffix's lead can begin before it
 WINDOW = BEFORE + 1
 BATCH_BYTES = 1 << 19
+SPLIT_TEXTS, SPLIT_LEADS = 500, 100_000
 _rng = np.random.default_rng(77)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -111,11 +112,16 @@ def _batches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[byt
         yield first, held
 
 
-def suffixes(docs: DataFrame, parts: int, text: str = "text") -> DataFrame:
-    """The sampled suffixes with the range they belong to.
+def splitters(docs: DataFrame, parts: int, text: str = "text") -> np.ndarray:
+    """Ends of ``parts`` ranges of leads: quantiles over some SPLIT_TEXTS texts chosen by hash (they set sizes, not results)."""
+    n = docs.count()
+    some = docs.filter(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(min(1.0, SPLIT_TEXTS / max(n, 1)) * (1 << 30)))
+    got = suffixes(some, np.zeros(0, np.uint64), text).select("lead").limit(SPLIT_LEADS).toPandas()["lead"].to_numpy().view(np.uint64)
+    return np.unique(np.sort(got)[np.linspace(0, len(got) - 1, parts + 1).astype(int)[1:-1]]) if len(got) else np.zeros(0, np.uint64)
 
-    The leads' hashes are uniform, so the splitters that a sample of them would give are the even ones.
-    """
+
+def suffixes(docs: DataFrame, ends: np.ndarray, text: str = "text") -> DataFrame:
+    """The sampled suffixes with the range of leads they belong to."""
     rows = docs.select(uid(text).alias("uid"), F.col(text).alias("text")).filter(F.length("text") > LENGTH // 4 - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +129,7 @@ def suffixes(docs: DataFrame, parts: int, text: str = "text") -> DataFrame:
             ids = b.column(0).to_numpy()
             for first, texts in _batches(b, 1):
                 at, place, lead, context = sampled(texts)
-                part = ((lead >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+                part = np.searchsorted(ends, lead, side="right").astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part), pa.array(lead.view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids[first + at]), pa.array(place.astype(np.int32))],
                     names=["part", "lead", "context", "uid", "place"],
@@ -245,7 +251,7 @@ def cut(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     docs = docs.drop("kept_bytes", "removed_spans", "n_bytes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = saved(judged(suffixes(docs, parts, text), parts))
+    met = saved(judged(suffixes(docs, splitters(docs, parts, text), text), parts))
     release(docs)
     around = contexts(docs, met.filter("not alone"), text)
     some = saved(compared(around, parts))
