@@ -8,13 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelquery.operators.knn import HIT, _block_hits, _ranked, _unit
+from reelquery.operators.knn import HIT, _block_hits, _ranked, matrix, unit
 
 
 class IvfIndex:
     def __init__(self, index: DataFrame, cells: int = 16, sample: int = 20_000, rounds: int = 10, seed: int = 7):
         got = index.select("embedding").filter(F.col("embedding").isNotNull()).orderBy(F.xxhash64("embedding", F.lit(seed))).limit(sample).toPandas()
-        m, ok = _unit(got["embedding"])
+        m, ok = unit(matrix(got["embedding"]))
         m = m[ok]
         rng = np.random.default_rng(seed)
         c = m[rng.choice(len(m), min(cells, len(m)), replace=False)]
@@ -29,7 +29,7 @@ class IvfIndex:
 
         @F.pandas_udf("int")
         def cell(v: pd.Series) -> pd.Series:
-            return pd.Series(np.argmax(_unit(v)[0] @ shared.value.T, axis=1).astype(np.int32))
+            return pd.Series(np.argmax(unit(matrix(v))[0] @ shared.value.T, axis=1).astype(np.int32))
 
         self.rows = index.filter(F.col("embedding").isNotNull()).withColumn("cell", cell("embedding"))
 
@@ -40,13 +40,13 @@ class IvfIndex:
 
         @F.pandas_udf("array<int>")
         def near(v: pd.Series) -> pd.Series:
-            return pd.Series(list(np.argsort(-(_unit(v)[0] @ shared.value.T), axis=1)[:, :probes].astype(np.int32)))
+            return pd.Series(list(np.argsort(-(unit(matrix(v))[0] @ shared.value.T), axis=1)[:, :probes].astype(np.int32)))
 
         left = queries.select("query_idx", "embedding", F.explode(near("embedding")).alias("cell"))
         right = self.rows.select("cell", F.col("video_id").cast("string").alias("video_id"), F.col("center_frame").cast("long").alias("center_frame"), F.col("timestamp_sec").cast("double").alias("timestamp_sec"), "embedding")
 
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            q, ok = _unit(left["embedding"])
+            q, ok = unit(matrix(left["embedding"]))
             return _block_hits(left["query_idx"].to_numpy()[ok], q[ok], right, k)
 
         return _ranked(left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(meet, HIT), k)

@@ -42,8 +42,12 @@ def knn_topk(index: DataFrame, vector: list[float], k: int = 10, video_id: str |
     )
 
 
-def _unit(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    m = np.stack([np.asarray(x, dtype=np.float64) for x in column]) if len(column) else np.zeros((0, 1))
+def matrix(column: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(x, dtype=np.float64) for x in column]) if len(column) else np.zeros((0, 1))
+
+
+def unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with norm 1 (zero rows stay), and which rows are not zero."""
     n = np.linalg.norm(m, axis=1)
     return m / np.where(n == 0, 1.0, n)[:, None], n > 0
 
@@ -51,9 +55,9 @@ def _unit(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 def _block_hits(qid: np.ndarray, q: np.ndarray, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """The best k of ``rows`` for every query; ties go to the smaller (video_id, center_frame)."""
     rows = rows.sort_values(["video_id", "center_frame"], kind="stable")
-    m, ok = _unit(rows["embedding"])
+    m, ok = unit(matrix(rows["embedding"]))
     rows, m = rows[ok], m[ok]
-    if not len(rows):
+    if not len(rows) or not len(qid):
         return pd.DataFrame({"query_idx": [], "video_id": [], "center_frame": [], "timestamp_sec": [], "cosine": []})
     s = np.round(q @ m.T, DIGITS)
     best = np.argsort(-s, axis=1, kind="stable")[:, :k]
@@ -74,35 +78,68 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("hit_rank", F.row_number().over(w)).filter(F.col("hit_rank") <= k)
 
 
-def knn_join(queries: DataFrame, index: DataFrame, k: int = 50, broadcast_bytes: int = BROADCAST_BYTES, block: int = 4096) -> DataFrame:
-    """Top k index rows of every query ``(query_idx, embedding)``, ranked; zero queries and zero rows give nothing."""
+def meet(queries: DataFrame, index: DataFrame, kernel, schema: str, broadcast_bytes: int = BROADCAST_BYTES, block: int = 4096) -> DataFrame:
+    """Runs ``kernel(query_idx, query vectors, index rows)`` so that every query meets every index row once.
+
+    The queries are broadcast while their measured size is within ``broadcast_bytes``; beyond that, both sides are cut into
+    blocks of about ``block`` rows that meet on a grid.  Rows without a vector are left out.
+    """
     index = index.select(F.col("video_id").cast("string").alias("video_id"), F.col("center_frame").cast("long").alias("center_frame"), F.col("timestamp_sec").cast("double").alias("timestamp_sec"), "embedding").filter(F.col("embedding").isNotNull())
     queries = queries.select(F.col("query_idx").cast("long").alias("query_idx"), "embedding").filter(F.col("embedding").isNotNull())
     size = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     n, dims = size[0], size[1] or 0
     if n * dims * 8 <= broadcast_bytes:
         got = queries.toPandas().sort_values("query_idx")  # bounded by broadcast_bytes, just measured
-        q, ok = _unit(got["embedding"])
-        shared = queries.sparkSession.sparkContext.broadcast((got["query_idx"].to_numpy()[ok], q[ok]))
+        shared = queries.sparkSession.sparkContext.broadcast((got["query_idx"].to_numpy(), matrix(got["embedding"])))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             qid, q = shared.value
             for rows in batches:
                 if len(qid) and len(rows):
-                    yield _block_hits(qid, q, rows, k)
+                    yield kernel(qid, q, rows)
 
-        return _ranked(index.mapInPandas(scan, HIT), k)
+        return index.mapInPandas(scan, schema)
 
-    total = index.count()
-    gq, gi = max(1, -(-n // block)), max(1, -(-total // block))
-    left = queries.select(F.pmod(F.xxhash64("query_idx"), F.lit(gq)).alias("_q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(gi - 1).cast("long"))).alias("_i"), F.col("query_idx"), "embedding")
-    right = index.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(gq - 1).cast("long"))).alias("_q"), F.pmod(F.xxhash64("video_id", "center_frame"), F.lit(gi)).alias("_i"), "video_id", "center_frame", "timestamp_sec", "embedding")
+    gq, gi = max(1, -(-n // block)), max(1, -(-index.count() // block))
+    each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    left = queries.select(F.pmod(F.xxhash64("query_idx"), F.lit(gq)).alias("_q"), each(gi).alias("_i"), "query_idx", "embedding")
+    right = index.select(each(gq).alias("_q"), F.pmod(F.xxhash64("video_id", "center_frame"), F.lit(gi)).alias("_i"), "video_id", "center_frame", "timestamp_sec", "embedding")
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        q, ok = _unit(left["embedding"])
-        return _block_hits(left["query_idx"].to_numpy()[ok], q[ok], right, k)
+        return kernel(left["query_idx"].to_numpy(), matrix(left["embedding"]), right)
+
+    return left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInPandas(cell, schema)
+
+
+def knn_join(queries: DataFrame, index: DataFrame, k: int = 50, broadcast_bytes: int = BROADCAST_BYTES, block: int = 4096) -> DataFrame:
+    """Top k index rows of every query ``(query_idx, embedding)``, ranked; zero queries and zero rows give nothing."""
+
+    def kernel(qid: np.ndarray, q: np.ndarray, rows: pd.DataFrame) -> pd.DataFrame:
+        u, ok = unit(q)
+        return _block_hits(qid[ok], u[ok], rows, k)
+
+    return _ranked(meet(queries, index, kernel, HIT, broadcast_bytes, block), k)
+
+
+BEST = "video_id string, query_idx long, cosine double"
+
+
+def best_per_video(queries: DataFrame, index: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, block: int = 4096) -> DataFrame:
+    """``(video_id, query_idx, cosine)``: each query's best cosine in each video; zero vectors have cosine 0.
+
+    A block sends one row per query and video, so the shuffle does not grow with the frames of a video.
+    """
+
+    def kernel(qid: np.ndarray, q: np.ndarray, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(qid):
+            return pd.DataFrame({"video_id": [], "query_idx": [], "cosine": []})
+        rows = rows.sort_values("video_id", kind="stable")
+        video = rows["video_id"].to_numpy()
+        start = np.flatnonzero(np.concatenate([[True], video[1:] != video[:-1]]))
+        best = np.maximum.reduceat(unit(q)[0] @ unit(matrix(rows["embedding"]))[0].T, start, axis=1)
+        return pd.DataFrame({"video_id": np.tile(video[start], len(qid)), "query_idx": np.repeat(qid, len(start)), "cosine": best.ravel()})
 
-    return _ranked(left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInPandas(cell, HIT), k)
+    return meet(queries, index, kernel, BEST, broadcast_bytes, block).groupBy("video_id", "query_idx").agg(F.max("cosine").alias("cosine"))
 
 
 def cosine_pairs(a: DataFrame, b: DataFrame, on: str) -> DataFrame:

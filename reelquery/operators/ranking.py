@@ -3,8 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelquery.functions.vector import dot, l2_norm
-from reelquery.operators.knn import knn_join
+from reelquery.operators.knn import best_per_video, knn_join
 
 SCORE_DIGITS = 6
 
@@ -53,27 +52,15 @@ def search_video(queries: DataFrame, index: DataFrame, top_k: int = 10, candidat
 
 
 def chamfer_score(queries: DataFrame, index: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """Per video: the mean over queries of the best cosine, of those strictly above ``threshold``; 0 when none is.
-
-    Two-level aggregation, so the only shuffle carries (video, query, cosine).  Zero vectors have cosine 0.
-    """
-    safe = lambda c: F.coalesce(F.nullif(c, F.lit(0.0)), F.lit(1.0))
-    q = F.broadcast(queries.select("query_idx", F.col("embedding").alias("_q"), safe(l2_norm(F.col("embedding"))).alias("_qn")))
-    rows = index.select("video_id", "embedding", safe(l2_norm(F.col("embedding"))).alias("_n"))
-    cos = dot(F.col("embedding"), F.col("_q")) / (F.col("_n") * F.col("_qn"))
-    best = rows.crossJoin(q).groupBy("video_id", "query_idx").agg(F.max(cos).alias("_mx"))
-    return best.groupBy("video_id").agg(F.coalesce(F.avg(F.when(F.round("_mx", 9) > threshold, F.col("_mx"))), F.lit(0.0)).alias("score"))
-
-
-MAX_CHAMFER_QUERIES = 100_000
+    """Per video: the mean over queries of the best cosine, of those strictly above ``threshold``; 0 when none is."""
+    best = best_per_video(queries, index)
+    return best.groupBy("video_id").agg(F.coalesce(F.avg(F.when(F.round("cosine", 9) > threshold, F.col("cosine"))), F.lit(0.0)).alias("score"))
 
 
 def chamfer_rank(queries: DataFrame, index: DataFrame, query_id: str | None = None, top_k: int = 10) -> DataFrame:
     """Videos by Chamfer score, the query's own excluded; zero scores stay; ties follow the stored file name."""
     if queries.limit(1).count() == 0:
         raise ValueError("the query video has no embeddings")
-    if queries.limit(MAX_CHAMFER_QUERIES + 1).count() > MAX_CHAMFER_QUERIES:
-        raise ValueError(f"more than {MAX_CHAMFER_QUERIES} query vectors; split the query video")
     rows = index if query_id is None else index.filter(F.col("video_id") != query_id)
     scored = chamfer_score(queries, rows).withColumn("score", F.round("score", SCORE_DIGITS))
     name = F.concat(F.col("video_id").cast("string"), F.lit(".json"))
