@@ -14,8 +14,9 @@ this scale no shuffle bears.  Even so a line's variants are emitted in two sizes
 * Lines of up to ``MANY`` + 1 blocks emit the line without each word, and whole.
 
 An edit changes the number of blocks by one at most, so both lines of a pair take part in one of the two.  Keys met in one
-line only are dropped; lines that share a key meet with their words, and the edit distance is verified.  Within a large group
-the earlier line is found by the group's own one-word variants, so a group costs time in proportion to its size.
+line only are dropped; lines that share a key meet with their words, and the edit distance is verified.  Within a group
+the earlier line is found by the group's own one-word variants, so a group costs time in proportion to its size.  Groups of
+more than ``HOT`` lines are not gathered at all: their lines' one-word variants (128 bits) are aggregated and joined.
 
 Exact repeats are settled before, by a hash of the line, and take no part in the groups.  Texts are read whole.
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from reelquery.llm.common import release, saved
 from reelquery.llm.ngrams import _mixed, grouped, word_hashes
 
-LEAST, MANY, PAIRWISE = 8, 4, 8
+LEAST, MANY, PAIRWISE, HOT = 8, 4, 8, 2000
 LAST_ID = 2**63 - 1
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -166,32 +167,35 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
 
 
+def one_word(words: list[str]) -> tuple[int, list[int]]:
+    """The hash of a line, and of the line without each of its words."""
+    h = word_hashes(words)
+    n = len(h)
+    with np.errstate(over="ignore"):
+        c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, n)[:-1], dtype=np.uint64)])
+        return int(c[-1]), (c[:-1] + (c[-1] - c[1:]) * np.uint64(_BACK)).tolist()
+
+
 def _later(lines: list[list[str]]) -> list[int]:
     """Which lines of a group, in corpus order, lie within one word of an earlier one."""
     out = []
     if len(lines) <= PAIRWISE:
         return [j for j in range(1, len(lines)) if any(within_one(lines[i], lines[j]) for i in range(j))]
-    whole: dict[int, list[int]] = {}
-    less: dict[int, list[int]] = {}
-    put: dict[tuple[int, int], list[int]] = {}
+    whole: dict[int, int] = {}
+    less: dict[int, int] = {}
+    put: dict[tuple[int, int], int] = {}
     for j, w in enumerate(lines):
-        h = word_hashes(w)
-        n = len(h)
-        with np.errstate(over="ignore"):
-            c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, n)[:-1], dtype=np.uint64)])
-            gone = (c[:-1] + (c[-1] - c[1:]) * np.uint64(_BACK)).tolist()
-        full = int(c[-1])
-        # one line per key is enough when it is the first: what shares a key differs from it by one word
-        near = [*whole.get(full, ()), *less.get(full, ())]
-        for i, g in enumerate(gone):
-            near += whole.get(g, ())
-            near += put.get((i, g), ())
-        if any(within_one(lines[i], w) for i in dict.fromkeys(near)):
+        full, gone = one_word(w)
+        # the first line of a key is enough: what shares a key differs from it by one word
+        near = [whole.get(full), less.get(full)]
+        for x in enumerate(gone):
+            near += whole.get(x[1]), put.get(x)
+        if any(within_one(lines[i], w) for i in dict.fromkeys(near) if i is not None):
             out.append(j)
-        whole.setdefault(full, [j])
-        for i, g in enumerate(gone):
-            less.setdefault(g, [j])
-            put.setdefault((i, g), [j])
+        whole.setdefault(full, j)
+        for x in enumerate(gone):
+            less.setdefault(x[1], j)
+            put.setdefault(x, j)
     return out
 
 
@@ -213,6 +217,40 @@ def near_lines(rows: DataFrame) -> DataFrame:
     return rows.select("key", "h", "doc", "ln", "line").repartition("key").sortWithinPartitions("key").mapInArrow(run, "h long").distinct()
 
 
+def near_lines_of_hot_keys(rows: DataFrame) -> DataFrame:
+    """The same for groups of any size: ``(h, doc, ln, line)`` to the ``h`` of lines within one word of an earlier one.
+
+    Every line emits its one-word variants under 128 bits, of three kinds: 0 without word i, for the lines that have another
+    word there; 1 whole; 2 without a word.  Kind 0 meets kind 0, kind 1 meets kind 2.  Only minima per key are needed, which
+    are aggregated before the shuffle; the join back has one row per key on one side, so a hot key can be split.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                at, key, kind = [], [], []
+                for i, line in enumerate(b.column(3).to_pylist()):
+                    full, gone = one_word(line.lower().split())
+                    n = len(gone)
+                    at += [i] * (2 * n + 1)
+                    kind += [0] * n + [1] + [2] * n
+                    key += [(g, k + 1) for k, g in enumerate(gone)] + [(full, 0)] + [(g, 0) for g in gone]
+                with np.errstate(over="ignore"):
+                    base, place = (np.array([k[j] for k in key], dtype=np.uint64) for j in (0, 1))
+                    x, y = _mixed(base + place * np.uint64(_BASE)), _mixed(base ^ (place + np.uint64(77)) * np.uint64(_BACK))
+                at = np.array(at, dtype=np.int64)
+                cols = [pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(kind, pa.int32()), *(b.column(j).take(pa.array(at)) for j in range(3))]
+                yield pa.RecordBatch.from_arrays(cols, names=["x", "y", "kind", "h", "doc", "ln"])
+
+    keys = saved(rows.select("h", "doc", "ln", "line").mapInArrow(run, "x long, y long, kind int, h long, doc long, ln int"))
+    own = F.struct("doc", "ln", "h")
+    first = keys.groupBy("x", "y").agg(*[F.min(F.when(F.col("kind") == k, own)).alias(f"m{k}") for k in range(3)])
+    met = keys.join(first, ["x", "y"])
+    other = F.when(F.col("kind") == 0, F.col("m0")).when(F.col("kind") == 1, F.col("m2")).otherwise(F.col("m1"))
+    return met.filter(other < own).select("h").distinct()
+
+
 def _doc() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
 
@@ -231,7 +269,12 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     found = texts.select("doc", F.explode(F.transform("w", lambda x: F.struct(x["h"].alias("h"), x["ln"].alias("ln"), F.get("all", x["ln"]).alias("line")))).alias("x")).select("doc", "x.*")
     found = saved(found.filter(F.xxhash64("line") == F.col("h")).dropDuplicates(["h"]))
     release(docs)
-    near = saved(near_lines(shared.join(found, "h")))
+    size = saved(shared.groupBy("key").agg(F.count(F.lit(1)).alias("members")))
+    near = near_lines(shared.join(size.filter(F.col("members") <= HOT), "key").join(found, "h"))
+    hot = size.filter(F.col("members") > HOT)
+    if not hot.isEmpty():
+        near = near.unionByName(near_lines_of_hot_keys(found.join(shared.join(hot, "key").select("h").distinct(), "h"))).distinct()
+    near = saved(near)
     release(docs)
     state = first.join(near.withColumn("near", F.lit(True)), "h", "left").select("h", F.col("doc").alias("_d"), F.col("ln").alias("_l"), F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.join(state, "h").filter(F.col("near") | (F.col("doc") != F.col("_d")) | (F.col("ln") != F.col("_l")))

@@ -66,6 +66,12 @@ def test_hot_line(spark):
     assert compare(spark, rows) > 590
 
 
+def test_groups_that_are_not_gathered(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT", 5)
+    test_random_edits(spark)
+    test_hot_line(spark)
+
+
 def test_edges(spark):
     compare(spark, [(1, None), (2, ""), (3, "\n\n"), (4, "a\na"), (None, "a\nb"), (5, "A b c d e f g h"), (6, "a  b c d e f g h"), (6, "a  b c d e f g h"), (7, "q " * 20_000), (8, "q " * 20_001)])
     empty = spark.createDataFrame([], "doc_id long, text string")
