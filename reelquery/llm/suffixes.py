@@ -12,7 +12,8 @@ every repeated string is seen through suffixes with equal leading bytes.
 2. A suffix whose whole context (168 bytes before and 200 after, or to the text's ends) is met twice is repeated
    throughout it; hot passages end here, however frequent.
 3. The other contexts of a lead are compared byte by byte, to the left and right; over ``PAIRWISE`` of them, column by column:
-   the windows at one offset are sorted by hash and equal neighbours found.  A match of L bytes before and R after
+   the windows at one offset are sorted by hash and equal neighbours found.  Leads of more than ``HOT`` different contexts
+   are not gathered: their windows are counted by hash in the cluster.  A match of L bytes before and R after
    the suffix, with L + R >= 200, covers [-L, R).
 4. The intervals of a text are joined and cut out.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from reelquery.llm.common import release, saved
 from reelquery.llm.ngrams import _mixed, grouped
 
-LENGTH, GRAM, PAIRWISE = 200, 32, 40
+LENGTH, GRAM, PAIRWISE, HOT = 200, 32, 40, 5000
 BEFORE = LENGTH - GRAM  # how far a window that holds the suffix's lead can begin before it
 WINDOW = BEFORE + 1
 BATCH_BYTES = 1 << 19
@@ -142,38 +143,43 @@ def judged(rows: DataFrame, parts: int) -> DataFrame:
     """``(lead, uid, place, full, alone)``: suffixes whose lead is met twice.  ``full``: so is the whole context.
 
     ``alone``: no other context of that lead differs, so nothing is left to compare.  Of a context that is met often, one
-    row is kept for comparison (``full`` and not ``alone``), the others are ``alone``.
+    row is kept for comparison (``full`` and not ``alone``), the others are ``alone``.  One pass over sorted rows, with the
+    first row of the context at hand as its only state.
     """
+    names = ["lead", "uid", "place", "full", "alone"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
-        def decide(lead, context, u, place):
-            if not len(lead):
-                return None
-            new_lead = np.concatenate([[True], lead[1:] != lead[:-1]])
-            new_context = new_lead | np.concatenate([[True], context[1:] != context[:-1]])
-            g, c = np.cumsum(new_lead) - 1, np.cumsum(new_context) - 1
-            in_lead, in_context = np.bincount(g)[g], np.bincount(c)[c]
-            kinds = np.bincount(g[new_context])[g]
-            keep = in_lead > 1
-            full = in_context > 1
-            alone = (kinds == 1) | (full & ~new_context)
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (lead, u, place, full, alone)], names=["lead", "uid", "place", "full", "alone"])
+        held = None  # first row of the last context, how often the context was met, whether its lead had others before
+
+        def firsts(lead, u, place, times, before, after):
+            other = before | after
+            keep = (times > 1) | other
+            full = times > 1
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (lead, u, place, full, full & ~other)], names=names)
 
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(i).to_numpy() for i in range(4)]
+            lead, context, u, place = (b.column(i).to_numpy() for i in range(4))
+            more, before = 0, False
             if held is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last lead may go on
-            out = decide(*(x[:cut] for x in cols))
-            held = [x[cut:] for x in cols]
-            if out is not None:
-                yield out
-        if held is not None and (out := decide(*held)) is not None:
-            yield out
+                lead, context, u, place = (np.append(x, y) for x, y in zip(held[0], (lead, context, u, place), strict=True))
+                more, before = held[1] - 1, held[2]
+            new = np.concatenate([[True], (lead[1:] != lead[:-1]) | (context[1:] != context[:-1])])
+            at = np.flatnonzero(new)
+            times = np.diff(np.append(at, len(lead)))
+            times[0] += more
+            had = np.concatenate([[before], lead[at[1:]] == lead[at[:-1]]])
+            rest = np.flatnonzero(~new)
+            true = np.ones(len(rest), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(lead[rest]), pa.array(u[rest]), pa.array(place[rest]), pa.array(true), pa.array(true)], names=names)
+            done = at[:-1]
+            yield firsts(lead[done], u[done], place[done], times[:-1], had[:-1], had[1:])
+            z = at[-1:]
+            held = ((lead[z], context[z], u[z], place[z]), times[-1], had[-1])
+        if held is not None:
+            (lead, _, u, place), times, had = held
+            yield firsts(lead, u, place, np.array([times]), np.array([had]), np.array([False]))
 
     dealt = rows.repartition(parts, "part").sortWithinPartitions("lead", "context")
     return dealt.select("lead", "context", "uid", "place").mapInArrow(run, "lead long, uid long, place int, full boolean, alone boolean")
@@ -189,33 +195,50 @@ def contexts(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFram
     return x.select("lead", "uid", "place", "full", before.alias("before"), F.substring(F.col("raw"), F.col("place") - before + 1, before + LENGTH).alias("bytes")).dropDuplicates(["uid", "place"])
 
 
-def spans_of(before: np.ndarray, raw: list[bytes], full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each context how far repeated strings reach before and after the suffix; 0, 0 if there are none."""
-    m = len(raw)
-    grid = np.zeros((m, BEFORE + LENGTH), np.uint8)
+def _grid(before: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts under one another with their suffixes in one column, and how many bytes follow."""
     after = np.array([len(r) for r in raw]) - before
+    grid = np.zeros((len(raw), BEFORE + LENGTH), np.uint8)
     for i, r in enumerate(raw):
         grid[i, BEFORE - before[i] : BEFORE + after[i]] = np.frombuffer(r, np.uint8)
-    left, right = np.zeros(m, np.int64), np.zeros(m, np.int64)
+    return grid, after
+
+
+def _sums(before: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums whose differences are the windows' hashes, alike at equal columns."""
+    grid, after = _grid(before, raw)
+    total = np.zeros((len(raw), BEFORE + LENGTH + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(_BYTE[grid] * _powers(_BASE, BEFORE + LENGTH)[:-1][None, :], axis=1, out=total[:, 1:])
+    return total, after
+
+
+def spans_of(before: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each context how far repeated strings reach before and after the suffix; 0, 0 if there are none."""
+    m = len(raw)
     if m <= PAIRWISE:
+        grid, after = _grid(before, raw)
         same = grid[:, None, :] == grid[None, :, :]
-        r = np.argmin(np.concatenate([same[:, :, BEFORE:], np.zeros((m, m, 1), bool)], axis=2), axis=2)
-        l = np.argmin(np.concatenate([same[:, :, BEFORE - 1 :: -1][:, :, :BEFORE], np.zeros((m, m, 1), bool)], axis=2), axis=2)  # noqa: E741
+        stop = np.zeros((m, m, 1), bool)
+        r = np.argmin(np.concatenate([same[:, :, BEFORE:], stop], axis=2), axis=2)
+        l = np.argmin(np.concatenate([same[:, :, :BEFORE][:, :, ::-1], stop], axis=2), axis=2)  # noqa: E741
         r = np.minimum(r, np.minimum(after[:, None], after[None, :]))
         l = np.minimum(l, np.minimum(before[:, None], before[None, :]))  # noqa: E741
         ok = (l + r >= LENGTH) & ~np.eye(m, dtype=bool)
         return np.where(ok, l, 0).max(axis=1), np.where(ok, r, 0).max(axis=1)
-    with np.errstate(over="ignore"):
-        total = np.zeros((m, BEFORE + LENGTH + 1), np.uint64)
-        np.cumsum(_BYTE[grid] * _powers(_BASE, BEFORE + LENGTH)[:-1][None, :], axis=1, out=total[:, 1:])
-        for o in range(BEFORE + 1):
-            able = np.flatnonzero((before >= o) & (after >= LENGTH - o))
+    total, after = _sums(before, raw)
+    left, right = np.zeros(m, np.int64), np.zeros(m, np.int64)
+    for o in range(BEFORE + 1):
+        able = np.flatnonzero((before >= o) & (after >= LENGTH - o))
+        if len(able) < 2:
+            continue
+        with np.errstate(over="ignore"):
             h = _mixed(total[able, BEFORE + LENGTH - o] - total[able, BEFORE - o])
-            order = np.argsort(h, kind="stable")
-            equal = h[order][1:] == h[order][:-1]
-            hit = able[order[np.concatenate([[False], equal]) | np.concatenate([equal, [False]])]] if len(able) else able
-            left[hit] = np.maximum(left[hit], o)
-            right[hit] = np.maximum(right[hit], LENGTH - o)
+        order = np.argsort(h, kind="stable")
+        equal = h[order][1:] == h[order][:-1]
+        hit = able[order[np.concatenate([[False], equal]) | np.concatenate([equal, [False]])]]
+        left[hit] = np.maximum(left[hit], o)
+        right[hit] = np.maximum(right[hit], LENGTH - o)
     return left, right
 
 
@@ -232,7 +255,7 @@ def compared(rows: DataFrame, parts: int) -> DataFrame:
 
         for g in grouped(batches):
             u, place, full, before = (g.column(i).to_numpy() for i in (1, 2, 3, 4))
-            left, right = spans_of(before.astype(np.int64), g.column(5).to_pylist(), full)
+            left, right = spans_of(before.astype(np.int64), g.column(5).to_pylist())
             some = (right > 0) & ~full
             out.append((u[some], place[some] - left[some], place[some] + right[some]))
             if len(out) >= 5000:
@@ -243,6 +266,29 @@ def compared(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "lead").sortWithinPartitions("lead").select("lead", "uid", "place", "full", "before", "bytes").mapInArrow(run, "uid long, a int, b int")
 
 
+def compared_by_windows(rows: DataFrame) -> DataFrame:
+    """The same for leads of any number of contexts: every 200-byte window under its hash, counted and joined back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                b = whole.slice(lo, 500)
+                before = b.column(4).to_numpy().astype(np.int64)
+                total, after = _sums(before, b.column(5).to_pylist())
+                offset = np.arange(BEFORE + 1)
+                with np.errstate(over="ignore"):
+                    h = _mixed(total[:, LENGTH + BEFORE - offset] - total[:, BEFORE - offset])
+                i, o = np.nonzero((before[:, None] >= offset) & (after[:, None] >= LENGTH - offset))
+                take = pa.array(i)
+                cols = [pa.array(h[i, o].view(np.int64)), pa.array(o.astype(np.int32)), *(b.column(j).take(take) for j in range(4))]
+                yield pa.RecordBatch.from_arrays(cols, names=["x", "o", "lead", "uid", "place", "full"])
+
+    windows = saved(rows.select("lead", "uid", "place", "full", "before", "bytes").mapInArrow(run, "x long, o int, lead long, uid long, place int, full boolean"))
+    often = windows.groupBy("x", "lead").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    met = windows.filter("not full").join(often, ["x", "lead"]).groupBy("uid", "place").agg(F.min("o").alias("low"), F.max("o").alias("high"))
+    return met.select("uid", (F.col("place") - F.col("high")).alias("a"), (F.col("place") + LENGTH - F.col("low")).alias("b"))
+
+
 def cut(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``kept_bytes binary``, ``removed_spans array<struct<a, b>>`` (byte places) and ``n_bytes long``.
 
@@ -253,8 +299,11 @@ def cut(docs: DataFrame, text: str = "text") -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = saved(judged(suffixes(docs, splitters(docs, parts, text), text), parts))
     release(docs)
-    around = contexts(docs, met.filter("not alone"), text)
-    some = saved(compared(around, parts))
+    rest = met.filter("not alone")
+    hot = saved(rest.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).drop("n"))
+    some = saved(compared(contexts(docs, rest.join(hot, "lead", "left_anti"), text), parts))
+    if not hot.isEmpty():
+        some = some.unionByName(saved(compared_by_windows(contexts(docs, rest.join(hot, "lead"), text))))
     release(docs)
     whole = met.filter("full").select("uid", F.greatest(F.col("place") - BEFORE, F.lit(0)).alias("a"), (F.col("place") + LENGTH).alias("b"))
     spans = some.unionByName(whole).groupBy("uid").agg(F.collect_set(F.struct("a", "b")).alias("_spans"))

@@ -43,6 +43,12 @@ def test_hot_passage(spark):
     assert compare(spark, rows) > 150 * 250
 
 
+def test_leads_that_are_not_gathered(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 3)
+    test_random_passages(spark)
+    test_hot_passage(spark)
+
+
 def test_edges(spark):
     rng = np.random.default_rng(4)
     t = words(rng, 80)
