@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquery.llm import language, licenses, lines, mixing, multiindex, ngrams, pieces, secrets, suffixes, topk
+from reelquery.llm import language, licenses, lines, mixing, multiindex, ngrams, oracle, pieces, secrets, suffixes, topk
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -65,4 +65,7 @@ def op10_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_suffixes": op8_suffixes, "op9_lines": op9_lines, "op5_topk": op5_topk, "op6_multiindex": op6_multiindex, "op2_licenses": op2_licenses, "op7_mix": op7_mix, "op10_ngrams": op10_ngrams, "op1_pieces": op1_pieces, "op3_secrets": op3_secrets, "op4_language": op4_language}
-ORACLE = {"op2_licenses": licenses.oracle_sql(), "op7_mix": mixing.oracle_sql(*MIX)}
+ORACLE = {
+    "op2_licenses": licenses.oracle_sql(), "op5_topk": oracle.TOPK, "op6_multiindex": oracle.MULTIINDEX, "op7_mix": mixing.oracle_sql(*MIX),
+    "op8_suffixes": oracle.SUFFIXES, "op9_lines": oracle.LINES, "op10_ngrams": oracle.NGRAMS,
+}
