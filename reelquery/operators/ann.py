@@ -47,6 +47,6 @@ class IvfIndex:
 
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             q, ok = unit(matrix(left["embedding"]))
-            return _block_hits(left["query_idx"].to_numpy()[ok], q[ok], right, k)
+            return _block_hits(left["query_idx"].to_numpy()[ok], q[ok], right, matrix(right["embedding"]), k)
 
         return _ranked(left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(meet, HIT), k)

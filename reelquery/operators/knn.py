@@ -12,8 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from reelquery.functions.vector import dot, l2_norm, score_of
 
@@ -52,10 +54,10 @@ def unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return m / np.where(n == 0, 1.0, n)[:, None], n > 0
 
 
-def _block_hits(qid: np.ndarray, q: np.ndarray, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The best k of ``rows`` for every query; ties go to the smaller (video_id, center_frame)."""
-    rows = rows.sort_values(["video_id", "center_frame"], kind="stable")
-    m, ok = unit(matrix(rows["embedding"]))
+def _block_hits(qid: np.ndarray, q: np.ndarray, rows: pd.DataFrame, m: np.ndarray, k: int) -> pd.DataFrame:
+    """The best k of ``rows`` (with vectors ``m``) for every query; ties go to the smaller (video_id, center_frame)."""
+    order = np.lexsort((rows["center_frame"].to_numpy(), rows["video_id"].to_numpy().astype(str)))
+    rows, (m, ok) = rows.iloc[order], unit(m[order])
     rows, m = rows[ok], m[ok]
     if not len(rows) or not len(qid):
         return pd.DataFrame({"query_idx": [], "video_id": [], "center_frame": [], "timestamp_sec": [], "cosine": []})
@@ -78,27 +80,39 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("hit_rank", F.row_number().over(w)).filter(F.col("hit_rank") <= k)
 
 
+def _parse(schema: str) -> StructType:
+    return StructType.fromDDL(schema)
+
+
 def meet(queries: DataFrame, index: DataFrame, kernel, schema: str, broadcast_bytes: int = BROADCAST_BYTES, block: int = 4096) -> DataFrame:
-    """Runs ``kernel(query_idx, query vectors, index rows)`` so that every query meets every index row once.
+    """Runs ``kernel(query_idx, query vectors, index rows, index vectors)`` so that every query meets every row once.
 
     The queries are broadcast while their measured size is within ``broadcast_bytes``; beyond that, both sides are cut into
-    blocks of about ``block`` rows that meet on a grid.  Rows without a vector are left out.
+    blocks of about ``block`` rows that meet on a grid.  Rows without a vector, or with one of another
+    length than the longest query, are left out.
     """
     index = index.select(F.col("video_id").cast("string").alias("video_id"), F.col("center_frame").cast("long").alias("center_frame"), F.col("timestamp_sec").cast("double").alias("timestamp_sec"), "embedding").filter(F.col("embedding").isNotNull())
     queries = queries.select(F.col("query_idx").cast("long").alias("query_idx"), "embedding").filter(F.col("embedding").isNotNull())
     size = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     n, dims = size[0], size[1] or 0
+    queries, index = queries.filter(F.size("embedding") == dims), index.filter(F.size("embedding") == dims)
     if n * dims * 8 <= broadcast_bytes:
         got = queries.toPandas().sort_values("query_idx")  # bounded by broadcast_bytes, just measured
         shared = queries.sparkSession.sparkContext.broadcast((got["query_idx"].to_numpy(), matrix(got["embedding"])))
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.name for f in _parse(schema)]
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qid, q = shared.value
-            for rows in batches:
-                if len(qid) and len(rows):
-                    yield kernel(qid, q, rows)
+            for b in batches:
+                if len(qid) and b.num_rows:
+                    # vectors come as one flat buffer: no object per row
+                    m = b.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                    out = kernel(qid, q, b.select([0, 1, 2]).to_pandas(), m)
+                    if len(out):
+                        yield pa.RecordBatch.from_pandas(out[names], preserve_index=False)
 
-        return index.mapInPandas(scan, schema)
+        return index.mapInArrow(scan, schema)
 
     gq, gi = max(1, -(-n // block)), max(1, -(-index.count() // block))
     each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
@@ -106,7 +120,7 @@ def meet(queries: DataFrame, index: DataFrame, kernel, schema: str, broadcast_by
     right = index.select(each(gq).alias("_q"), F.pmod(F.xxhash64("video_id", "center_frame"), F.lit(gi)).alias("_i"), "video_id", "center_frame", "timestamp_sec", "embedding")
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return kernel(left["query_idx"].to_numpy(), matrix(left["embedding"]), right)
+        return kernel(left["query_idx"].to_numpy(), matrix(left["embedding"]), right, matrix(right["embedding"]))
 
     return left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInPandas(cell, schema)
 
@@ -114,9 +128,9 @@ def meet(queries: DataFrame, index: DataFrame, kernel, schema: str, broadcast_by
 def knn_join(queries: DataFrame, index: DataFrame, k: int = 50, broadcast_bytes: int = BROADCAST_BYTES, block: int = 4096) -> DataFrame:
     """Top k index rows of every query ``(query_idx, embedding)``, ranked; zero queries and zero rows give nothing."""
 
-    def kernel(qid: np.ndarray, q: np.ndarray, rows: pd.DataFrame) -> pd.DataFrame:
+    def kernel(qid: np.ndarray, q: np.ndarray, rows: pd.DataFrame, m: np.ndarray) -> pd.DataFrame:
         u, ok = unit(q)
-        return _block_hits(qid[ok], u[ok], rows, k)
+        return _block_hits(qid[ok], u[ok], rows, m, k)
 
     return _ranked(meet(queries, index, kernel, HIT, broadcast_bytes, block), k)
 
@@ -130,13 +144,13 @@ def best_per_video(queries: DataFrame, index: DataFrame, broadcast_bytes: int =
     A block sends one row per query and video, so the shuffle does not grow with the frames of a video.
     """
 
-    def kernel(qid: np.ndarray, q: np.ndarray, rows: pd.DataFrame) -> pd.DataFrame:
+    def kernel(qid: np.ndarray, q: np.ndarray, rows: pd.DataFrame, m: np.ndarray) -> pd.DataFrame:
         if not len(rows) or not len(qid):
             return pd.DataFrame({"video_id": [], "query_idx": [], "cosine": []})
-        rows = rows.sort_values("video_id", kind="stable")
-        video = rows["video_id"].to_numpy()
+        order = np.argsort(rows["video_id"].to_numpy().astype(str), kind="stable")
+        video, m = rows["video_id"].to_numpy()[order], m[order]
         start = np.flatnonzero(np.concatenate([[True], video[1:] != video[:-1]]))
-        best = np.maximum.reduceat(unit(q)[0] @ unit(matrix(rows["embedding"]))[0].T, start, axis=1)
+        best = np.maximum.reduceat(unit(q)[0] @ unit(m)[0].T, start, axis=1)
         return pd.DataFrame({"video_id": np.tile(video[start], len(qid)), "query_idx": np.repeat(qid, len(start)), "cosine": best.ravel()})
 
     return meet(queries, index, kernel, BEST, broadcast_bytes, block).groupBy("video_id", "query_idx").agg(F.max("cosine").alias("cosine"))
