@@ -60,7 +60,8 @@ class IndexTable:
 
     def delete(self) -> bool:
         there = self.spark.catalog.tableExists(self.name)
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for name in (self.name, f"{self.name}_quarantine"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         return there
 
     def read(self) -> DataFrame:
@@ -70,7 +71,11 @@ class IndexTable:
         return self.read().filter(F.col("video_id") == video_id).limit(1).count() > 0
 
     def write(self, batch: DataFrame) -> DataFrame:
-        """Upserts ``(video_id, center_frame, timestamp_sec, embedding[, ord])``; returns the quarantined rows."""
+        """Upserts ``(video_id, center_frame, timestamp_sec, embedding[, ord])``; returns the quarantined rows.
+
+        Both results are written before the table is replaced, as the batch may have been planned from the table; the
+        quarantined rows of the last batch stay in ``<name>_quarantine``.
+        """
         if "ord" not in batch.columns:
             batch = batch.withColumn("ord", F.lit(0).cast("long"))
         good, bad = split_valid(batch, self.dims)
@@ -82,9 +87,10 @@ class IndexTable:
         staged, old = f"{self.name}_staged", f"{self.name}_old"
         self.spark.sql(f"DROP TABLE IF EXISTS {staged}")
         merged.write.format("parquet").saveAsTable(staged)
+        bad.write.format("parquet").mode("overwrite").saveAsTable(f"{self.name}_quarantine")
         self.spark.sql(f"DROP TABLE IF EXISTS {old}")
         self.spark.sql(f"ALTER TABLE {self.name} RENAME TO {old}")
         self.spark.sql(f"ALTER TABLE {staged} RENAME TO {self.name}")
         self.spark.sql(f"DROP TABLE {old}")
         self.spark.catalog.refreshTable(self.name)
-        return bad
+        return self.spark.table(f"{self.name}_quarantine")

@@ -2,8 +2,9 @@
 
 import logging
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,22 @@ def video_embeddings(frames: DataFrame, scenes: DataFrame | None, fps: float, me
     return embed_windows(windows, method)
 
 
+def fetch_pending(manifest: DataFrame, table: IndexTable, fetcher, directory: str) -> DataFrame:
+    """``(video_id, path)`` of the manifest's videos that are not indexed yet; what cannot be fetched is dropped.
+
+    The anti join comes before the fetch, so indexed videos cost nothing.  ``fetcher`` runs on the executors; the folder must
+    be one that they share.
+    """
+
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            paths = [fetcher.fetch(v, directory) for v in rows["video_id"]]
+            out = pd.DataFrame({"video_id": rows["video_id"], "path": paths})
+            yield out[out["path"].notna()]
+
+    return pending(manifest, table.read()).select("video_id").mapInPandas(fetch, "video_id string, path string")
+
+
 def index_videos(table: IndexTable, frames: DataFrame, scenes: DataFrame | None, fps: float, method: str = "mean") -> DataFrame:
     """Indexes the videos of ``frames`` that have no row in the table, as one plan; returns the quarantined rows."""
     table.create()

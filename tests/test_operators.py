@@ -286,3 +286,23 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     assert t.read().count() == 1
     t.delete()
+
+
+def test_command_line_and_fetch(spark, tmp_path, capsys):
+    from reelquery.plans import cli
+
+    frames = [(v, i, [1.0, float(i % 7) * (1 + ord(v) % 3), 2.0]) for v in ("a", "b") for i in range(40)]
+    spark.createDataFrame(frames, "video_id string, frame_idx long, embedding array<double>").write.parquet(str(tmp_path / "f"))
+    store.IndexTable(spark, "cli_index_test").delete()
+    common = ["--frames", str(tmp_path / "f"), "--fps", "5", "--table", "cli_index_test", "--dims", "3"]
+    assert cli.main(["index", *common], spark).select("video_id").distinct().count() == 2
+    before = store.IndexTable(spark, "cli_index_test", 3).read().count()
+    assert cli.main(["index", *common], spark).count() == before
+    cli.main(["search", *common, "--video", "a", "--order-bonus"], spark)
+    assert "a  score=" in capsys.readouterr().out
+    (tmp_path / "c.mp4").write_bytes(b"x")
+    manifest = spark.createDataFrame([("a",), ("c",), ("d",)], "video_id string")
+    got = jobs.fetch_pending(manifest, store.IndexTable(spark, "cli_index_test", 3), M.LocalFetcher(), str(tmp_path)).collect()
+    assert [r["video_id"] for r in got] == ["c"]
+    assert cli.main(["list", "--directory", str(tmp_path)], spark).count() == 1
+    store.IndexTable(spark, "cli_index_test").delete()
