@@ -284,11 +284,15 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, and ``lines_total`` and ``lines_removed``."""
     docs = docs.drop("lines_total", "lines_removed")
-    out = docs.withColumn("_doc", _doc()).join(saved(judge(docs, text)).withColumnRenamed("doc", "_doc"), "_doc", "left")
-    all_lines = F.split(F.col(text), "\n")
+    gone = saved(judge(docs, text))
+    # the row travels as one column, so that its names cannot clash with those used here
+    rows = docs.select(_doc().alias("doc"), F.struct(*docs.columns).alias("row")).join(gone, "doc", "left")
+    whole = F.col("row")[text]
+    lines = F.split(whole, "\n")
     # a doc_id's other row may have another line in the place: the hash tells
-    left = F.when(F.col("gone").isNull(), all_lines).otherwise(F.filter(all_lines, lambda x, i: ~F.array_contains("gone", F.struct(i.alias("ln"), F.xxhash64(x).alias("h")))))
-    out = out.withColumn("_left", left).withColumn("lines_total", F.coalesce(F.size(all_lines), F.lit(0)).cast("long"))
-    out = out.withColumn("lines_total", F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(F.col("lines_total")))
-    removed = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(F.col("lines_total") - F.size("_left"))
-    return out.withColumn("lines_removed", removed.cast("long")).withColumn(text, F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join("_left", "\n"))).drop("_left", "gone", "_doc")
+    left = F.filter(lines, lambda x, i: ~F.array_contains("gone", F.struct(i.alias("ln"), F.xxhash64(x).alias("h"))))
+    rows = rows.select("row", F.when(F.col("gone").isNull(), lines).otherwise(left).alias("left"), F.col("gone").isNull().alias("same"))
+    total = F.when(whole.isNull(), 0).otherwise(F.size(lines)).cast("long")
+    kept = F.when(whole.isNull(), 0).otherwise(F.size("left")).cast("long")
+    out = F.when(F.col("same"), whole).otherwise(F.array_join("left", "\n"))
+    return rows.select(*[out.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns], total.alias("lines_total"), (total - kept).alias("lines_removed"))

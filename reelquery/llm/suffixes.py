@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from reelquery.llm.common import release, saved
 from reelquery.llm.ngrams import _mixed, grouped
@@ -306,10 +307,11 @@ def cut(docs: DataFrame, text: str = "text") -> DataFrame:
         some = some.unionByName(saved(compared_by_windows(contexts(docs, rest.join(hot, "lead"), text))))
     release(docs)
     whole = met.filter("full").select("uid", F.greatest(F.col("place") - BEFORE, F.lit(0)).alias("a"), (F.col("place") + LENGTH).alias("b"))
-    spans = some.unionByName(whole).groupBy("uid").agg(F.collect_set(F.struct("a", "b")).alias("_spans"))
-    rows = docs.withColumn("_uid", uid(text)).join(spans.withColumnRenamed("uid", "_uid"), "_uid", "left").drop("_uid")
-    schema = docs.select("*", F.lit(b"").alias("kept_bytes"), F.lit(None).cast("array<struct<a: int, b: int>>").alias("removed_spans"), F.lit(0).cast("long").alias("n_bytes")).schema
-    at, n = docs.columns.index(text), len(docs.columns)
+    spans = some.unionByName(whole).groupBy("uid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    # the row travels as one column, so that its names cannot clash with those used here
+    rows = docs.select(uid(text).alias("uid"), F.struct(*docs.columns).alias("row")).join(spans, "uid", "left").select("row", F.col("row")[text].alias("text"), "spans")
+    made = "kept_bytes binary, removed_spans array<struct<a: int, b: int>>, n_bytes long"
+    schema = StructType([*rows.select("row").schema, *StructType.fromDDL(made)])
     arrow = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +319,7 @@ def cut(docs: DataFrame, text: str = "text") -> DataFrame:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
                 kept, gone, size = [], [], []
-                for t, s in zip(b.column(at), b.column(n), strict=True):
+                for t, s in zip(b.column(1), b.column(2), strict=True):
                     raw = (t.as_py() or "").encode()
                     runs: list[list[int]] = []
                     for a, z in sorted((x["a"], min(x["b"], len(raw))) for x in s.as_py() or ()):
@@ -329,9 +331,9 @@ def cut(docs: DataFrame, text: str = "text") -> DataFrame:
                     kept.append(b"".join(raw[x:y] for x, y in zip(ends, [*(a for a, _ in runs), len(raw)], strict=True)))
                     gone.append([{"a": a, "b": z} for a, z in runs])
                     size.append(len(raw))
-                yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(kept, pa.binary()), pa.array(gone, arrow), pa.array(size, pa.int64())], names=[f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array(gone, arrow), pa.array(size, pa.int64())], names=[f.name for f in schema])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*[F.col("row")[c].alias(c) for c in docs.columns], "kept_bytes", "removed_spans", "n_bytes")
 
 
 def digests(out: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def brute(rows):
 
 
 def compare(spark, rows):
-    df = spark.createDataFrame([(a, b, "s") for a, b in rows], "doc_id long, text string, h string")
+    df = spark.createDataFrame([(a, b, "s", "t", "u") for a, b in rows], "doc_id long, text string, gone string, doc string, left string")
     got = [tuple(r) for r in lines.dedup(df).select("doc_id", "text", "lines_total", "lines_removed").collect()]
     assert sorted(got, key=str) == sorted(brute(rows), key=str)
     return sum(r[3] for r in got)

@@ -10,7 +10,7 @@ from tests.llm import brute
 
 
 def compare(spark, rows):
-    df = spark.createDataFrame([(a, b, 7) for a, b in rows], "doc_id long, text string, uid int")
+    df = spark.createDataFrame([(a, b, 7, 8, 9) for a, b in rows], "doc_id long, text string, uid int, spans int, row int")
     got = sorted((tuple(r) for r in suffixes.digests(suffixes.cut(df)).collect()), key=str)
     want = [(a, *x[:3], hashlib.sha256(x[3]).hexdigest()) for (a, _), x in zip(rows, brute.repeated_bytes([t for _, t in rows]), strict=True)]
     assert got == sorted(want, key=str)
