@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs.  All but the last return the columns of ``documents``.
 
-1. language: labels every text; texts without letters, or with no language for at least half of their letters, go; ``lang``
+1. language: labels every text; texts without letters, or with no language for at least 35 % of their letters, go; ``lang``
    becomes the language found
 2. lines: repeated lines are cut out of the texts; texts of which nothing is left go; ``n_chars`` is counted again
 3. ngrams: of each group of near-duplicates the document with the smallest doc_id stays
@@ -15,11 +15,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelquery import ship
 from reelquery.llm import language, lines, mixing, ngrams, pieces
 from reelquery.llm.common import saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.35
 MIX = ((1, 2), 1, 42)
 
 
@@ -57,6 +58,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir))
