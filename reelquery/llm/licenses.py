@@ -67,8 +67,8 @@ RULES = [
     ("Proprietary", ["all_rights"]),
 ]
 TRIGGERS = ("licen", "permi", "warrant", "redistribut", "copyright", "rights")
-#: A sentence ends at a line end, or at . ! ? ; : with a blank behind it.  Lines that one sentence fills stay whole too.
-ENDS = r"\n|[.!?;:] "
+#: Within a line, a sentence ends at . ! ? ; : with a blank behind it.
+END = "[.!?;:] "
 
 
 def normal(sentence: str) -> str:
@@ -99,7 +99,7 @@ def sentence_ids(text: Column) -> Column:
         F.transform(
             lines,
             lambda line: F.when(F.map_contains_key(table, _normal(line)), F.array(F.element_at(table, _normal(line)))).otherwise(
-                F.filter(F.transform(F.split(line, r"[.!?;:] "), lambda s: F.try_element_at(table, _normal(s))), lambda x: x.isNotNull())
+                F.filter(F.transform(F.split(line, END), lambda s: F.try_element_at(table, _normal(s))), lambda x: x.isNotNull())
             ),
         )
     )
@@ -142,7 +142,7 @@ def oracle_sql() -> str:
     return f"""WITH known(k, id) AS (VALUES {values}),
 lines AS (SELECT row, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS ln FROM (SELECT row_number() OVER () AS row, doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 whole AS (SELECT row, doc_id, ln, 0 AS sn, id, line FROM lines LEFT JOIN known ON k = {norm('line')}),
-parts AS (SELECT row, ln, unnest(ss) AS s, generate_subscripts(ss, 1) AS sn FROM (SELECT row, ln, regexp_split_to_array(line, '[.!?;:] ') AS ss FROM whole WHERE id IS NULL)),
+parts AS (SELECT row, ln, unnest(ss) AS s, generate_subscripts(ss, 1) AS sn FROM (SELECT row, ln, regexp_split_to_array(line, '{END}') AS ss FROM whole WHERE id IS NULL)),
 ids AS (SELECT row, ln, sn, id FROM whole WHERE id IS NOT NULL UNION ALL SELECT row, ln, sn, known.id FROM parts JOIN known ON k = {norm('s')}),
 seqs AS (SELECT row, count(*) AS n, string_agg(id, ',' ORDER BY ln, sn) AS ids FROM ids GROUP BY row),
 r0 AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids, ',' || coalesce(ids, '') || ',' AS s0 FROM (SELECT row_number() OVER () AS row, doc_id FROM documents) LEFT JOIN seqs USING (row)),
