@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SCALE, STEP, RESOLVE, ROWS, QUERIES = 256, 32, 64, 4096, 2048
+SCALE, STEP, RESOLVE, ROWS, QUERIES = 256, 64, 64, 8192, 2048
 LIMIT = 2**31 - 1
 
 
@@ -35,42 +35,53 @@ def integers(column: pd.Series) -> np.ndarray:
 
 
 class Lists:
-    """One block's rows and its sorted lists."""
+    """One block's rows and its sorted lists: per component the rows and values in ascending order, side by side."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
-        self.order = np.argsort(rows, axis=0, kind="stable")
-        self.low, self.high = rows.min(axis=0), rows.max(axis=0)
+        columns = np.ascontiguousarray(rows.T)
+        self.order = np.argsort(columns, axis=1, kind="stable")
+        self.values = np.take_along_axis(columns, self.order, axis=1).astype(np.float64)
 
     def best(self, q: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows but the one whose id is ``own``."""
-        n, rows = len(self.ids), self.rows
-        free = np.ones(n, bool) if own is None else self.ids != own
-        dims = np.flatnonzero(q)
-        able = np.flatnonzero(free)
-        if len(dims) and len(able) > max(RESOLVE, k):
-            w = q[dims].astype(np.float64)
-            lists = np.where(w > 0, self.order[::-1][:, dims], self.order[:, dims])
-            worst = np.where(w > 0, self.low[dims], self.high[dims]) * w
-            known, seen = np.zeros(n), np.zeros((n, len(dims)), np.float32)
-            at, step, col = 0, STEP, np.arange(len(dims))
-            while at < n:
-                read = lists[at : at + step]
-                value = rows[read, dims] * w
-                known += np.bincount(read.ravel(), value.ravel(), minlength=n)
-                seen[read, col] = 1
-                at, step = at + step, step * 2
-                unseen = 1 - seen
-                lower = known + unseen @ worst
-                slack = 1e-9 * (np.abs(worst).sum() + np.abs(value[-1]).sum())
-                bar = np.partition(lower[able], len(able) - k)[len(able) - k] - slack
-                able = able[known[able] + unseen[able] @ value[-1] >= bar]
-                if len(able) <= RESOLVE:
-                    break
-        score = rows[able] @ q
+        able = np.arange(len(self.ids)) if own is None else np.flatnonzero(self.ids != own)
+        if q.any() and len(able) > max(RESOLVE, k):
+            able = self._able(q, k, able)
+        score = self.rows[able] @ q
         top = np.lexsort((self.ids[able], -score))[:k]
         return self.ids[able][top], score[top]
 
+    def _able(self, q: np.ndarray, k: int, able: np.ndarray) -> np.ndarray:
+        """Reads the lists until few rows can still be among the k best, and returns those."""
+        n = len(self.ids)
+        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)  # lists read from their end, and from their start
+        dims = np.concatenate([up, down])
+        w = q[dims].astype(np.float64)
+        worst = np.concatenate([self.values[up, 0], self.values[down, -1]]) * w
+        best = np.concatenate([self.values[up, -1], self.values[down, 0]]) * w
+        slack = 1e-5 * np.maximum(np.abs(worst), np.abs(best)).sum()  # the bounds are sums of 32-bit numbers
+        known, seen = np.zeros(n), np.zeros((len(w), n), np.float32)
+        flat, offset = seen.reshape(-1), (np.arange(len(w)) * n)[:, None]
+        at, step = 0, STEP
+        while at < n and len(able) > RESOLVE:
+            end = min(at + step, n)
+            met = np.concatenate([self.order[up, n - end : n - at], self.order[down, at:end]])
+            value = np.concatenate([self.values[up, n - end : n - at], self.values[down, at:end]])
+            value *= w[:, None]
+            known += np.bincount(met.ravel(), value.ravel(), minlength=n)
+            met += offset
+            flat[met.ravel()] = 1
+            at, step = end, min(step * 2, max(STEP, n // 8))
+            last = np.concatenate([value[: len(up), 0], value[len(up) :, -1]])
+            # no row's upper bound is below last.sum(), and no lower bound above known and what is never negative
+            if last.sum() >= np.partition(known[able], len(able) - k)[len(able) - k] + np.maximum(worst, 0).sum():
+                continue
+            lower = known[able] + worst.sum() - (worst.astype(np.float32) @ seen)[able]
+            bar = np.partition(lower, len(able) - k)[len(able) - k] - slack
+            able = able[known[able] + last.sum() - (last.astype(np.float32) @ seen)[able] >= bar]
+        return able
+
 
 FOUND = "query_id long, vec_id long, score long"
 
