@@ -97,7 +97,7 @@ def uid(text: str = "text") -> Column:
     return F.xxhash64(F.col("doc_id"), F.col(text))
 
 
-SUFFIX = "part int, lead long, context long, uid long, place int"
+SUFFIX = "part int, times int, lead long, context long, uid long, place int"
 
 
 def _batches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -115,15 +115,22 @@ def _batches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[byt
 
 
 def splitters(docs: DataFrame, parts: int, text: str = "text") -> np.ndarray:
-    """Ends of ``parts`` ranges of leads: quantiles over some SPLIT_TEXTS texts chosen by hash (they set sizes, not results)."""
+    """Ends of ``parts`` ranges of leads: quantiles of the different leads of some SPLIT_TEXTS texts chosen by hash.
+
+    They set the ranges' sizes, not the results.
+    """
     n = docs.count()
     some = docs.filter(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(min(1.0, SPLIT_TEXTS / max(n, 1)) * (1 << 30)))
-    got = suffixes(some, np.zeros(0, np.uint64), text).select("lead").limit(SPLIT_LEADS).toPandas()["lead"].to_numpy().view(np.uint64)
-    return np.unique(np.sort(got)[np.linspace(0, len(got) - 1, parts + 1).astype(int)[1:-1]]) if len(got) else np.zeros(0, np.uint64)
+    got = np.unique(suffixes(some, np.zeros(0, np.uint64), text).select("lead").limit(SPLIT_LEADS).toPandas()["lead"].to_numpy().view(np.uint64))
+    return got[np.unique(np.linspace(0, len(got) - 1, parts + 1).astype(int)[1:-1])] if len(got) else got
 
 
 def suffixes(docs: DataFrame, ends: np.ndarray, text: str = "text") -> DataFrame:
-    """The sampled suffixes with the range of leads they belong to."""
+    """The sampled suffixes with the range of leads they belong to.
+
+    ``times``: how often the batch met the context (2 stands for more); 0 for rows that another row of the batch speaks
+    for, which are dealt by text.
+    """
     rows = docs.select(uid(text).alias("uid"), F.col(text).alias("text")).filter(F.length("text") > LENGTH // 4 - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,10 +138,16 @@ def suffixes(docs: DataFrame, ends: np.ndarray, text: str = "text") -> DataFrame
             ids = b.column(0).to_numpy()
             for first, texts in _batches(b, 1):
                 at, place, lead, context = sampled(texts)
-                part = np.searchsorted(ends, lead, side="right").astype(np.int32)
+                # a context that is met again in the batch is settled here: one row speaks for it
+                _, one, same, times = np.unique(context, return_index=True, return_inverse=True, return_counts=True)
+                speaks = np.zeros(len(context), bool)
+                speaks[one] = True
+                times = np.where(speaks, np.minimum(times[same], 2), 0).astype(np.int32)
+                u = ids[first + at]
+                part = np.where(speaks, np.searchsorted(ends, lead, side="right"), u % (len(ends) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part), pa.array(lead.view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids[first + at]), pa.array(place.astype(np.int32))],
-                    names=["part", "lead", "context", "uid", "place"],
+                    [pa.array(part), pa.array(times), pa.array(lead.view(np.int64)), pa.array(context.view(np.int64)), pa.array(u), pa.array(place.astype(np.int32))],
+                    names=["part", "times", "lead", "context", "uid", "place"],
                 )
 
     return rows.mapInArrow(run, SUFFIX)
@@ -161,15 +174,21 @@ def judged(rows: DataFrame, parts: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            lead, context, u, place = (b.column(i).to_numpy() for i in range(4))
-            more, before = 0, False
+            lead, context, u, place, met = (b.column(i).to_numpy() for i in range(5))
+            settled = met == 0
+            if settled.any():
+                true = np.ones(int(settled.sum()), bool)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lead[settled], u[settled], place[settled], true, true)], names=names)
+                lead, context, u, place, met = (x[~settled] for x in (lead, context, u, place, met))
+                if not len(lead):
+                    continue
+            before = False
             if held is not None:
                 lead, context, u, place = (np.append(x, y) for x, y in zip(held[0], (lead, context, u, place), strict=True))
-                more, before = held[1] - 1, held[2]
+                met, before = np.append(held[1], met), held[2]
             new = np.concatenate([[True], (lead[1:] != lead[:-1]) | (context[1:] != context[:-1])])
             at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(lead)))
-            times[0] += more
+            times = np.minimum(np.add.reduceat(met.astype(np.int64), at), 2)
             had = np.concatenate([[before], lead[at[1:]] == lead[at[:-1]]])
             rest = np.flatnonzero(~new)
             true = np.ones(len(rest), bool)
@@ -183,7 +202,7 @@ def judged(rows: DataFrame, parts: int) -> DataFrame:
             yield firsts(lead, u, place, np.array([times]), np.array([had]), np.array([False]))
 
     dealt = rows.repartition(parts, "part").sortWithinPartitions("lead", "context")
-    return dealt.select("lead", "context", "uid", "place").mapInArrow(run, "lead long, uid long, place int, full boolean, alone boolean")
+    return dealt.select("lead", "context", "uid", "place", "times").mapInArrow(run, "lead long, uid long, place int, full boolean, alone boolean")
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
