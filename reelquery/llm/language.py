@@ -146,7 +146,7 @@ class Labeller:
     """Scores of words are kept in a bounded table."""
 
     def __init__(self, model: Model):
-        self.model, self.kept, self.rows = model, {}, np.zeros((0, len(model.langs)))
+        self.model, self.kept, self.rows = model, {}, np.zeros((KEPT_WORDS + CHUNK_WORDS, len(model.langs)))
 
     def scores(self, words: list[str]) -> np.ndarray:
         get = self.kept.get
@@ -154,12 +154,12 @@ class Labeller:
         if new:
             if len(self.kept) + len(new) > KEPT_WORDS:
                 self.kept.clear()
-                self.rows = self.rows[:0]
                 new = list(dict.fromkeys(words))
             n = len(self.kept)
             self.kept.update(zip(new, range(n, n + len(new)), strict=True))
-            fresh = [self.model.word_scores(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]
-            self.rows = np.concatenate([self.rows, *fresh])
+            for i in range(0, len(new), 10_000):
+                part = new[i : i + 10_000]
+                self.rows[n + i : n + i + len(part)] = self.model.word_scores(part)
         return self.rows[np.fromiter(map(self.kept.__getitem__, words), dtype=np.int64, count=len(words))]
 
     def text_scores(self, words: list[str]) -> np.ndarray:
@@ -202,8 +202,8 @@ def label(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Labeller(shared.value)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 64):
-                b = whole.slice(lo, 64)
+            for lo in range(0, whole.num_rows, 16):
+                b = whole.slice(lo, 16)
                 texts = b.column(at).to_pylist()
                 words = [LETTERS.findall(t) if t else [] for t in texts]
                 flat = [w for x in words for w in x]

@@ -36,7 +36,7 @@ from reelquery.llm.common import components, roots, saved
 WORDS, THRESHOLD, T, RUNS, SMALL, DEPTH = 5, 0.8, 64, 16, 256, 4
 MARGIN = THRESHOLD - 3 * (THRESHOLD * (1 - THRESHOLD) / T) ** 0.5
 BLOCK = 1024
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 WORD = re.compile(r"[^\W_]+")
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(1, 1 << 63, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
