@@ -3,6 +3,7 @@
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -39,9 +40,14 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of what has been written out and is no longer referred to."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of what has been written out and is no longer referred to.
+
+    Spark does so when the driver collects its garbage: twice, as the first time frees what refers to the plans.
+    """
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def components(edges: DataFrame) -> DataFrame:

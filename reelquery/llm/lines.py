@@ -11,9 +11,9 @@ this scale no shuffle bears.  Even so a line's variants are emitted in two sizes
 * A word whose hash ends in three zero bits begins a block.  Lines of ``MANY`` blocks or more emit the line without each block,
   without each two blocks in a row, and whole: one edited word changes one block, or joins or parts two, so what is
   left is equal on both sides.  A line of n words emits about n / 4 keys.
-* Lines of up to ``MANY`` + 1 blocks emit the line without each word, and whole.
+* Lines of up to ``MANY`` blocks emit the line without each word, and whole.
 
-An edit changes the number of blocks by one at most, so both lines of a pair take part in one of the two.  Keys met in one
+An edit changes the number of blocks by one at most, so both lines of a pair have MANY blocks or more, or both MANY or fewer.  Keys met in one
 line only are dropped; lines that share a key meet with their words, and the edit distance is verified.  Within a group
 the earlier line is found by the group's own one-word variants, so a group costs time in proportion to its size.  Groups of
 more than ``HOT`` lines are not gathered at all: their lines' one-word variants (128 bits) are aggregated and joined.
@@ -76,11 +76,11 @@ def variants(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
             keys.append(without(at, s, e))
             owner.append(at)
 
-        ok = (long & (blocks >= MANY))[of]
+        ok = (long & (blocks >= MANY))[of]  # of a pair with fewer blocks on one side, both emit words
         emit(of[ok], begin[ok], end[ok])
         pair = ok[:-1] & (of[:-1] == of[1:]) if len(of) else ok
         emit(of[:-1][pair], begin[:-1][pair], end[1:][pair])
-        few = (long & (blocks <= MANY + 1))[line]
+        few = (long & (blocks <= MANY))[line]
         at = np.flatnonzero(few)
         emit(line[at], at, at + 1)
         whole = np.flatnonzero(long)
