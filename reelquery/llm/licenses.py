@@ -46,7 +46,58 @@ SENTENCES = [
     ("cc_by_sa4_ref", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("mpl2_ref", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("all_rights", "All rights reserved."),
+    ("gpl2_free", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("lgpl21_free", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("lgpl3_free", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("lgpl3_free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("agpl3_free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl_hope", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("isc_grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("isc_grant", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("bsd0_grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("unlicense_free", "This is free and unencumbered software released into the public domain."),
+    ("cc0_waiver", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("cc0_waiver", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
+    ("zlib_grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("bsl1_ref", "Distributed under the Boost Software License, Version 1.0."),
 ]
+#: Identifier, licence and names; each name follows each of ``LEADS``, with ``the`` or without.
+NAMES = [
+    ("mit_ref", "MIT", ["MIT", "MIT License"]),
+    ("apache2_ref", "Apache-2.0", ["Apache 2.0", "Apache 2.0 License", "Apache License 2.0", "Apache License, Version 2.0"]),
+    ("gpl3_later_ref", "GPL-3.0-or-later", ["GPL 3.0 or later", "GNU GPL v3 or later", "GPLv3 or later", "GNU General Public License, version 3 or later", "GNU General Public License v3.0 or later"]),
+    ("gpl3_ref", "GPL-3.0-only", ["GPL 3.0", "GPL 3.0 only", "GPLv3", "GPL v3", "GNU GPL v3", "GNU GPLv3", "GNU General Public License, version 3", "GNU General Public License v3.0"]),
+    ("gpl2_later_ref", "GPL-2.0-or-later", ["GPL 2.0 or later", "GNU GPL v2 or later", "GPLv2 or later", "GNU General Public License, version 2 or later", "GNU General Public License v2.0 or later"]),
+    ("gpl2_ref", "GPL-2.0-only", ["GPL 2.0", "GPL 2.0 only", "GPLv2", "GPL v2", "GNU GPL v2", "GNU GPLv2", "GNU General Public License, version 2", "GNU General Public License v2.0"]),
+    ("lgpl3_later_ref", "LGPL-3.0-or-later", ["LGPL 3.0 or later", "LGPLv3 or later", "GNU Lesser General Public License, version 3 or later"]),
+    ("lgpl3_ref", "LGPL-3.0-only", ["LGPL 3.0", "LGPL 3.0 only", "LGPLv3", "GNU LGPLv3", "GNU LGPL v3", "GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0"]),
+    ("lgpl21_later_ref", "LGPL-2.1-or-later", ["LGPL 2.1 or later", "LGPLv2.1 or later", "GNU Lesser General Public License, version 2.1 or later"]),
+    ("lgpl21_ref", "LGPL-2.1-only", ["LGPL 2.1", "LGPL 2.1 only", "LGPLv2.1", "GNU LGPL v2.1", "GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1"]),
+    ("agpl3_later_ref", "AGPL-3.0-or-later", ["AGPL 3.0 or later", "AGPLv3 or later", "GNU Affero General Public License, version 3 or later"]),
+    ("agpl3_ref", "AGPL-3.0-only", ["AGPL 3.0", "AGPL 3.0 only", "AGPLv3", "GNU AGPLv3", "GNU AGPL v3", "GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0"]),
+    ("bsd3_ref", "BSD-3-Clause", ["BSD 3 Clause", "BSD 3 Clause License", "3 Clause BSD License", "New BSD License"]),
+    ("bsd2_ref", "BSD-2-Clause", ["BSD 2 Clause", "BSD 2 Clause License", "2 Clause BSD License", "Simplified BSD License"]),
+    ("bsd0_ref", "0BSD", ["0BSD", "0BSD License", "BSD Zero Clause License"]),
+    ("isc_ref", "ISC", ["ISC", "ISC License"]),
+    ("mpl2_ref", "MPL-2.0", ["MPL 2.0", "Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License, version 2.0"]),
+    ("epl2_ref", "EPL-2.0", ["EPL 2.0", "Eclipse Public License 2.0", "Eclipse Public License, v. 2.0", "Eclipse Public License, version 2.0"]),
+    ("bsl1_ref", "BSL-1.0", ["BSL 1.0", "Boost Software License 1.0", "Boost Software License, Version 1.0"]),
+    ("zlib_ref", "Zlib", ["Zlib", "zlib License"]),
+    ("unlicense_ref", "Unlicense", ["Unlicense"]),
+    ("cc0_ref", "CC0-1.0", ["CC0", "CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal", "Creative Commons CC0 1.0 Universal License"]),
+    *[
+        (f"cc_{code.lower().replace('-', '_')}{v}_ref", f"CC-{code}-{v}.0", [f"CC {code} {v}.0", f"CC {code} {v}.0 License", *(f"{a}Creative Commons {words} {v}.0 {kind}{end}" for a in ("", "a ") for kind in kinds for end in ("", " License"))])
+        for v, kinds in ((4, ("International",)), (3, ("Unported",)))
+        for code, words in (
+            ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"),
+            ("BY-ND", "Attribution-NoDerivatives"), ("BY-SA", "Attribution-ShareAlike"), ("BY", "Attribution"),
+        )
+    ],
+]
+LEADS = (
+    "Licensed under", "Released under", "Distributed under", "Available under", "License:", "SPDX-License-Identifier:",
+    *(f"This {what} is licensed under" for what in ("work", "project", "software", "program", "code", "file", "document", "content")),
+)
 #: Licence and the sequence of identifiers it takes, most specific first.
 RULES = [
     ("MIT", ["mit_grant", "mit_notice", "as_is"]),
@@ -54,19 +105,26 @@ RULES = [
     ("Apache-2.0", ["apache2_ref", "apache2_comply", "apache2_copy", "apache2_as_is"]),
     ("Apache-2.0", ["apache2_ref", "apache2_comply"]),
     ("GPL-3.0-or-later", ["gpl_free", "gpl_hope"]),
+    ("GPL-2.0-or-later", ["gpl2_free", "gpl_hope"]),
+    ("LGPL-2.1-or-later", ["lgpl21_free", "gpl_hope"]),
+    ("LGPL-3.0-or-later", ["lgpl3_free", "gpl_hope"]),
+    ("AGPL-3.0-or-later", ["agpl3_free", "gpl_hope"]),
     ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_names"]),
     ("BSD-2-Clause", ["bsd_grant", "bsd_source", "bsd_binary"]),
-    ("MIT", ["mit_ref"]),
-    ("Apache-2.0", ["apache2_ref"]),
-    ("GPL-3.0-only", ["gpl3_ref"]),
-    ("GPL-2.0-only", ["gpl2_ref"]),
     ("GPL-3.0-or-later", ["gpl_free"]),
-    ("CC-BY-4.0", ["cc_by4_ref"]),
-    ("CC-BY-SA-4.0", ["cc_by_sa4_ref"]),
-    ("MPL-2.0", ["mpl2_ref"]),
+    ("GPL-2.0-or-later", ["gpl2_free"]),
+    ("LGPL-2.1-or-later", ["lgpl21_free"]),
+    ("LGPL-3.0-or-later", ["lgpl3_free"]),
+    ("AGPL-3.0-or-later", ["agpl3_free"]),
+    ("ISC", ["isc_grant"]),
+    ("0BSD", ["bsd0_grant"]),
+    ("Zlib", ["zlib_grant"]),
+    ("Unlicense", ["unlicense_free"]),
+    ("CC0-1.0", ["cc0_waiver"]),
+    *[(licence, [name]) for name, licence, _ in NAMES],
     ("Proprietary", ["all_rights"]),
 ]
-TRIGGERS = ("licen", "permi", "warrant", "redistribut", "copyright", "rights")
+TRIGGERS = ("licen", "permi", "warrant", "redistribut", "copyright", "rights", "unencumbered", "distributed", "released", "available")
 #: Within a line, a sentence ends at . ! ? ; : with a blank behind it.
 END = "[.!?;:] "
 
@@ -78,7 +136,8 @@ def normal(sentence: str) -> str:
 def known() -> dict[str, str]:
     """Normalised sentence to identifier.  One that holds a sentence end inside is known only as a whole line."""
     out: dict[str, str] = {}
-    for name, sentence in SENTENCES:
+    named = [(name, f"{lead} {the}{n}") for name, _, names in NAMES for n in names for lead in LEADS for the in (("",) if lead.endswith(":") else ("", "the "))]
+    for name, sentence in SENTENCES + named:
         key = normal(sentence)
         if not any(t in key for t in TRIGGERS):
             raise ValueError(f"no trigger in {sentence!r}")
@@ -87,12 +146,13 @@ def known() -> dict[str, str]:
 
 
 def _normal(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    # the + of GPL-2.0+ must not be lost
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "(?<=[0-9])\\+", " or later"), "[^a-z0-9]+", " "))
 
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of a text's known sentences, in order; an empty array if there are none."""
-    table = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
+    table = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in known().items())), F.lit(","), F.lit(":"))
     # a line that is a known sentence as a whole counts once; other lines are cut at sentence ends
     lines = F.split(text, "\n")
     ids = F.flatten(
@@ -112,12 +172,11 @@ def sentence_ids(text: Column) -> Column:
 
 def apply_rules(sequence: Column) -> Column:
     """Licences of ``,id,id,...,``: each rule in turn, its matches taken out."""
-    found = []
-    for name, ids in RULES:
-        pattern = F.lit("," + ",".join(ids) + ",")
-        found.append(F.when(sequence.contains(pattern), F.lit(name)))
-        sequence = F.replace(sequence, pattern, F.lit(",-,"))
-    return F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("," + ",".join(ids) + ",").alias("ids")) for name, ids in RULES])
+    step = lambda s, r: F.when(s["left"].contains(r["ids"]), F.struct(F.replace(s["left"], r["ids"], F.lit(",-,")).alias("left"), F.array_append(s["found"], r["name"]).alias("found"))).otherwise(s)
+    none = F.array().cast("array<string>")
+    found = F.aggregate(rules, F.struct(sequence.alias("left"), none.alias("found")), step, lambda s: s["found"])
+    return F.when(sequence == ",,", none).otherwise(F.array_distinct(found))
 
 
 def recognise(docs: DataFrame, text: str = "text") -> DataFrame:
