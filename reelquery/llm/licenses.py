@@ -1,8 +1,8 @@
 """Licence recognition by sentences, with DataFrame functions only.
 
-A text is cut at line ends and sentence ends; each sentence is normalised (lower case, runs of anything but letters and
-digits become one blank) and looked up among known licence sentences; the identifiers found, in text order, are matched
-against ordered rules.  A rule is a sequence of identifiers that must follow one another in the text's sequence; the
+A text is normalised (lower case, runs of anything but letters and digits become one blank) and cut at line ends and sentence
+ends; runs of parts that make up known licence sentences are found, so a sentence may be wrapped, in comment marks, or hold a
+sentence end inside; the identifiers found, in text order, are matched against ordered rules.  A rule is a sequence of identifiers that must follow one another in the text's sequence; the
 first rules are the most specific, and what a rule has matched is not seen by later ones.
 
 All of it is per row: no shuffle, no broadcast beyond the fixed tables below, and no Python on the executors.  Every known
@@ -134,7 +134,7 @@ def normal(sentence: str) -> str:
 
 
 def known() -> dict[str, str]:
-    """Normalised sentence to identifier.  One that holds a sentence end inside is known only as a whole line."""
+    """Normalised sentence to identifier."""
     out: dict[str, str] = {}
     named = [(name, f"{lead} {the}{n}") for name, _, names in NAMES for n in names for lead in LEADS for the in (("",) if lead.endswith(":") else ("", "the "))]
     for name, sentence in SENTENCES + named:
@@ -145,24 +145,48 @@ def known() -> dict[str, str]:
     return out
 
 
-def _normal(c: Column) -> Column:
-    # the + of GPL-2.0+ must not be lost
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "(?<=[0-9])\\+", " or later"), "[^a-z0-9]+", " "))
+def spread(sentences: list[str]) -> str:
+    """A regular expression for normalised sentences, the longest first, whose words may stand on several lines."""
+    tree: dict = {}
+    for s in sentences:
+        node = tree
+        for word in s.split(" "):
+            node = node.setdefault(word, {})
+        node[""] = {}
+
+    def after(node: dict) -> str:
+        if "" not in node:
+            return "[ \\n]" + write(node)
+        return "(?=\\n)" if len(node) == 1 else "(?:[ \\n]" + write(node) + "|(?=\\n))"
+
+    def write(node: dict) -> str:
+        ways = [word + after(node[word]) for word in node if word]
+        return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
+
+    return "(?<=\\n)" + write(tree)
+
+
+def _parts(c: Column) -> Column:
+    """Normalised text in which every line end and sentence end is one line feed, also at both ends.
+
+    Comment marks go with the rest of the signs; those that are words go at the start of a line.
+    """
+    c = F.regexp_replace(F.lower(c), r"(?m)^[ \t]*(?:dnl|rem|c)(?=[ \t\r\n]|\z)", "")
+    c = F.regexp_replace(c, "(?<=[0-9])\\+", " or later")  # the + of GPL-2.0+ must not be lost
+    c = F.regexp_replace(F.regexp_replace(c, END, "\n"), "[^a-z0-9\n]+", " ")
+    return F.regexp_replace(F.concat(F.lit("\n"), c, F.lit("\n")), " *\n[ \n]*", "\n")
 
 
 def sentence_ids(text: Column) -> Column:
-    """The identifiers of a text's known sentences, in order; an empty array if there are none."""
-    table = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in known().items())), F.lit(","), F.lit(":"))
-    # a line that is a known sentence as a whole counts once; other lines are cut at sentence ends
-    lines = F.split(text, "\n")
-    ids = F.flatten(
-        F.transform(
-            lines,
-            lambda line: F.when(F.map_contains_key(table, _normal(line)), F.array(F.element_at(table, _normal(line)))).otherwise(
-                F.filter(F.transform(F.split(line, END), lambda s: F.try_element_at(table, _normal(s))), lambda x: x.isNotNull())
-            ),
-        )
-    )
+    """The identifiers of a text's known sentences, in order; an empty array if there are none.
+
+    A sentence starts and ends at line ends or sentence ends; between, it may hold any of them, so it is found when wrapped.
+    Where two start at the same place the longer one counts.
+    """
+    keys = known()
+    table = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in keys.items())), F.lit(","), F.lit(":"))
+    hits = F.regexp_extract_all(_parts(text), F.lit(spread(list(keys))), F.lit(0))
+    ids = F.transform(hits, lambda s: F.element_at(table, F.translate(s, "\n", " ")))
     low = F.lower(text)
     any_trigger = low.contains(TRIGGERS[0])
     for t in TRIGGERS[1:]:

@@ -1,5 +1,7 @@
 """Licence lines and the licences expected of them, written apart from the tables of ``licenses``."""
 
+import textwrap
+
 from reelquery.llm import licenses
 
 EXPECTED = {
@@ -39,3 +41,37 @@ def test_sentences_have_one_identifier_each():
     named = [(licenses.normal(s), n) for n, s in licenses.SENTENCES]
     assert all(licenses.known()[k] == n for k, n in named)
     assert {n for _, ids in licenses.RULES for n in ids} >= {n for n, _, _ in licenses.NAMES}
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+
+
+def test_wrapped_headers(spark):
+    headers = {"MIT": MIT, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL, "BSD-2-Clause": BSD, "MPL-2.0": MPL}
+    texts, expected = [], []
+    for licence, text in headers.items():
+        for mark, end in (("", "\n"), (" * ", "\n"), ("// ", "\r\n"), ("# ", "\n"), ("dnl ", "\n"), ("C     ", "\n")):
+            for width in (30, 72, 10_000):
+                lines = [x for par in text.split("\n\n") for x in [*textwrap.wrap(par, width), ""]]
+                texts.append(end.join(["first line", *(mark + x for x in lines), "last line"]))
+                expected.append([licence])
+    assert found(spark, texts) == expected
+
+
+def test_parts_of_sentences_are_not_sentences(spark):
+    texts = ["Unlike the MIT License this asks for\nmore.", "Released under the MIT License\nfor some", "released under the MIT Licenses", "MIT License, all rights reserved by us"]
+    assert found(spark, texts) == [[], ["MIT"], [], []]
