@@ -5,8 +5,9 @@ nearest codes and visits the ``probes`` cells whose codes are nearest in sum, in
 algorithm.  A pair is compared, by cosine in double precision, in the home cell of one that the other visits.
 
 The codebooks are fitted on a bounded sample (``SAMPLE`` rows by hash); every row is indexed.  ``probes`` is calibrated:
-``ASKED`` sampled vectors are compared with all rows by brute force, and the traversal goes as far as ``TARGET`` of their
-links (at 0.9 or above) would need, and half as far again.
+``ASKED`` sampled vectors, or as many more as it takes for ``ENOUGH`` of them to have a link, are compared with all rows by brute
+force, and the traversal goes as far as ``TARGET`` of their links (at 0.9 or above) would need, and half as far again.  If
+the sample has too few, it goes as far as pairs planted at a cosine of 0.9 need as well: those are the hardest links.
 
 Equal vectors are one class with a count.  A linked pair that two cells could see is counted in the smaller one, so counts add up;
 cells give counts and one edge per vector, never pairs.  Cells with many rows are cut into blocks that meet pairwise.
@@ -16,6 +17,7 @@ vectors of another length than most.  ``vec_id`` names a row; rows that share on
 their vectors, and each gives a row.
 """
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ from reelquery.llm.ngrams import grouped, in_blocks
 
 THRESHOLD, TARGET, SAMPLE, ASKED, CELL_ROWS, BLOCK, SEED = 0.9, 0.995, 20_000, 1024, 16, 1024, 11
 LEAST_PROBES, MOST_PROBES = 4, 256
+#: Linked vectors for a calibration: with 600, the furthest seen is beyond the 0.995 quantile in 95 % of the draws.
+ENOUGH = 600
 
 
 def matrix(column) -> np.ndarray:
@@ -94,19 +98,45 @@ def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, same
 
 
-def calibrate(classes: DataFrame, grid: Grid, asked: np.ndarray, ids: np.ndarray) -> int:
-    """The probes that would find TARGET of the sampled vectors' links."""
-    shared = classes.sparkSession.sparkContext.broadcast((grid, asked, ids))  # ASKED vectors at most
+def planted(grid: Grid, asked: np.ndarray) -> np.ndarray:
+    """The ranks at which ``asked`` and vectors planted at a cosine of THRESHOLD to them are found, from either side."""
+    u = np.random.default_rng(SEED).normal(size=asked.shape)
+    u -= (u * asked).sum(1, keepdims=True) * asked
+    near = THRESHOLD * asked + (1 - THRESHOLD**2) ** 0.5 * u / np.linalg.norm(u, axis=1, keepdims=True)
+    return np.minimum(grid.rank(asked, grid.visits(near, 1)[:, 0]), grid.rank(near, grid.visits(asked, 1)[:, 0]))
+
+
+def calibrate(classes: DataFrame, grid: Grid, sample: np.ndarray, ids: np.ndarray) -> int:
+    """The probes that would find TARGET of the sampled vectors' links, or of planted ones if those are too few."""
+    asked = min(ASKED, len(sample))
+    need, linked = seen_links(classes, grid, sample[:asked], ids[:asked])
+    more = -(-asked * ENOUGH * 5 // (linked * 4)) if linked else len(sample) + 1
+    if linked < ENOUGH and asked < more <= len(sample):
+        asked = more
+        need, linked = seen_links(classes, grid, sample[:asked], ids[:asked])
+    if linked < ENOUGH and not asked == len(sample) < SAMPLE:  # unless every class was asked
+        rank = np.sort(planted(grid, sample[: 2 * ASKED]))
+        need = max(need, int(rank[min(len(rank) - 1, int(np.ceil(TARGET * len(rank))))]) + 1)
+    probes = max(LEAST_PROBES, need + (need + 1) // 2)
+    if probes > MOST_PROBES:
+        logging.getLogger(__name__).warning("%d probes a vector for a recall of %s: more than %d, expect large working tables", probes, TARGET, MOST_PROBES)
+    return probes
+
+
+def seen_links(classes: DataFrame, grid: Grid, asked: np.ndarray, ids: np.ndarray) -> tuple[int, int]:
+    """The probes that TARGET of the links of ``asked`` need, and how many of ``asked`` have one."""
+    shared = classes.sparkSession.sparkContext.broadcast((grid, asked, ids))  # SAMPLE vectors at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid, asked, ids = shared.value
-        hist: dict[int, int] = {}
+        hist: dict[tuple[int, int], int] = {}
+        step = max(64, 2048 * ASKED // len(asked))
         for b in batches:
             if not b.num_rows:
                 continue
             m = matrix(b.column(1))
-            for lo in range(0, len(m), 2048):
-                part = m[lo : lo + 2048]
+            for lo in range(0, len(m), step):
+                part = m[lo : lo + step]
                 x, y = np.nonzero(asked @ part.T >= THRESHOLD)
                 other = ids[x] != b.column(0).to_numpy()[lo + y]
                 x, y = x[other], y[other]
@@ -114,30 +144,33 @@ def calibrate(classes: DataFrame, grid: Grid, asked: np.ndarray, ids: np.ndarray
                     home = grid.visits(part[np.unique(y)], 1)[:, 0]
                     cell = home[np.searchsorted(np.unique(y), y)]
                     pair = np.unique(np.stack([x, cell]), axis=1)
-                    for r in grid.rank(asked[pair[0]], pair[1]).tolist():
-                        hist[r] = hist.get(r, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(hist), pa.int64()), pa.array(list(hist.values()), pa.int64())], names=["rank", "n"])
-
-    got = classes.select("class_id", "embedding").mapInArrow(run, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").toPandas()  # at most one row a cell
-    if not len(got):
-        return 32
+                    for key in zip(pair[0].tolist(), grid.rank(asked[pair[0]], pair[1]).tolist(), strict=True):
+                        hist[key] = hist.get(key, 0) + 1
+        keys = np.array(list(hist), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(list(hist.values()), pa.int64())], names=["asked", "rank", "n"])
+
+    seen = saved(classes.select("class_id", "embedding").mapInArrow(run, "asked long, rank long, n long"))
+    linked = seen.select("asked").distinct().count()
+    if not linked:
+        return 0, 0
+    got = seen.groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").toPandas()  # at most one row a cell
     share = got["n"].cumsum() / got["n"].sum()
-    need = int(got["rank"][int(np.searchsorted(share.to_numpy(), TARGET))]) + 1
-    return min(MOST_PROBES, max(LEAST_PROBES, need + (need + 1) // 2))
+    return int(got["rank"][int(np.searchsorted(share.to_numpy(), TARGET))]) + 1, linked
 
 
 VISIT = "cell long, class_id long, copies long, home long, probes binary, vector binary"
 
 
 def visits(classes: DataFrame, grid: Grid, probes: int) -> DataFrame:
-    """A row for every cell that a class visits; the first is its home."""
+    """A row for every cell that a class visits; the first is its home, and only its row lists the cells."""
     shared = classes.sparkSession.sparkContext.broadcast(grid)
+    step = min(1024, max(16, 32_768 // probes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = shared.value
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                b = whole.slice(lo, 1024)
+            for lo in range(0, whole.num_rows, step):
+                b = whole.slice(lo, step)
                 m = b.column(2)
                 cells = grid.visits(matrix(m), probes).astype(np.int64)
                 n, t = cells.shape
@@ -146,7 +179,7 @@ def visits(classes: DataFrame, grid: Grid, probes: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(cells.ravel()), pa.array(rep(b.column(0).to_numpy())), pa.array(rep(b.column(1).to_numpy())), pa.array(rep(cells[:, 0])),
-                        pa.array([x for row in np.sort(cells, axis=1).astype(np.int32) for x in [row.tobytes()] * t], pa.binary()), pa.array([x for row in raw for x in [row.tobytes()] * t], pa.binary()),
+                        pa.array([x for row in cells.astype(np.int32) for x in [row.tobytes(), *[b""] * (t - 1)]], pa.binary()), pa.array([x for row in raw for x in [row.tobytes()] * t], pa.binary()),
                     ],
                     names=["cell", "class_id", "copies", "home", "probes", "vector"],
                 )
@@ -173,11 +206,12 @@ def compare(cells: DataFrame) -> DataFrame:
             if len(np.unique(side)) > 1:
                 keep &= side[x] != side[y]
             x, y = x[keep], y[keep]
-            probes = np.frombuffer(b"".join(g.column(6).to_pylist()), np.int32).reshape(len(ids), -1)
+            probes = np.frombuffer(b"".join(g.column(6).to_pylist()), np.int32).reshape(len(h), -1)  # x is always one at home
+            at = np.cumsum(at_home) - 1
             mine = np.ones(len(x), bool)
             for lo in range(0, len(x), 50_000):
                 i, j = x[lo : lo + 50_000], y[lo : lo + 50_000]
-                mine[lo : lo + 50_000] = ~((home[j] < home[i]) & (probes[i] == home[j][:, None]).any(axis=1))
+                mine[lo : lo + 50_000] = ~((home[j] < home[i]) & (probes[at[i]] == home[j][:, None]).any(axis=1))
             x, y = x[mine], y[mine]
             if not len(x):
                 continue
@@ -205,7 +239,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     sample = matrix(got.column(1).combine_chunks())
     codes = int(min(512, max(2, round((n / CELL_ROWS) ** 0.5))))
     grid = Grid(sample, codes)
-    probes = min(calibrate(classes, grid, sample[:ASKED], got.column(0).to_numpy()[:ASKED]), len(grid.a) * len(grid.b))
+    probes = min(calibrate(classes, grid, sample, got.column(0).to_numpy()), len(grid.a) * len(grid.b))
     seen = visits(classes, grid, probes)
     seen = saved(seen)
     sizes = seen.groupBy("cell").agg(F.count(F.lit(1)).alias("members"))

@@ -67,6 +67,22 @@ def test_op6_planted(spark):
     assert there > 10_000
 
 
+def test_op6_calibration_without_links(spark):
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(multiindex.SAMPLE, 64))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    grid = multiindex.Grid(m, 200)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(m[:3000].tolist())], "class_id long, embedding array<double>")
+    probes = multiindex.calibrate(df, grid, m, np.arange(len(m)))
+    u = rng.normal(size=(1000, 64))
+    a = m[5000:6000]
+    u -= (u * a).sum(1, keepdims=True) * a
+    b = 0.9 * a + 0.19**0.5 * u / np.linalg.norm(u, axis=1, keepdims=True)
+    of_a, of_b = grid.visits(a, probes), grid.visits(b, probes)
+    found = (of_a == of_b[:, :1]).any(axis=1) | (of_b == of_a[:, :1]).any(axis=1)
+    assert found.mean() >= multiindex.TARGET
+
+
 def test_op6_edges(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("inf"), 1.0]), (6, [1.0, None]), (7, [1.0, 0.0]), (None, [1.0, 0.0]), (8, [1.0]), (9, [0.0, 1.0]), (1, [1.0, 0.0])]
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], "vec_id long, embedding array<float>, n_links int")
