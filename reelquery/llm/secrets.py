@@ -10,7 +10,8 @@ Matches are leftmost and do not overlap within a kind; those that are too short
 
 The lexer adds ``literal`` spans.  It reads ``name = literal``, ``name: literal``, ``"name" => literal``, typed targets
 (``name: type = literal``), joined literals (``"a" + "b"``) and bare values, remembers the constant a name was given, and
-carries it to other names (``X = "..."; password = X``).  A literal is scored by its target's sensitive words, its length
+carries it to other names (``X = "..."; password = X``); a bare value is carried to ``$X`` and ``${X}`` only, if its name
+starts a line (``X=...``, then ``PASSWORD=${X}``).  A literal is scored by its target's sensitive words, its length
 and its variety, and is reported from ``THRESHOLD`` on; a constant that reaches a sensitive name later is reported where
 it was written.  Every text is read whole; null counts as empty.  Spans may overlap across kinds.
 """
@@ -33,6 +34,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the same as dropping shor
 WORDS = ("pass", "secret", "token", "api")
 #: How strongly a word in a target's name says that its value is secret.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "authtoken": 1.0, "bearer": 0.8, "auth": 0.6, "key": 0.4}
+#: A key alone says little; these words before it say that it is secret.
+SENSITIVE |= {f"{w}key": 0.9 for w in ("encryption", "decryption", "signing", "signature", "master", "shared", "session", "hmac", "aes", "rsa", "ssh", "cipher", "crypto", "account", "storage", "service", "deploy", "client", "jwt", "cookie", "webhook")}
 #: Values that stand for a secret without being one.
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|none|null|true|false|change_?me|example.*|placeholder|your[_-].*|todo|test|dummy|string|str|int|bool)$")
 
@@ -40,6 +43,8 @@ _OP = re.compile(r"[:=]")
 _NAME_BACK = re.compile(r"[A-Za-z0-9_.$@-]")
 _QUOTED = re.compile(r"""(?:[rbfuRBFU]{1,2})?(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`)""")
 _BARE = re.compile(r"[A-Za-z0-9_$][A-Za-z0-9+/_.=@$-]*")
+_REFERENCE = re.compile(r"""(["']?)\$(?:\{([A-Za-z_][A-Za-z0-9_]*)\}|([A-Za-z_][A-Za-z0-9_]*))\1(?![A-Za-z0-9+/_.=@${"'-])""")
+_LINE_START = re.compile(r"""(?:\A|\n)[ \t]*(?:(?:export|set|-)[ \t]+)?["']?\Z""")
 _JOIN = re.compile(r"[ \t]*\+?[ \t]*(?=[rbfuRBFU]{0,2}[\"'`])|[ \t]*\+[ \t]*(?=[A-Za-z_])")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -87,8 +92,16 @@ def _target(text: str, at: int) -> str:
     return name
 
 
-def _literal(text: str, at: int, constants: dict[str, Literal]) -> Literal | None:
-    """The value that starts at ``at``: quoted parts joined, known names replaced, or a bare value."""
+def _starts_line(text: str, name: str, at: int) -> bool:
+    """Whether the name before the operator is the first thing in its line, as in configuration files."""
+    i = text.rfind(name, max(0, at - len(name) - 16), at)
+    return i >= 0 and bool(_LINE_START.search(text[i - 80 : i] if i > 80 and "\n" in text[i - 80 : i] else text[:i] if i <= 80 else "-"))
+
+
+def _literal(text: str, at: int, constants: dict[str, Literal], settings: dict[str, Literal]) -> Literal | None:
+    """The value that starts at ``at``: a known ``$name``, quoted parts joined, known names replaced, or a bare value."""
+    if (m := _REFERENCE.match(text, at)) and m[1] != "'" and (m[2] or m[3]) in settings:  # single quotes do not expand
+        return settings[m[2] or m[3]]
     value, spans = "", []
     while True:
         if m := _QUOTED.match(text, at):
@@ -114,7 +127,8 @@ def _literal(text: str, at: int, constants: dict[str, Literal]) -> Literal | Non
 
 def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
     """``(name, value, spans of the literals it is made of)`` in text order, constants carried over."""
-    constants: dict[str, Literal] = {}
+    constants: dict[str, Literal] = {}  # by bare name
+    settings: dict[str, Literal] = {}  # by $name
     for m in _OP.finditer(text):
         at = m.start()
         after = text[at + 1 : at + 2]
@@ -131,11 +145,13 @@ def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
         i = at + 1
         while text[i : i + 1] in ("=", ">", " ", "\t") and i < len(text):
             i += 1
-        found = _literal(text, i, constants)
+        found = _literal(text, i, constants, settings)
         if found:
             # what carries a name further is a quoted value, not a word of prose
             if text[found[1][0][0] - 1 : found[1][0][0]] in ('"', "'", "`"):
-                constants[name] = found
+                constants[name] = settings[name] = found
+            elif _starts_line(text, name, at):
+                settings[name] = found
             yield name, *found
 
 
