@@ -13,6 +13,9 @@ this scale no shuffle bears.  Even so a line's variants are emitted in two sizes
   left is equal on both sides.  A line of n words emits about n / 4 keys.
 * Lines of up to ``MANY`` blocks emit the line without each word, and whole.
 
+Before that the halves of all lines are hashed: two lines within one word of each other share the first or the last half (see
+``half_keys``), so only lines that share one emit variants.  Most lines of a corpus share none, which saves most of the keys.
+
 An edit changes the number of blocks by one at most, so both lines of a pair have MANY blocks or more, or both MANY or fewer.  Keys met in one
 line only are dropped; lines that share a key meet with their words, and the edit distance is verified.  Within a group
 the earlier line is found by the group's own one-word variants, so a group costs time in proportion to its size.  Groups of
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelquery.llm.common import release, saved
+from reelquery.llm.common import saved
 from reelquery.llm.ngrams import _mixed, grouped, word_hashes
 
 LEAST, MANY, PAIRWISE, HOT = 8, 4, 8, 2000
@@ -88,28 +91,30 @@ def variants(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(keys), np.concatenate(owner)
 
 
-def line_keys(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(key, h)``: the variants of every line of LEAST words or more, ``h`` naming the line."""
+def half_keys(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(key, h)``: the halves of every line of LEAST words or more, ``h`` naming the line.
+
+    If one word is inserted, deleted or replaced, what lies before it or what lies behind it is half a line: of the n words of the
+    longer line, the first or the last (n - 1) // 2 are the first or last ones of the other, and n // 2 if both have n words.
+    """
     import xxhash
 
+    key = xxhash.xxh3_64_intdigest
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # lines that this task has sent; bounded
-        words: list[str] = []
-        sizes: list[int] = []
+        keys: list[int] = []
         names: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-            key, at = variants(word_hashes(words), starts)
-            h = np.array(names, dtype=np.uint64).view(np.int64)[at]
-            words.clear(), sizes.clear(), names.clear()
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h)], names=["key", "h"])
+            out = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (keys, names)]
+            keys.clear(), names.clear()
+            return pa.RecordBatch.from_arrays(out, names=["key", "h"])
 
         for b in batches:
             for t in b.column(0):
                 for raw in (t.as_py() or "").split("\n"):
-                    w = raw.lower().split()
-                    if len(w) < LEAST:
+                    if len(raw) < 2 * LEAST - 1:
                         continue
                     h = xxhash.xxh64_intdigest(raw.encode(), 42)
                     if h in seen:
@@ -117,17 +122,50 @@ def line_keys(docs: DataFrame, text: str = "text") -> DataFrame:
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(h)
-                    words += w
-                    sizes.append(len(w))
-                    names.append(h)
-                    if len(words) > BATCH_WORDS:
-                        yield flush()
-        if words:
+                    w = raw.lower().split()
+                    n = len(w)
+                    if n < LEAST:
+                        continue
+                    for m in {n // 2, (n - 1) // 2}:
+                        keys += key(" ".join(w[:m])), key(" ".join(w[n - m :]), 1)
+                        names += h, h
+                if len(keys) > BATCH_WORDS:
+                    yield flush()
+        if keys:
             yield flush()
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "key long, h long")
 
 
+def line_keys(found: DataFrame) -> DataFrame:
+    """``(key, h)``: the variants of the lines ``(h, line)`` of LEAST words or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: list[str] = []
+        sizes: list[int] = []
+        names: list[int] = []
+
+        def flush() -> pa.RecordBatch:
+            starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            key, at = variants(word_hashes(words), starts)
+            h = np.array(names, dtype=np.int64)[at]
+            words.clear(), sizes.clear(), names.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h)], names=["key", "h"])
+
+        for b in batches:
+            for h, line in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                w = line.as_py().lower().split()
+                words += w
+                sizes.append(len(w))
+                names.append(h)
+                if len(words) > BATCH_WORDS:
+                    yield flush()
+        if words:
+            yield flush()
+
+    return found.select("h", "line").mapInArrow(run, "key long, h long")
+
+
 def shared_keys(keys: DataFrame) -> DataFrame:
     """The distinct ``(key, h)`` whose key occurs with more than one h; one pass over sorted rows, nothing held."""
 
@@ -260,31 +298,28 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     parts = docs.select(_doc().alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("ln", "line"))
     lines = saved(parts.filter(F.rlike("line", F.lit(r"[^ \t\r]"))).select("doc", "ln", F.xxhash64("line").alias("h")))
     first = saved(lines.groupBy("h").agg(F.min(F.struct("doc", "ln")).alias("at")).select("h", "at.doc", "at.ln"))
-    release(docs)
-    shared = saved(shared_keys(line_keys(docs, text)).distinct())
-    release(docs)
-    wanted = shared.select("h").distinct().join(first, "h").groupBy("doc").agg(F.collect_list(F.struct("ln", "h")).alias("w"))
+    candidates = saved(shared_keys(half_keys(docs, text)).select("h").distinct())
+    wanted = candidates.join(first, "h").groupBy("doc").agg(F.collect_list(F.struct("ln", "h")).alias("w"))
     # the texts of candidate lines, each taken where it occurs first
     texts = docs.select(_doc().alias("doc"), F.split(F.col(text), "\n").alias("all")).join(wanted, "doc")
     found = texts.select("doc", F.explode(F.transform("w", lambda x: F.struct(x["h"].alias("h"), x["ln"].alias("ln"), F.get("all", x["ln"]).alias("line")))).alias("x")).select("doc", "x.*")
-    found = saved(found.filter(F.xxhash64("line") == F.col("h")).dropDuplicates(["h"]))
-    release(docs)
+    found = saved(found.filter(F.xxhash64("line") == F.col("h")).dropDuplicates(["h"]), candidates)
+    shared = saved(shared_keys(line_keys(found)).distinct())
     size = saved(shared.groupBy("key").agg(F.count(F.lit(1)).alias("members")))
     near = near_lines(shared.join(size.filter(F.col("members") <= HOT), "key").join(found, "h"))
     hot = size.filter(F.col("members") > HOT)
     if not hot.isEmpty():
         near = near.unionByName(near_lines_of_hot_keys(found.join(shared.join(hot, "key").select("h").distinct(), "h"))).distinct()
-    near = saved(near)
-    release(docs)
+    near = saved(near, shared, size, found)
     state = first.join(near.withColumn("near", F.lit(True)), "h", "left").select("h", F.col("doc").alias("_d"), F.col("ln").alias("_l"), F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.join(state, "h").filter(F.col("near") | (F.col("doc") != F.col("_d")) | (F.col("ln") != F.col("_l")))
-    return gone.groupBy("doc").agg(F.collect_set(F.struct("ln", "h")).alias("gone"))
+    return saved(gone.groupBy("doc").agg(F.collect_set(F.struct("ln", "h")).alias("gone")), lines, first, near)
 
 
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, and ``lines_total`` and ``lines_removed``."""
     docs = docs.drop("lines_total", "lines_removed")
-    gone = saved(judge(docs, text))
+    gone = judge(docs, text)
     # the row travels as one column, so that its names cannot clash with those used here
     rows = docs.select(_doc().alias("doc"), F.struct(*docs.columns).alias("row")).join(gone, "doc", "left")
     whole = F.col("row")[text]

@@ -1,6 +1,7 @@
 """Operator 9 against brute force."""
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from reelquery.llm import lines
@@ -94,6 +95,22 @@ def test_every_pair_shares_a_key():
         assert set(key[at == 0].tolist()) & set(key[at == 1].tolist())
 
 
+def test_every_pair_shares_a_half(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for d in range(60):
+        a = [f"p{d}x{i}" for i in range(rng.integers(9, 30))]
+        for at in (0, len(a) // 2 - 1, len(a) // 2, len(a) // 2 + 1, len(a) - 1):
+            for b in (a[:at] + ["NEW"] + a[at + 1 :], a[:at] + ["NEW"] + a[at:], a[:at] + a[at + 1 :]):
+                rows.append((" ".join(a), " ".join(b)))
+    keys = [r for r in lines.half_keys(spark.createDataFrame([("\n".join(p),) for p in rows], "text string").coalesce(1)).collect()]
+    of = {}
+    for r in keys:
+        of.setdefault(r["h"], set()).add(r["key"])
+    name = lambda x: int(np.uint64(xxhash.xxh64_intdigest(x.encode(), 42)).astype(np.int64))
+    assert all(of[name(a)] & of[name(b)] for a, b in rows)
+
+
 def test_query_keeps_rows(spark):
     from reelquery.llm.queries import QUERIES
 
