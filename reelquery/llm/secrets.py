@@ -8,12 +8,17 @@
 
 Matches are leftmost and do not overlap within a kind; those that are too short are dropped *after* matching.
 
-The lexer adds ``literal`` spans.  It reads ``name = literal``, ``name: literal``, ``"name" => literal``, typed targets
-(``name: type = literal``), joined literals (``"a" + "b"``) and bare values, remembers the constant a name was given, and
-carries it to other names (``X = "..."; password = X``); a bare value is carried to ``$X`` and ``${X}`` only, if its name
-starts a line (``X=...``, then ``PASSWORD=${X}``).  A literal is scored by its target's sensitive words, its length
-and its variety, and is reported from ``THRESHOLD`` on; a constant that reaches a sensitive name later is reported where
-it was written.  Every text is read whole; null counts as empty.  Spans may overlap across kinds.
+The lexer adds ``literal`` spans.  It reads every line that holds an operator from left to right as strings, names, operators and
+the rest, and pairs names with literals: ``name = literal``, ``name: literal``, ``"name" => literal``, ``x["name"] = literal``, typed
+targets (``name: type = literal``), joined literals (``"a" + "b"``) and bare values; what stands in a string is read as text of its
+own once more.  The constant a name was given is carried to other names (``X = "..."; password = X``), unless it was given in a
+comment line; a bare value is carried to ``$X`` and ``${X}`` only, if its name starts a line (``X=...``, then ``PASSWORD=${X}``).  A
+literal is scored by its target's sensitive words, its length and its variety, and is reported from ``THRESHOLD`` on; a constant
+that reaches a sensitive name later is reported where it was written.  A literal is a span, and a joined one a list of literals,
+never a copy, so the work is in proportion to the text whatever it holds.
+
+Every text is read whole; null counts as empty.  Spans may overlap across kinds.  Repeated rows give equal rows; an empty table gives
+none; columns other than ``secret_spans`` travel along.
 """
 
 import math
@@ -40,15 +45,45 @@ SENSITIVE |= {f"{w}key": 0.9 for w in ("encryption", "decryption", "signing", "s
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|none|null|true|false|change_?me|example.*|placeholder|your[_-].*|todo|test|dummy|string|str|int|bool)$")
 
 _OP = re.compile(r"[:=]")
-_NAME_BACK = re.compile(r"[A-Za-z0-9_.$@-]")
-_QUOTED = re.compile(r"""(?:[rbfuRBFU]{1,2})?(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`)""")
-_BARE = re.compile(r"[A-Za-z0-9_$][A-Za-z0-9+/_.=@$-]*")
+_STRING = r"""(?:[rbfuRBFU]{1,2}(?=["'`]))?(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`)"""
+_QUOTED = re.compile(_STRING)
+#: A string (no apostrophe inside a word), a name, an operator, what may stand between a name and its operator, anything else.
+_TOKEN = re.compile(rf"""(?<![A-Za-z0-9_]){_STRING}|(?P<name>[A-Za-z0-9_.$@-]+)|(?P<op>=>|:=|[=!<>~]=+|::+|:/|[:=])|(?P<blank>[ \t\]]+)|[^\n]""")
+_NAME = re.compile(r"[A-Za-z0-9_.$@-]+")
+_TYPED = re.compile(r"[ \t]*[A-Za-z_][A-Za-z0-9_.]*(?:\[[^\[\]\n=:]*\])?[ \t]*=(?![=>])")
+_BLANK = re.compile(r"[ \t]*")
+_BARE = re.compile(r"[A-Za-z0-9_$][A-Za-z0-9+/_.@$-]*(?:={1,2}(?![A-Za-z0-9+/_.=@$-]))?")
 _REFERENCE = re.compile(r"""(["']?)\$(?:\{([A-Za-z_][A-Za-z0-9_]*)\}|([A-Za-z_][A-Za-z0-9_]*))\1(?![A-Za-z0-9+/_.=@${"'-])""")
-_LINE_START = re.compile(r"""(?:\A|\n)[ \t]*(?:(?:export|set|-)[ \t]+)?["']?\Z""")
+_LINE_START = re.compile(r"""[ \t]*(?:(?:export|set|-)[ \t]+)?["']?""")
+_COMMENT = re.compile(r"[ \t]*(?:#|//|--|;)")
 _JOIN = re.compile(r"[ \t]*\+?[ \t]*(?=[rbfuRBFU]{0,2}[\"'`])|[ \t]*\+[ \t]*(?=[A-Za-z_])")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
-Literal = tuple[str, list[tuple[int, int]]]
+
+class Literal:
+    """A span of the text, or others joined.  Length (up to 12) and variety are all that a score needs."""
+
+    __slots__ = ("length", "parts", "quoted", "real", "span", "told", "variety")
+
+    def __init__(self, text: str = "", span: tuple[int, int] | None = None, quoted: bool = True, parts: tuple["Literal", ...] = ()):
+        self.span, self.parts, self.told = span, parts, False
+        if span:
+            value = text[span[0] : span[1]]
+            self.length, self.variety, self.real, self.quoted = min(12, len(value)), variety(value), not PLACEHOLDER.match(value), quoted
+        else:
+            self.length, self.variety = min(12, sum(p.length for p in parts)), max(p.variety for p in parts)
+            self.real, self.quoted = any(p.real for p in parts), parts[0].quoted
+
+    def tell(self, out: set[tuple[str, int, int]]) -> None:
+        """Adds the spans it is made of; each literal does so once."""
+        todo = [self]
+        while todo:
+            x = todo.pop()
+            if not x.told:
+                x.told = True
+                todo += x.parts
+                if x.span:
+                    out.add(("literal", *x.span))
 
 
 def sensitivity(name: str) -> float:
@@ -64,95 +99,94 @@ def variety(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
-def score(name: str, value: str) -> float:
-    if len(value) < 6 or PLACEHOLDER.match(value):
+def score(name: str, value: Literal) -> float:
+    if value.length < 6 or not value.real:
         return 0.0
-    return sensitivity(name) * (0.5 + 0.25 * min(1.0, len(value) / 12) + 0.25 * min(1.0, variety(value) / 3))
-
-
-def _target(text: str, at: int) -> str:
-    """The name that ends before an operator; for a typed target the name before the type."""
-    for _ in range(2):
-        i = at
-        while i > 0 and text[i - 1] in " \t":
-            i -= 1
-        while i > 0 and text[i - 1] in "\"'`]":
-            i -= 1
-        end = i
-        while i > 0 and _NAME_BACK.match(text[i - 1]):
-            i -= 1
-        name = text[i:end]
-        j = i
-        while j > 0 and text[j - 1] in " \t":
-            j -= 1
-        if name and text[at] == "=" and j > 0 and text[j - 1] == ":":
-            at = j - 1
-            continue
-        return name
-    return name
-
-
-def _starts_line(text: str, name: str, at: int) -> bool:
-    """Whether the name before the operator is the first thing in its line, as in configuration files."""
-    i = text.rfind(name, max(0, at - len(name) - 16), at)
-    return i >= 0 and bool(_LINE_START.search(text[i - 80 : i] if i > 80 and "\n" in text[i - 80 : i] else text[:i] if i <= 80 else "-"))
-
-
-def _literal(text: str, at: int, constants: dict[str, Literal], settings: dict[str, Literal]) -> Literal | None:
-    """The value that starts at ``at``: a known ``$name``, quoted parts joined, known names replaced, or a bare value."""
-    if (m := _REFERENCE.match(text, at)) and m[1] != "'" and (m[2] or m[3]) in settings:  # single quotes do not expand
-        return settings[m[2] or m[3]]
-    value, spans = "", []
-    while True:
-        if m := _QUOTED.match(text, at):
-            k = m.lastindex or 1
-            if m.end(k) > m.start(k):
-                value += m[k]
-                spans.append((m.start(k), m.end(k)))
-        elif m := _BARE.match(text, at):
-            if m[0] in constants:
-                value += constants[m[0]][0]
-                spans += constants[m[0]][1]
-            elif value:
+    return sensitivity(name) * (0.5 + 0.25 * value.length / 12 + 0.25 * min(1.0, value.variety / 3))
+
+
+class Lexer:
+    """Reads a text once, from left to right."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.constants: dict[str, Literal] = {}  # by bare name
+        self.settings: dict[str, Literal] = {}  # by $name
+
+    def assignments(self) -> Iterator[tuple[str, Literal]]:
+        """Names with the literals they are given, in text order, constants carried over."""
+        text, at = self.text, 0
+        while m := _OP.search(text, at):  # lines without an operator assign nothing
+            line = max(text.rfind("\n", at, m.start()) + 1, at)
+            at = text.find("\n", m.start())
+            at = yield from self._line(line, at if at >= 0 else len(text), True)
+
+    def _line(self, at: int, end: int, outer: bool) -> Iterator[tuple[str, Literal]]:
+        text, start, first = self.text, at, True
+        carry = not _COMMENT.match(text, at, end)
+        name, place = "", 0  # the last name, and where it stands
+        while at < end:
+            m = _TOKEN.match(text, at, end)
+            if not m:
                 break
+            at = m.end()
+            if m["op"]:
+                value = None
+                if name and m["op"] in ("=", ":", "=>", ":="):
+                    typed = _TYPED.match(text, at, end) if m["op"] == ":" else None
+                    value, stop = self._literal(_BLANK.match(text, typed.end() if typed else at).end(), len(text) if outer else end)
+                if value:
+                    at = stop
+                    if carry and value.quoted:
+                        # what carries a name further is a quoted value, not a word of prose
+                        self.constants[name] = self.settings[name] = value
+                    elif carry and first and place - start < 80 and _LINE_START.fullmatch(text, start, place):
+                        self.settings[name] = value
+                    yield name, value
+                    if outer:
+                        for part in value.parts or (value,):
+                            if part.span and part.quoted and start <= part.span[0] and _OP.search(text, *part.span):
+                                yield from self._line(*part.span, False)
+                first = False
+                bare = value is not None and value.span and not value.quoted and value.span[1] == at
+                name, place = (text[value.span[0] : at], value.span[0]) if bare else ("", 0)
+            elif m["name"]:
+                name, place = m["name"], m.start()
+            elif k := m.lastindex if not m["blank"] else None:
+                a, z = m.span(k)
+                name, place = (m[k], m.start()) if _NAME.fullmatch(text, a, z) else ("", 0)
+                if outer and _OP.search(text, a, z):
+                    yield from self._line(a, z, False)
+            elif not m["blank"]:
+                name = ""
+        return max(at, end)
+
+    def _literal(self, at: int, end: int) -> tuple[Literal | None, int]:
+        """The value that starts at ``at``, and where it ends: a known ``$name``, quoted parts joined, known names, or a bare value."""
+        text = self.text
+        if (m := _REFERENCE.match(text, at, end)) and m[1] != "'" and (m[2] or m[3]) in self.settings:  # single quotes do not expand
+            return self.settings[m[2] or m[3]], m.end()
+        parts: list[Literal] = []
+        stop = at
+        while True:
+            if m := _QUOTED.match(text, at, end):
+                k = m.lastindex
+                if k and m.end(k) > m.start(k):
+                    parts.append(Literal(text, m.span(k)))
+            elif m := _BARE.match(text, at, end):
+                if m[0] in self.constants:
+                    parts.append(self.constants[m[0]])
+                elif parts:
+                    break
+                else:
+                    return Literal(text, m.span(), False), m.end()
             else:
-                return m[0], [m.span()]
-        else:
-            break
-        if not (j := _JOIN.match(text, m.end())):
-            break
-        at = j.end()
-    return (value, spans) if value else None
-
-
-def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """``(name, value, spans of the literals it is made of)`` in text order, constants carried over."""
-    constants: dict[str, Literal] = {}  # by bare name
-    settings: dict[str, Literal] = {}  # by $name
-    for m in _OP.finditer(text):
-        at = m.start()
-        after = text[at + 1 : at + 2]
-        before = text[at - 1 : at] if at else ""
-        if m[0] == "=" and (before in ("=", "!", "<", ">", "~", ":") and before or after == "="):
-            if before != ":":
-                continue
-        if m[0] == ":" and after in ("=", ":", "/"):
-            if after != "=":
-                continue
-        name = _target(text, at - 1 if before == ":" and m[0] == "=" else at)
-        if not name:
-            continue
-        i = at + 1
-        while text[i : i + 1] in ("=", ">", " ", "\t") and i < len(text):
-            i += 1
-        found = _literal(text, i, constants, settings)
-        if found:
-            # what carries a name further is a quoted value, not a word of prose
-            if text[found[1][0][0] - 1 : found[1][0][0]] in ('"', "'", "`"):
-                constants[name] = settings[name] = found
-            elif _starts_line(text, name, at):
-                settings[name] = found
-            yield name, *found
+                break
+            stop = m.end()
+            if not (j := _JOIN.match(text, stop, end)):
+                break
+            at = j.end()
+        return (parts[0] if len(parts) == 1 else Literal(parts=tuple(parts)) if parts else None), stop
 
 
 def find(text: str | None) -> list[tuple[str, int, int]]:
@@ -166,9 +200,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         out |= {("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 20}
     out |= {("hex", *m.span()) for m in HEX.finditer(text)}
-    for name, value, spans in assignments(text):
+    for name, value in Lexer(text).assignments():
         if score(name, value) >= THRESHOLD:
-            out |= {("literal", a, b) for a, b in spans}
+            value.tell(out)
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
