@@ -13,7 +13,9 @@ def doc_id(video_id: Column, center_frame: Column) -> Column:
 
 
 def last_write(batch: DataFrame, keys: list[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
+    """The last row per key; of rows with equal keys and order the one that sorts last by all other columns, so that any plan agrees."""
+    rest = [c for c in batch.columns if c not in keys and c != order]
+    w = Window.partitionBy(*keys).orderBy(F.desc(order), *[F.desc(c) for c in rest])
     return batch.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
@@ -28,7 +30,7 @@ def with_reason(batch: DataFrame, dims: int) -> DataFrame:
     reason = (
         F.when(F.col("embedding").isNull(), "missing")
         .when(F.size("embedding") != dims, "dims")
-        .when(F.exists("embedding", lambda x: x.isNull() | F.isnan(x)), "value")
+        .when(F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), "value")
         .when(l2_norm(F.col("embedding")) == 0, "zero")
     )
     return batch.withColumn("reason", reason)
@@ -46,21 +48,30 @@ def pending(manifest: DataFrame, index: DataFrame, key: str = "video_id") -> Dat
 
 
 class IndexTable:
-    """A Parquet table in the session catalog, replaced atomically by versioned table names."""
+    """An index in the session catalog: a view over a Parquet table of versioned buckets.
+
+    Rows lie in ``BUCKETS`` buckets by a hash of their video.  A write reads and rewrites the buckets it touches, as new versions beside
+    the old ones; then one statement replaces the view, which lists the versions that count.  A crash before it leaves the old
+    table, one after it the new; versions that no view lists go with the next write.  One writer at a time.
+    """
+
+    BUCKETS = 64
 
     def __init__(self, spark: SparkSession, name: str = "video_index", dims: int = 512):
-        self.spark, self.name, self.dims = spark, name, dims
+        self.spark, self.name, self.dims, self.data = spark, name, dims, f"{name}_data"
 
     def create(self) -> bool:
         """Creates the table unless it is there (whatever its dims); True if it was created."""
         if self.spark.catalog.tableExists(self.name):
             return False
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({INDEX_DDL}) USING parquet TBLPROPERTIES ('dims' = '{self.dims}')")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.data} ({INDEX_DDL}, bucket int, version bigint) USING parquet PARTITIONED BY (bucket, version)")
+        self._show({})
         return True
 
     def delete(self) -> bool:
         there = self.spark.catalog.tableExists(self.name)
-        for name in (self.name, f"{self.name}_quarantine"):
+        self.spark.sql(f"DROP VIEW IF EXISTS {self.name}")
+        for name in (self.data, f"{self.name}_quarantine"):
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         return there
 
@@ -70,27 +81,56 @@ class IndexTable:
     def indexed(self, video_id: str) -> bool:
         return self.read().filter(F.col("video_id") == video_id).limit(1).count() > 0
 
+    def versions(self) -> dict[int, int]:
+        """The version of each bucket that counts; buckets without rows have none."""
+        text = self.spark.sql(f"SHOW TBLPROPERTIES {self.name} ('versions')").first()["value"]
+        return {int(b): int(v) for b, v in (x.split(":") for x in text.split(",") if x)}
+
+    def _show(self, versions: dict[int, int]) -> None:
+        """Replaces the view: the one step by which a write takes effect."""
+        now = " OR ".join(f"(bucket = {b} AND version = {v})" for b, v in sorted(versions.items())) or "false"
+        columns = ", ".join(c.split()[0] for c in INDEX_DDL.split(", "))
+        text = ",".join(f"{b}:{v}" for b, v in sorted(versions.items()))
+        self.spark.sql(f"CREATE OR REPLACE VIEW {self.name} TBLPROPERTIES ('dims' = '{self.dims}', 'versions' = '{text}') AS SELECT {columns} FROM {self.data} WHERE {now}")
+
     def write(self, batch: DataFrame) -> DataFrame:
         """Upserts ``(video_id, center_frame, timestamp_sec, embedding[, ord])``; returns the quarantined rows.
 
-        Both results are written before the table is replaced, as the batch may have been planned from the table; the
-        quarantined rows of the last batch stay in ``<name>_quarantine``.
+        Without ``ord``, of rows with one key the one that sorts last counts.  The quarantined rows of the last batch stay in
+        ``<name>_quarantine``.
         """
         if "ord" not in batch.columns:
             batch = batch.withColumn("ord", F.lit(0).cast("long"))
         good, bad = split_valid(batch, self.dims)
+        bad.write.format("parquet").mode("overwrite").saveAsTable(f"{self.name}_quarantine")
+        video = F.col("video_id").cast("string")
         good = good.select(
-            doc_id(F.col("video_id"), F.col("center_frame")).alias("doc_id"), F.col("video_id").cast("string").alias("video_id"), F.col("timestamp_sec").cast("double").alias("timestamp_sec"),
+            doc_id(F.col("video_id"), F.col("center_frame")).alias("doc_id"), video.alias("video_id"), F.col("timestamp_sec").cast("double").alias("timestamp_sec"),
             F.col("center_frame").cast("int").alias("center_frame"), F.col("embedding").cast("array<float>").alias("embedding"), l2_norm(F.col("embedding")).alias("norm"), "ord",
+            F.pmod(F.xxhash64(video), F.lit(self.BUCKETS)).cast("int").alias("bucket"),
         )
-        merged = upsert(self.read(), good, ["video_id", "center_frame"], "ord")
-        staged, old = f"{self.name}_staged", f"{self.name}_old"
-        self.spark.sql(f"DROP TABLE IF EXISTS {staged}")
-        merged.write.format("parquet").saveAsTable(staged)
-        bad.write.format("parquet").mode("overwrite").saveAsTable(f"{self.name}_quarantine")
-        self.spark.sql(f"DROP TABLE IF EXISTS {old}")
-        self.spark.sql(f"ALTER TABLE {self.name} RENAME TO {old}")
-        self.spark.sql(f"ALTER TABLE {staged} RENAME TO {self.name}")
-        self.spark.sql(f"DROP TABLE {old}")
-        self.spark.catalog.refreshTable(self.name)
+        versions = self.versions()
+        touched = sorted(r["bucket"] for r in good.select("bucket").distinct().collect())  # BUCKETS rows at most
+        if touched:
+            there = self.spark.sql(f"SHOW PARTITIONS {self.data}").collect()
+            new = 1 + max((int(r[0].rsplit("=", 1)[1]) for r in there), default=0)
+            merged = upsert(self._buckets({b: versions[b] for b in touched if b in versions}), good, ["video_id", "center_frame"], "ord")
+            merged.withColumn("version", F.lit(new).cast("long")).select(self.spark.table(self.data).columns).write.insertInto(self.data)
+            versions |= dict.fromkeys(touched, new)
+            self._show(versions)
+        self._drop_old(versions)
         return self.spark.table(f"{self.name}_quarantine")
+
+    def _buckets(self, versions: dict[int, int]) -> DataFrame:
+        """The rows of some buckets; others are not read, as bucket and version are partition columns."""
+        now = F.lit(False)
+        for b, v in versions.items():
+            now = now | ((F.col("bucket") == b) & (F.col("version") == v))
+        return self.spark.table(self.data).filter(now).drop("version")
+
+    def _drop_old(self, versions: dict[int, int]) -> None:
+        for r in self.spark.sql(f"SHOW PARTITIONS {self.data}").collect():
+            bucket, version = (int(x.split("=")[1]) for x in r[0].split("/"))
+            if versions.get(bucket) != version:
+                self.spark.sql(f"ALTER TABLE {self.data} DROP IF EXISTS PARTITION (bucket = {bucket}, version = {version})")
+        self.spark.catalog.refreshTable(self.name)

@@ -1,13 +1,15 @@
 """Temporal operators: synchronised indices, centred windows, scene cuts and the scene/whole-video fallback.
 
-Frames are rows ``(video_id, frame_idx, fps, embedding)``.  Centred windows are row frames of a Window partitioned by
-segment, so one segment is one task's work: a segment is a scene or a video, not the corpus.
+Frames are rows ``(video_id, frame_idx, fps, embedding)``.  For centred windows a frame is sent to the centres it belongs to (one or
+two at the usual radius) and the windows are put together there, so the work of a long video is spread over its windows.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelquery.functions.timing import fps_or_default, interval_of, radius_of
+from reelquery.functions.timing import DEFAULT_FPS, fps_or_default, interval_of, radius_of
 from reelquery.functions.vector import embed_window
 
 
@@ -24,35 +26,32 @@ def clipped_windows(frames: DataFrame, k: int, payload: str = "embedding") -> Da
     return frames.select("video_id", "frame_idx", F.collect_list(payload).over(w).alias("window"))
 
 
+def rate_of(frames: DataFrame, fps: float | None = None) -> Column:
+    """The frame rate of each row: ``fps`` if given, else the column of that name, else the default."""
+    if fps is None and "fps" in frames.columns:
+        return fps_or_default(F.col("fps"))
+    return F.lit(float(fps or DEFAULT_FPS))
+
+
 def keyframe_windows(frames: DataFrame, keys: list[str], k_seconds: float = 0.5, fps: float | None = None, payload: str = "embedding") -> DataFrame:
     """Complete centred windows, one a second from each segment's first frame.
 
-    ``keys`` identify a segment; ``frame_idx`` must be consecutive inside it.  With a constant ``fps`` the row frame is
-    exact; the radius must be one number per plan, so videos of different rates are handled one rate at a time
-    (see ``keyframe_windows_by_rate``).
+    ``keys`` identify a segment; ``frame_idx`` must be consecutive inside it.  Every segment has its own rate (``rate_of``; the
+    largest, should its rows differ).
     """
-    rate = 30.0 if not fps else float(fps)
-    step, radius = max(1, int(rate)), max(1, int(rate * k_seconds))
-    order = Window.partitionBy(*keys).orderBy("frame_idx")
-    around = order.rowsBetween(-radius, radius)
-    first = F.min("frame_idx").over(Window.partitionBy(*keys))
-    # the cheap predicates come before the list is needed; only centres survive the filter
-    return (
-        frames.withColumn("_n", F.count(F.lit(1)).over(around))
-        .withColumn("_first", first)
-        .withColumn("window", F.collect_list(payload).over(around))
-        .filter((F.col("_n") == 2 * radius + 1) & ((F.col("frame_idx") - F.col("_first")) % step == 0))
-        .select(*keys, F.col("frame_idx").alias("center_frame"), (F.col("frame_idx") / F.lit(rate)).alias("timestamp_sec"), "window")
-    )
-
-
-def keyframe_windows_by_rate(frames: DataFrame, keys: list[str], rates: list[float], k_seconds: float = 0.5) -> DataFrame:
-    """``keyframe_windows`` for frames of several known rates: one branch per rate, joined by UNION ALL."""
-    out = None
-    for rate in rates:
-        part = keyframe_windows(frames.filter(fps_or_default(F.col("fps")) == float(rate or 30.0)), keys, k_seconds, rate)
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = frames.select(*keys, "frame_idx", F.col(payload).alias("_payload"), rate_of(frames, fps).alias("_rate"))
+    segments = rows.groupBy(*keys).agg(F.min("frame_idx").alias("_first"), F.max("_rate").alias("_fps"))
+    segments = segments.select(*[F.col(k).alias(f"_{k}") for k in keys], "_first", "_fps", interval_of(F.col("_fps")).alias("_step"), radius_of(F.col("_fps"), k_seconds).alias("_radius"))
+    joined = rows.join(segments, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]))
+    # the n-th centre is n steps from the first frame; a frame belongs to those within the radius
+    at = F.col("frame_idx") - F.col("_first")
+    low = F.greatest(F.ceil((at - F.col("_radius")) / F.col("_step")).cast("long"), F.lit(0).cast("long"))
+    high = F.floor((at + F.col("_radius")) / F.col("_step")).cast("long")
+    sent = joined.withColumn("_n", F.explode(F.when(low <= high, F.sequence(low, high))))
+    center = F.col("_first") + F.col("_n") * F.col("_step")
+    made = sent.groupBy(*keys, center.alias("center_frame"), "_fps", "_radius").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "_payload"))).alias("_w"))
+    whole = made.filter(F.size("_w") == 2 * F.col("_radius") + 1)
+    return whole.select(*keys, "center_frame", (F.col("center_frame") / F.col("_fps")).alias("timestamp_sec"), F.col("_w._payload").alias("window"))
 
 
 def window_bounds(fps: Column, start_sec: Column, end_sec: Column, total: Column) -> tuple[Column, Column]:
@@ -72,16 +71,22 @@ def scene_min_length(scenes: DataFrame, seconds: float = 1.0) -> DataFrame:
     return scenes.filter(F.col("end_sec") - F.col("start_sec") >= seconds)
 
 
-def scene_windows(frames: DataFrame, scenes: DataFrame, fps: float, k_seconds: float = 0.5, min_seconds: float = 1.0) -> DataFrame:
-    """Windows of every scene of at least ``min_seconds``; frames meet scenes by video and frame range."""
-    bounds = scene_min_length(scenes, min_seconds).select(
-        "video_id", "scene_id", (F.col("start_sec") * F.lit(float(fps))).cast("long").alias("_lo"), (F.col("end_sec") * F.lit(float(fps))).cast("long").alias("_hi")
-    )
-    inside = frames.join(bounds, "video_id").filter((F.col("frame_idx") >= F.col("_lo")) & (F.col("frame_idx") < F.col("_hi")))
+def scenes_of(scored: DataFrame, threshold: float = 30.0) -> DataFrame:
+    """``(video_id, frame_idx, score[, fps])`` to scenes ``(video_id, scene_id, start_sec, end_sec)``: a cut at each score from the threshold on."""
+    order = Window.partitionBy("video_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
+    cut = scored.withColumn("_rate", rate_of(scored)).withColumn("scene_id", F.sum(F.when(F.col("score") >= threshold, 1).otherwise(0)).over(order))
+    return cut.groupBy("video_id", "scene_id").agg((F.min("frame_idx") / F.max("_rate")).alias("start_sec"), ((F.max("frame_idx") + 1) / F.max("_rate")).alias("end_sec"))
+
+
+def scene_windows(frames: DataFrame, scenes: DataFrame, fps: float | None = None, k_seconds: float = 0.5, min_seconds: float = 1.0) -> DataFrame:
+    """Windows of every scene of at least ``min_seconds``; frames meet scenes by video and frame range, at their own rate."""
+    bounds = scene_min_length(scenes, min_seconds).select("video_id", "scene_id", "start_sec", "end_sec")
+    rate = rate_of(frames, fps)
+    inside = frames.join(bounds, "video_id").filter((F.col("frame_idx") >= (F.col("start_sec") * rate).cast("long")) & (F.col("frame_idx") < (F.col("end_sec") * rate).cast("long")))
     return keyframe_windows(inside, ["video_id", "scene_id"], k_seconds, fps)
 
 
-def windows_with_fallback(frames: DataFrame, scenes: DataFrame, fps: float, k_seconds: float = 0.5) -> DataFrame:
+def windows_with_fallback(frames: DataFrame, scenes: DataFrame, fps: float | None = None, k_seconds: float = 0.5) -> DataFrame:
     """Scene windows, or whole-video windows for the videos whose scenes give none at all."""
     by_scene = scene_windows(frames, scenes, fps, k_seconds).drop("scene_id")
     missing = frames.join(by_scene.select("video_id").distinct(), "video_id", "left_anti")
@@ -93,4 +98,4 @@ def embed_windows(windows: DataFrame, method: str = "mean") -> DataFrame:
     return windows.withColumn("embedding", embed_window(F.col("window"), method)).drop("window").filter(F.col("embedding").isNotNull())
 
 
-__all__ = ["clipped_windows", "embed_windows", "keyframe_windows", "keyframe_windows_by_rate", "radius_of", "scene_min_length", "scene_segments", "scene_windows", "sync_indices", "window_bounds", "windows_with_fallback"]
+__all__ = ["clipped_windows", "embed_windows", "keyframe_windows", "radius_of", "rate_of", "scene_min_length", "scene_segments", "scene_windows", "scenes_of", "sync_indices", "window_bounds", "windows_with_fallback"]

@@ -3,7 +3,7 @@
     spark-submit reelquery/plans/cli.py index --frames FRAMES --fps 30 [--scenes SCENES]
     spark-submit reelquery/plans/cli.py search --frames FRAMES --video ID --fps 30 [--order-bonus]
 
-FRAMES is Parquet with (video_id, frame_idx, embedding), SCENES with (video_id, scene_id, start_sec, end_sec).
+FRAMES is Parquet with (video_id, frame_idx, embedding[, fps]), SCENES with (video_id, scene_id, start_sec, end_sec).
 """
 
 import argparse
@@ -23,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--scenes")
     p.add_argument("--video")
     p.add_argument("--directory")
-    p.add_argument("--fps", type=float, default=30.0)
+    p.add_argument("--fps", type=float, help="one rate for all; without it each row's own, or 30")
     p.add_argument("--table", default="video_index")
     p.add_argument("--dims", type=int, default=512)
     p.add_argument("--top-k", type=int, default=10)

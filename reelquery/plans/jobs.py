@@ -5,14 +5,15 @@ import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelquery.functions.encode import frame_encoder
 from reelquery.operators.knn import knn_topk
 from reelquery.operators.ranking import chamfer_rank, search_video
 from reelquery.operators.store import IndexTable, pending
-from reelquery.operators.temporal import embed_windows, keyframe_windows, windows_with_fallback
+from reelquery.operators.temporal import embed_windows, keyframe_windows, scenes_of, windows_with_fallback
+from reelquery.sources.manifest import manifest_subset, read_manifest
 
 
 def setup_logger(name: str = "reelquery", file: str | None = None, level: int = logging.INFO) -> logging.Logger:
@@ -36,8 +37,67 @@ def encode_frames(frames: DataFrame, factory: Callable[[], object], name: str) -
     return frames.withColumn("embedding", frame_encoder(factory, name)("data")).drop("data").filter(F.col("embedding").isNotNull())
 
 
-def video_embeddings(frames: DataFrame, scenes: DataFrame | None, fps: float, method: str = "mean", k_seconds: float = 0.5) -> DataFrame:
-    """Frames with embeddings to window embeddings: per scene with fallback, or whole videos without scenes."""
+def decode_frames(paths: DataFrame, decoder: Callable[[str], Iterator[tuple[int, float, bytes]]], batch: int = 64) -> DataFrame:
+    """``(video_id, path)`` to ``(video_id, frame_idx, fps, data)``, some frames at a time; a file that cannot be decoded gives none.
+
+    ``decoder`` runs on the executors and yields ``(frame_idx, fps, bytes)``; each video keeps its own rate.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for video, path in zip(rows["video_id"], rows["path"], strict=True):
+                held: list[tuple] = []
+                try:
+                    for i, fps, data in decoder(path):
+                        held.append((video, i, float(fps or 0.0), data))
+                        if len(held) == batch:
+                            yield pd.DataFrame(held, columns=["video_id", "frame_idx", "fps", "data"])
+                            held = []
+                except Exception:  # as in the other steps, one bad file must not end the job
+                    logging.getLogger("reelquery").warning("cannot decode %s", path)
+                if held:
+                    yield pd.DataFrame(held, columns=["video_id", "frame_idx", "fps", "data"])
+
+    return paths.select("video_id", "path").mapInPandas(run, "video_id string, frame_idx long, fps double, data binary")
+
+
+def byte_change(before: bytes, after: bytes) -> float:
+    """STAND-IN, NOT A VIDEO METRIC: the mean difference of the bytes of two frames."""
+    n = min(len(before), len(after))
+    return sum(abs(a - b) for a, b in zip(before, after, strict=False)) / n if n else 0.0
+
+
+def scene_scores(frames: DataFrame, scorer: Callable[[bytes, bytes], float] = byte_change) -> DataFrame:
+    """``(video_id, frame_idx, fps, score)``: how much each frame differs from the one before it; 0 for the first."""
+
+    @F.pandas_udf("double")
+    def score(before: pd.Series, after: pd.Series) -> pd.Series:
+        return pd.Series([0.0 if a is None or b is None else float(scorer(a, b)) for a, b in zip(before, after, strict=True)], dtype="float64")
+
+    before = F.lag("data").over(Window.partitionBy("video_id").orderBy("frame_idx"))
+    return frames.withColumn("_before", before).select("video_id", "frame_idx", "fps", score("_before", "data").alias("score"))
+
+
+def index_corpus(
+    spark: SparkSession, table: IndexTable, manifest: str, subset: str, directory: str, fetcher, decoder, factory: Callable[[], object], name: str,
+    scorer: Callable[[bytes, bytes], float] = byte_change, threshold: float = 30.0, method: str = "mean",
+) -> DataFrame:
+    """From a manifest to the index: the subset's videos that are not indexed are fetched, decoded, cut into scenes and encoded, and their
+    window embeddings written.  Returns the quarantined rows.
+
+    ``directory`` must be one that the executors share.  Decoding is done twice (scores and vectors), so that no frame is stored.
+    """
+    table.create()
+    paths = fetch_pending(manifest_subset(read_manifest(spark, manifest), subset), table, fetcher, directory)
+    frames = decode_frames(paths, decoder)
+    return table.write(video_embeddings(encode_frames(frames, factory, name), scenes_of(scene_scores(frames, scorer), threshold), None, method))
+
+
+def video_embeddings(frames: DataFrame, scenes: DataFrame | None, fps: float | None = None, method: str = "mean", k_seconds: float = 0.5) -> DataFrame:
+    """Frames with embeddings to window embeddings: per scene with fallback, or whole videos without scenes.
+
+    ``fps``: one rate for all; without it each row's own (column ``fps``).
+    """
     windows = keyframe_windows(frames, ["video_id"], k_seconds, fps) if scenes is None else windows_with_fallback(frames, scenes, fps, k_seconds)
     return embed_windows(windows, method)
 
@@ -58,7 +118,7 @@ def fetch_pending(manifest: DataFrame, table: IndexTable, fetcher, directory: st
     return pending(manifest, table.read()).select("video_id").mapInPandas(fetch, "video_id string, path string")
 
 
-def index_videos(table: IndexTable, frames: DataFrame, scenes: DataFrame | None, fps: float, method: str = "mean") -> DataFrame:
+def index_videos(table: IndexTable, frames: DataFrame, scenes: DataFrame | None, fps: float | None = None, method: str = "mean") -> DataFrame:
     """Indexes the videos of ``frames`` that have no row in the table, as one plan; returns the quarantined rows."""
     table.create()
     return table.write(video_embeddings(pending(frames, table.read()), scenes, fps, method))
@@ -66,12 +126,10 @@ def index_videos(table: IndexTable, frames: DataFrame, scenes: DataFrame | None,
 
 def as_queries(embeddings: DataFrame) -> DataFrame:
     """Window embeddings of one query video numbered in time order."""
-    from pyspark.sql import Window
-
     return embeddings.withColumn("query_idx", F.row_number().over(Window.partitionBy("video_id").orderBy("center_frame")) - 1)
 
 
-def search_by_video(table: IndexTable, frames: DataFrame, fps: float, top_k: int = 10, order_bonus: bool = False) -> DataFrame:
+def search_by_video(table: IndexTable, frames: DataFrame, fps: float | None = None, top_k: int = 10, order_bonus: bool = False) -> DataFrame:
     return search_video(as_queries(video_embeddings(frames, None, fps)), table.read(), top_k=top_k, order_bonus=order_bonus)
 
 

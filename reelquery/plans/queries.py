@@ -158,6 +158,12 @@ def q_keyframe_windows(s, d):
     return _windows_out(temporal.keyframe_windows(frames(s, d), ["video_id"], 0.5, FPS))
 
 
+def q_mixed_fps(s, d):
+    f = frames(s, d)
+    n = F.col("video_id").cast("int") % 3
+    return _windows_out(temporal.keyframe_windows(f.withColumn("fps", F.when(n == 0, 5.0).when(n == 1, 3.7).otherwise(0.0)), ["video_id"]))
+
+
 def q_scene_segments(s, d):
     e = table(s, d, "events").select(F.col("user_id").alias("video_id"), "ts", "event_id", "value")
     seg = temporal.scene_segments(e, 200.0, order=("ts", "event_id"))
@@ -228,7 +234,7 @@ QUERIES = {
     "search_video": q_search_video, "search_video_order_bonus": q_search_bonus, "search_video_zero_query": q_search_zero, "chamfer_score": q_chamfer_score, "chamfer_rank": q_chamfer_rank,
     "ranked_report": q_ranked_report, "knn_topk": q_knn_topk, "knn_filtered": q_knn_filtered, "knn_join": q_knn_join, "best_hit_per_video": q_best_hit, "dedup_frames": q_dedup,
     "l2_norm": q_l2_norm, "normalize_safe": q_normalize_safe, "normalize_drop_zero": q_normalize_drop_zero, "cosine_pairs": q_cosine_pairs, "score_transform": q_score_transform,
-    "fps_params": q_fps_params, "sync_indices": q_sync_indices, "clipped_windows": q_clipped, "keyframe_windows": q_keyframe_windows, "scene_segments": q_scene_segments,
+    "fps_params": q_fps_params, "sync_indices": q_sync_indices, "clipped_windows": q_clipped, "keyframe_windows": q_keyframe_windows, "keyframe_windows_mixed_fps": q_mixed_fps, "scene_segments": q_scene_segments,
     "scene_min_length": q_scene_min_length, "scene_windows": q_scene_windows, "windows_with_fallback": q_fallback, "pool_mean": _pooled("mean"), "pool_max": _pooled("max"),
     "pool_center": _pooled("center"), "embed_windows": _pooled("mean", unit=True), "doc_id": q_doc_id, "upsert_last_wins": q_upsert, "quarantine_counts": q_quarantine,
     "pending_videos": q_pending, "manifest_subset": q_manifest_subset, "json_extract": q_json_extract, "video_id_from_path": q_video_id, "count_suffix": q_count_suffix,
@@ -322,6 +328,11 @@ ORACLE = {
     "fps_params": "WITH e AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 0.0::DOUBLE ELSE round(value / 3.0::DOUBLE, 3) END AS f FROM events), g AS (SELECT event_id, coalesce(nullif(f, 0), 30.0::DOUBLE) AS fps FROM e), h AS (SELECT *, greatest(1, trunc(fps)::BIGINT) AS interval, greatest(1, trunc(fps * 0.5::DOUBLE)::BIGINT) AS radius FROM g) SELECT event_id, fps, interval, radius, radius * 2 + 1 AS win_size FROM h",
     "sync_indices": "WITH v AS (SELECT user_id::VARCHAR AS video_id, coalesce(nullif(user_id % 31, 0), 30) AS step, count(*) AS n FROM events GROUP BY 1, 2) SELECT video_id, unnest(range(0, n, step)) AS frame_idx FROM v",
     "clipped_windows": f"WITH {_FRAMES} SELECT video_id, frame_idx, count(*) OVER w AS n_frames, round(sum(v[1]) OVER w, 6) AS first_sum FROM frames WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)",
+    "keyframe_windows_mixed_fps": f"""WITH {_FRAMES},
+r AS (SELECT *, CASE video_id::INT % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 3.7::DOUBLE ELSE 30.0::DOUBLE END AS rate, min(frame_idx) OVER (PARTITION BY video_id) AS f0 FROM frames)
+SELECT c.video_id, c.frame_idx AS center_frame, round(c.frame_idx / c.rate, 6) AS timestamp_sec, count(*) AS n_frames
+FROM r c JOIN r o ON c.video_id = o.video_id AND abs(o.frame_idx - c.frame_idx) <= trunc(c.rate * 0.5::DOUBLE)::BIGINT
+WHERE (c.frame_idx - c.f0) % trunc(c.rate)::BIGINT = 0 GROUP BY ALL HAVING count(*) = 2 * trunc(any_value(c.rate) * 0.5::DOUBLE)::BIGINT + 1""",
     "keyframe_windows": f"WITH {_WIN} SELECT video_id, center_frame, round(timestamp_sec, 6) AS timestamp_sec, n_frames FROM win",
     "scene_segments": f"WITH {_scene_sql(200)} SELECT user_id AS video_id, scene_id, count(*) AS n, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM seg GROUP BY 1, 2",
     "scene_min_length": f"WITH {_scene_sql(100)}, b AS (SELECT user_id AS video_id, scene_id, epoch_us(min(ts)) / 1e6 AS a, epoch_us(max(ts)) / 1e6 AS b FROM seg GROUP BY 1, 2) SELECT video_id, scene_id, round(b - a, 3) AS seconds FROM b WHERE b - a >= 1.0",

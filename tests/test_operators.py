@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import random
 
 import numpy as np
@@ -81,6 +82,20 @@ def test_shortest_segment(spark, n, windows):
     assert temporal.keyframe_windows(df, ["video_id"], 0.5, 30.0).count() == windows
 
 
+def test_every_video_has_its_own_rate(spark):
+    rates = {"a": 5.0, "b": 29.97, "c": None, "d": 0.0, "e": 1.0}
+    rows = [(v, i, r, [float(i)]) for v, r in rates.items() for i in range(100)]
+    df = spark.createDataFrame(rows, "video_id string, frame_idx long, fps double, embedding array<double>").repartition(7)
+    got = {}
+    for r in temporal.keyframe_windows(df, ["video_id"]).collect():
+        got.setdefault(r["video_id"], []).append((r["center_frame"], int(r["window"][0][0]), int(r["window"][-1][0])))
+        assert r["timestamp_sec"] == r["center_frame"] / (rates[r["video_id"]] or 30.0)
+        assert [x[0] for x in r["window"]] == sorted(x[0] for x in r["window"])
+    assert {v: sorted(x) for v, x in got.items()} == {v: loop_windows(100, r or 30.0, 0.5) for v, r in rates.items()}
+    plan = temporal.keyframe_windows(df, ["video_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_scene_length_and_fallback(spark):
     scenes = spark.createDataFrame([("a", 0, 0.0, 1.0), ("a", 1, 1.0, 1.9), ("b", 0, 0.0, 4.0)], "video_id string, scene_id int, start_sec double, end_sec double")
     assert temporal.scene_min_length(scenes).count() == 2
@@ -221,6 +236,73 @@ def test_index_table_and_jobs(spark):
     assert t.delete() and not t.delete()
 
 
+def test_writes_touch_their_buckets_only(spark):
+    t = store.IndexTable(spark, "bucket_index_test", dims=1)
+    t.delete()
+    t.create()
+    row = lambda v, c, s: (v, c, s, [1.0])
+    t.write(index_of(spark, [row(f"v{i}", 1, 0.0) for i in range(40)]))
+    before = t.versions()
+    t.write(index_of(spark, [row("v3", 1, 9.0), row("v3", 1, 8.0), row("v3", 2, 1.0)]))
+    after = t.versions()
+    changed = {b for b in after if after[b] != before.get(b)}
+    assert len(changed) == 1 and len(before) > 5
+    got = {(r["video_id"], r["center_frame"]): r["timestamp_sec"] for r in t.read().collect()}
+    assert len(got) == 41 and got["v3", 1] == 9.0 and got["v4", 1] == 0.0
+    plan = t._buckets({b: before[b] for b in changed})._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters")[1]
+    assert len(spark.sql(f"SHOW PARTITIONS {t.data}").collect()) == len(after)
+    assert t.delete() and not t.delete()
+
+
+@pytest.mark.parametrize("step", ["_show", "_drop_old"])
+def test_a_write_that_dies_loses_nothing(spark, monkeypatch, step):
+    t = store.IndexTable(spark, "crash_index_test", dims=1)
+    t.delete()
+    t.create()
+    t.write(index_of(spark, [("a", 1, 0.0, [1.0]), ("b", 1, 0.0, [1.0])]))
+    with monkeypatch.context() as m:
+        m.setattr(store.IndexTable, step, lambda *_: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            t.write(index_of(spark, [("a", 1, 5.0, [1.0]), ("c", 1, 5.0, [1.0])]))
+    seen = {r["video_id"]: r["timestamp_sec"] for r in store.IndexTable(spark, "crash_index_test", 1).read().collect()}
+    assert seen == ({"a": 0.0, "b": 0.0} if step == "_show" else {"a": 5.0, "b": 0.0, "c": 5.0})
+    t.write(index_of(spark, [("c", 1, 7.0, [1.0])]))
+    assert {r["video_id"]: r["timestamp_sec"] for r in t.read().collect()} == seen | {"c": 7.0}
+    assert len(spark.sql(f"SHOW PARTITIONS {t.data}").collect()) == len(t.versions())
+    t.delete()
+
+
+def test_manifest_to_index(spark, tmp_path):
+    """From a manifest to the index, with scenes, two rates, a missing file and one that cannot be decoded."""
+    ids = {"a": "validation", "b": "validation", "c": "training", "gone": "validation", "bad": "validation"}
+    (tmp_path / "m.json").write_text(json.dumps({"database": {k: {"subset": v} for k, v in ids.items()}}))
+    for v in ("a", "b", "c", "bad"):
+        (tmp_path / f"{v}.mp4").write_bytes(v.encode())
+
+    def decoder(path):
+        video = os.path.basename(path)[:-4]
+        if video == "bad":
+            raise OSError("not a video")
+        for i in range(60):
+            shade = 200 if video == "a" and i >= 30 else 10  # one cut
+            yield i, 5.0 if video == "a" else 10.0, bytes([shade + i % 3, 1, 2, 3])
+
+    t = store.IndexTable(spark, "corpus_index_test", dims=16)
+    t.delete()
+    job = lambda: jobs.index_corpus(spark, t, str(tmp_path / "m.json"), "validation", str(tmp_path), M.LocalFetcher(), decoder, lambda: ByteStatsEncoder(16), "stats16c")
+    assert job().count() == 0
+    got = {}
+    for r in t.read().collect():
+        got.setdefault(r["video_id"], []).append(r["center_frame"])
+    want_a = [c for c, _, _ in loop_windows(30, 5.0, 0.5)]
+    assert {v: sorted(c) for v, c in got.items()} == {"a": want_a + [30 + c for c in want_a], "b": [c for c, _, _ in loop_windows(60, 10.0, 0.5)]}
+    before = t.versions()
+    job()
+    assert t.versions() == before
+    t.delete()
+
+
 def test_encoder_and_search_by_image(spark, tmp_path):
     t = store.IndexTable(spark, "image_index_test", dims=16)
     t.delete()
