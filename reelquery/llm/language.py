@@ -1,6 +1,6 @@
 """Language identification of mixed text.
 
-The script of a word (by the ranges below) narrows its candidate languages; each candidate scores the word by smoothed
+Words are runs of letters (Unicode category L) of one script.  The script (by the ranges below) narrows a word's candidate languages; each candidate scores the word by smoothed
 log-frequencies of its hashed character n-grams (2 to 4, word ends marked); a Viterbi pass with a switching
 penalty labels the words, and runs of one label are spans.  A text's language is the one with most letters.
 
@@ -8,11 +8,14 @@ penalty labels the words, and runs of one label are spans.  A text's language is
 ``sample`` rows, chosen by a hash of the text; gram counts and script shares are aggregated in the cluster and
 the model has a fixed number of cells per language.  ``label`` covers every text whole.
 
-A null text, or one without letters, is ``und`` with score 0 and no spans.  A script that no learned language uses leaves all
-languages as candidates.  Ties go to the language that sorts first.
+A null or empty text, or one without letters, is ``und`` with score 0 and no spans; so is every text if there was no labelled row to
+learn from.  A script that no learned language uses leaves all languages as candidates.  Ties go to the language that sorts first.
+Equal texts get equal labels; an empty table gives no rows; other columns travel along.
 """
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,9 +42,30 @@ _FIRST = np.array([r[0] for r in RANGES])
 _LAST = np.array([r[1] for r in RANGES])
 _SCRIPT = np.array([SCRIPTS.index(r[2]) for r in RANGES])
 LETTERS = re.compile(r"[^\W\d_]+")
+#: What the pattern takes for letters besides: numbers such as one half, superscript two or Roman eight.
+_ODD = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")) + "]")
 FAR = -1e6
 
 
+def places_of(text: str) -> Iterator[tuple[int, int]]:
+    """Where the words of a text start and end."""
+    plain = text.isascii()
+    for m in LETTERS.finditer(text if plain else _ODD.sub(" ", text)):
+        a, z = m.span()
+        if plain or max(m[0]) < "\u0250":  # all Latin
+            yield a, z
+            continue
+        script = scripts_of(np.frombuffer(m[0].encode("utf-32-le"), np.uint32).astype(np.int64))
+        cuts = [a, *(a + 1 + np.flatnonzero(script[1:] != script[:-1])).tolist(), z]
+        yield from zip(cuts, cuts[1:], strict=False)
+
+
+def words_of(text: str) -> list[str]:
+    if text.isascii():
+        return LETTERS.findall(text)
+    return [text[a:z] for a, z in places_of(text)]
+
+
 def scripts_of(first: np.ndarray) -> np.ndarray:
     """Script numbers of code points."""
     at = np.searchsorted(_FIRST, first, side="right") - 1
@@ -86,11 +110,11 @@ class Model:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = 20_000) -> Model:
-    """A model of the languages in ``docs``; rows without text or language are left out, no rows is an error."""
+    """A model of the languages in ``docs``; rows without text or language are left out, and without any the model has no language."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
     per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not per:
-        raise ValueError("no labelled row to learn from")
+        return Model([], np.zeros((CELLS, 0)), np.zeros((len(SCRIPTS), 0), bool))
     langs = sorted(per)
     share = F.create_map(*[F.lit(x) for k, n in per.items() for x in (k, min(1.0, sample / len(langs) / n))])
     chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
@@ -101,7 +125,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = 2
         number = {k: i for i, k in enumerate(langs)}
         for b in batches:
             for t, k in zip(b.column(0), b.column(1), strict=True):
-                words = LETTERS.findall(t.as_py())
+                words = words_of(t.as_py())
                 if words:
                     at = cells[number[k.as_py()]]
                     at[:CELLS] += np.bincount(grams_of(words)[0], minlength=CELLS)
@@ -124,10 +148,11 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     n, k = scores.shape
     total = scores.sum(axis=0)
     a = int(np.argmax(total))
-    # if no stretch of words gains more than the penalty by another label, one label is best throughout
+    # if no stretch of words gains more than half the penalty by another label, one label is best throughout: k stretches side by
+    # side take k - 1 changes at least, and one that is the whole text gains nothing
     gain = np.cumsum(scores - scores[:, a : a + 1], axis=0)
     low = np.minimum(np.minimum.accumulate(gain, axis=0), 0.0)
-    if ((gain - np.vstack([np.zeros(k), low[:-1]])).max() if n else 0) <= penalty:
+    if ((gain - np.vstack([np.zeros(k), low[:-1]])).max() if n else 0) <= penalty / 2:
         return np.full(n, a)
     best, back = scores[0].tolist(), []
     for row in scores[1:].tolist():
@@ -168,23 +193,23 @@ class Labeller:
 
     def label(self, text: str | None, words: list[str], scores: np.ndarray) -> tuple[str, float, list[tuple[int, int, str]]]:
         """Language, share of letters in it, and spans."""
-        if not words:
-            return "und", 0.0, []
         langs = self.model.langs
+        if not words or not langs:
+            return "und", 0.0, []
         labels = viterbi(scores)
         if labels[0] == labels[-1] and (labels == labels[0]).all():
             first = text.index(words[0])
             return langs[labels[0]], 1.0, [(first, text.rindex(words[-1]) + len(words[-1]), langs[labels[0]])]
         letters = np.bincount(labels, np.array([len(w) for w in words]), minlength=len(langs))
-        a = int(np.argmax(letters))
+        most = int(np.argmax(letters))
         spans, at = [], -1
-        for m, j in zip(LETTERS.finditer(text), labels, strict=True):
+        for (a, z), j in zip(places_of(text), labels, strict=True):
             if j == at:
-                spans[-1] = (spans[-1][0], m.end(), langs[j])
+                spans[-1] = (spans[-1][0], z, langs[j])
             else:
-                spans.append((*m.span(), langs[j]))
+                spans.append((a, z, langs[j]))
                 at = j
-        return langs[a], float(letters[a] / letters.sum()), spans
+        return langs[most], float(letters[most] / letters.sum()), spans
 
 
 def label(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -205,7 +230,7 @@ def label(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for lo in range(0, whole.num_rows, 16):
                 b = whole.slice(lo, 16)
                 texts = b.column(at).to_pylist()
-                words = [LETTERS.findall(t) if t else [] for t in texts]
+                words = [words_of(t) if t and known.model.langs else [] for t in texts]
                 flat = [w for x in words for w in x]
                 scores = known.text_scores(flat) if flat else np.zeros((0, len(known.model.langs)))
                 ends = np.cumsum([0, *map(len, words)])

@@ -1,7 +1,10 @@
 """Operators 2, 3 and 4."""
 
 import hashlib
+import random
 import re
+import time
+import unicodedata
 import zlib
 
 import numpy as np
@@ -56,6 +59,54 @@ def test_op3_lexer():
     assert secrets.find(None) == secrets.find("") == []
 
 
+def test_op3_generated_assignments():
+    """Random programs against a plain interpreter."""
+    rng = random.Random(5)
+    names = ["alpha", "beta", "gamma", "delta", "db_password", "authToken", "api_key", "counter"]
+    for _ in range(300):
+        text, value, want = "", {}, set()
+        for _ in range(rng.randint(1, 12)):
+            name = rng.choice(names)
+            line = name + rng.choice([" = ", "=", ": ", " := ", " => "])
+            parts = []
+            for k in range(rng.randint(1, 3)):
+                line += " + " if k else ""
+                if value and rng.random() < 0.4:
+                    other = rng.choice(sorted(value))
+                    parts += value[other]
+                    line += other
+                else:
+                    quote = rng.choice("\"'")
+                    word = "".join(rng.choice("abcXYZ0189!") for _ in range(rng.randint(1, 9)))
+                    at = len(text) + len(line) + 1
+                    parts.append((at, at + len(word), word))
+                    line += quote + word + quote
+            text += line + rng.choice(["\n", ";\n", "  \n"])
+            value[name] = parts
+            length = min(12, sum(z - a for a, z, _ in parts))
+            score = secrets.sensitivity(name) * (0.5 + 0.25 * length / 12 + 0.25 * min(1, max(secrets.variety(w) for *_, w in parts) / 3))
+            if length >= 6 and score >= secrets.THRESHOLD and not all(re.fullmatch("(?i)x+", w) for *_, w in parts):
+                want |= {(a, z) for a, z, _ in parts}
+        assert {s[1:] for s in secrets.find(text) if s[0] == "literal"} == want, text
+
+
+def test_op3_hostile_texts():
+    start = time.perf_counter()
+    assert secrets.find('a = "xy"\n' + "a = a + a\n" * 60 + "password = a") == [("literal", 5, 7)]
+    for text in ("a=" * 250_000, "token=" * 80_000, 'x="' * 100_000, "a: b[" * 100_000, "password:" * 50_000, "`" * 100_000 + "=", '"" + ' * 100_000 + "= 1"):
+        secrets.find(text)
+    assert len([s for s in secrets.find('password = password + "abcdefgh"\n' * 20_000) if s[0] == "literal"]) == 20_000
+    assert time.perf_counter() - start < 90
+
+
+def test_op3_strings_and_comments():
+    assert literals('conn = "Server=a;Password=s3cr3tvalue9;"') == ["s3cr3tvalue9"]
+    assert literals('config["password"] = "hunter2-Zx9"') == ["hunter2-Zx9"]
+    assert literals("it's password = 'hunter2-Zx9' isn't it") == ["hunter2-Zx9"]
+    assert literals('# material = "k3yM4t3ri4l!"\npassword = material') == ["material"]
+    assert literals('x = y_token = "q9W8e7R6t5"') == ["q9W8e7R6t5"]
+
+
 def test_op3_rows(spark):
     df = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "token=" + "a" * 100_000, 1), (3, "x", 1)], "doc_id long, text string, secret_spans int")
     assert secrets.digests(secrets.scan(df)).count() == 4
@@ -85,6 +136,32 @@ def test_op4_spans_and_edges(spark):
     assert got[5]["lang_pred"] in model.langs and got[6]["lang_pred"] == "en"
 
 
+def test_op4_letters(spark):
+    model = language.Model(["xx"], np.zeros((language.CELLS, 1)), np.ones((len(language.SCRIPTS), 1), bool))
+    texts = ["½ ²", "Ⅷ ①", "a½b", "Приветhello", "日本ごカナ", "straße", "x" * 300_000, "é " * 100_000]
+    got = [tuple(r) for r in language.label(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").select("lang_pred", "lang_score").collect()]
+    assert got == [("und", 0.0)] * 2 + [("xx", 1.0)] * 6
+    words = [language.words_of(t) for t in texts[:6]]
+    assert words == [[], [], ["a", "b"], ["Привет", "hello"], ["日本", "ごカナ"], ["straße"]]
+    assert [t[a:z] for t in texts[:6] for a, z in language.places_of(t)] == [w for x in words for w in x]
+    assert all(unicodedata.category(c)[0] == "L" for i in range(0x250, 0x30000) for c in language.words_of(chr(i)))
+
+
+def test_op4_nothing_to_learn_from(spark):
+    rows = [(1, "some text", None), (1, "some text", None), (2, None, "en"), (None, "", None)]
+    for df in (spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([], "doc_id long, text string, lang string")):
+        got = language.label(df, language.fit(df)).collect()
+        assert len(got) == df.count() and all(r["lang_pred"] == "und" and r["lang_score"] == 0 and r["lang_spans"] == [] for r in got)
+
+
+def test_viterbi_neighbours():
+    """Two stretches that gain less than the penalty each, and more than it together."""
+    s = np.zeros((20, 3))
+    s[:10, 1] = s[10:, 2] = 1.0
+    s[10:, 1] = s[:10, 2] = -5.0
+    assert language.viterbi(s, 12.0).tolist() == [1] * 10 + [2] * 10
+
+
 def test_viterbi_matches_full_search():
     rng = np.random.default_rng(1)
     for _ in range(200):
