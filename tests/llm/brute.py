@@ -30,7 +30,7 @@ def smallest_reachable(ids, links):
     while changed:
         changed = False
         for a, b in links:
-            low = min(name[a], name[b], key=lambda i: ids[i])
+            low = min(name[a], name[b], key=lambda i: (ids[i], i))
             if name[a] != low or name[b] != low:
                 name[a] = name[b] = low
                 changed = True
