@@ -4,9 +4,9 @@ _REACH = """pairs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT id AS a, id AS b FROM ids UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
 low AS (SELECT a AS id, min(b) AS low FROM reach GROUP BY a)"""
 
-TOPK = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, list_inner_product(q.x, v.x)::BIGINT AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+TOPK = """WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings),
+s AS (SELECT q.row, q.vec_id AS query_id, v.vec_id AS vec_id, list_inner_product(q.x, v.x)::BIGINT AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.row <> v.row),
+r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5"""
 
 MULTIINDEX = f"""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), ids AS (SELECT vec_id AS id FROM v),
