@@ -11,8 +11,10 @@ chosen; the repetitions of a document are rows ``epoch`` 0, 1, ....
 
 Token sums per leaf and hash bucket are aggregated first; only the bucket in which a leaf's budget ends is ordered
 by document, so a leaf may hold any share of the rows.  With more than ``BUCKETS`` documents in a leaf that bucket is
-a 1/BUCKETS part of them.
+a 1/BUCKETS part of them.  What a leaf takes is told by one row, its last epoch, bucket and key: the tables joined with the documents
+have a row a leaf, and Spark broadcasts them only while they are small.
 
+Columns ``epoch`` and ``mix_tokens`` of the input are replaced, and others travel along.  Texts are read whole.
 Null domains, languages and sources are nodes of their own; a null text has no tokens; repeated rows with one id and text share
 their place in the order and are taken together.  An empty table gives no rows.
 """
@@ -99,14 +101,18 @@ def mix(docs: DataFrame, fraction: tuple[int, int] = (1, 2), max_epochs: int = 1
     wanted = budgets(leaves, leaves.agg(F.sum("tokens").alias("all")), amount, max_epochs, weights)
     before = Window.partitionBy(*leaf).orderBy("epoch", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = plan.withColumn("start", F.coalesce(F.sum("t").over(before), F.lit(0).cast("long")))
-    at = saved(starts.join(wanted, leaf).filter("start < budget").select(*place, "start", "budget", (F.col("start") + F.col("t") <= F.col("budget")).alias("whole")))
-    # in the bucket where a budget ends: the last key that starts before it
-    keys = light.join(at.filter(~F.col("whole")), place).groupBy(*place, "start", "budget", "key").agg(F.sum("tokens").alias("t"))
+    # where a leaf's budget ends: its last bucket that starts before; one row a leaf
+    ends = starts.join(wanted, leaf).filter("start < budget").groupBy(*leaf).agg(F.max(F.struct("epoch", "bucket", "start", "budget", "t")).alias("e")).select(*leaf, "e.*")
+    ends = saved(ends.withColumnsRenamed({"epoch": "_epoch", "bucket": "_bucket"}))
+    # in that bucket: the last key that starts before the budget is reached
+    there = (F.col("epoch") == F.col("_epoch")) & (F.col("bucket") == F.col("_bucket"))
+    keys = light.join(ends.filter("start + t > budget"), leaf).filter(there).groupBy(*place, "start", "budget", "key").agg(F.sum("tokens").alias("t"))
     order = Window.partitionBy(*place).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     inside = keys.filter("t > 0").withColumn("_s", F.col("start") + F.coalesce(F.sum("t").over(order), F.lit(0).cast("long"))).filter("_s < budget")
-    last = inside.groupBy(*place).agg(F.max("key").alias("last"))
-    taken = saved(at.join(last, place, "left").select(*place, "last"))
-    chosen = keyed(docs, seed, max_epochs, domain).join(taken, place).filter("last is null or key <= last")
+    last = inside.groupBy(*leaf).agg(F.max("key").alias("_last"))
+    taken = saved(ends.join(last, leaf, "left").select(*leaf, "_epoch", "_bucket", "_last"), light, ends)
+    before_end = F.struct("epoch", "bucket") < F.struct(F.col("_epoch"), F.col("_bucket"))
+    chosen = keyed(docs, seed, max_epochs, domain).join(taken, leaf).filter(before_end | (there & (F.col("_last").isNull() | (F.col("key") <= F.col("_last")))))
     return chosen.select("row.*", "epoch", n_tokens(F.col("row.text")).alias("mix_tokens"))
 
 

@@ -4,10 +4,14 @@ import hashlib
 from collections import defaultdict
 
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
+import sentencepiece
 from pyspark.sql import functions as F
 
-from reelquery.llm import lines, mixing, ngrams
+from reelquery.llm import language, lines, mixing, ngrams
 from tests.llm import brute
+from tests.llm.test_lines import brute as line_brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -94,6 +98,67 @@ def test_run(spark):
         assert empty.count() == 0
 
 
+def plain_label(model, text):
+    """The language of a text and its share of the letters, word by word and by the full dynamic programme."""
+    words = language.words_of(text or "")
+    if not words:
+        return "und", 0.0
+    best, back = None, []
+    for w in words:
+        s = model.word_scores([w])[0]
+        if best is None:
+            best = s
+            continue
+        leave = best.max() - language.PENALTY
+        back.append([j if best[j] >= leave else int(best.argmax()) for j in range(len(s))])
+        best = s + np.maximum(best, leave)
+    at = [int(best.argmax())]
+    for came in reversed(back):
+        at.append(came[at[-1]])
+    letters = np.bincount(at[::-1], [len(w) for w in words], minlength=len(model.langs))
+    return model.langs[int(letters.argmax())], letters.max() / letters.sum()
+
+
+def test_whole_pipeline_by_brute_force(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(corpus_pipeline.COLUMNS)
+    few = [(9001, None, "en", "src1", None), (9002, "", "de", None, 0), (9003, "½ ²", "en", "src2", 3), (9004, "word " * 3000, None, "src3", 15_000), (9005, "eins zwei drei", None, None, 14)]
+    docs = docs.unionByName(spark.createDataFrame(few, docs.schema)).coalesce(2)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    model = language.fit(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    rows = []
+    for r in docs.collect():
+        lang, share = plain_label(model, r["text"])
+        if lang != "und" and share >= corpus_pipeline.LEAST_SHARE:
+            rows.append((r["doc_id"], r["text"], lang, r["source"]))
+    cut = {i: (t, gone) for i, t, _, gone in line_brute([(i, t) for i, t, *_ in rows])}
+    rows = [(i, cut[i][0], lang, source) for i, _, lang, source in rows if not cut[i][1] or cut[i][0].strip(" \t\r\n")]
+    ids = [r[0] for r in rows]
+    first = brute.smallest_reachable(ids, brute.jaccard_links([r[1] for r in rows]))
+    worded = brute.word_sets([r[1] for r in rows])
+    rows = [r for r, f, w in zip(rows, first, worded, strict=True) if r[0] == f or not w]
+    chosen = [i for i, _, _ in expected(rows, *corpus_pipeline.MIX)]
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    text = {r[0]: r for r in rows}
+    want = sorted((i, text[i][2], sp.encode(text[i][1])) for i in chosen)
+    assert sorted((r["doc_id"], r["lang"], list(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_stages_bear_any_rows(spark):
+    rows = [(1, "the same text of more than eight words in it", "en", "src1", 5, 1), (1, "the same text of more than eight words in it", "en", "src1", 5, 1), (None, "the same text of more than eight words in it", None, None, None, 2)]
+    rows += [(None, None, None, None, None, 3), (2, "", "en", "", 0, 4), (3, "\n\n", "de", "src2", 2, 5), (3, "another text under the same number as an empty one", "de", "src2", 9, 6), (4, "a\n" * 20_000, "en", "src1", 40_000, 7)]
+    extra = "doc_id long, text string, lang string, source string, n_chars long, row int"
+    docs = spark.createDataFrame(rows, extra)
+    for c in ("doc", "at", "epoch", "key", "tokens", "lang_pred", "component", "gone", "piece_ids"):
+        docs = docs.withColumn(c, F.lit(7))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        got = out.collect()
+        assert name == "pieces" or out.columns == corpus_pipeline.COLUMNS
+        assert {"language": 5, "lines": 7, "pieces": 8}.get(name, len(got)) == len(got), name
+        if name == "ngrams":
+            assert sorted(str(r["doc_id"]) for r in got) == ["1", "2", "3", "3", "4", "None", "None"]
+
+
 def test_keep_first_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, None), (3, None), (None, "a b c d e f"), (4, "q r s t u v")], "doc_id long, text string")
     got = sorted((tuple(r) for r in ngrams.keep_first(df).collect()), key=str)
