@@ -125,8 +125,18 @@ def splitters(docs: DataFrame, parts: int, text: str = "text") -> np.ndarray:
     return got[np.unique(np.linspace(0, len(got) - 1, parts + 1).astype(int)[1:-1])] if len(got) else got
 
 
-def suffixes(docs: DataFrame, ends: np.ndarray, text: str = "text") -> DataFrame:
-    """The sampled suffixes with the range of leads they belong to.
+def dealing(docs: DataFrame, parts: int) -> np.ndarray:
+    """For each of ``parts`` partitions a number that is dealt to it, so that every range has a task of its own."""
+    numbers = docs.sparkSession.range(int(parts * (np.log(parts) + 16))).select(F.col("id").cast("int").alias("i"))
+    got = numbers.groupBy(F.pmod(F.hash("i"), F.lit(parts)).alias("p")).agg(F.min("i").alias("i")).collect()  # a row a partition
+    out = np.arange(parts, dtype=np.int32)
+    for r in got:
+        out[r["p"]] = r["i"]
+    return out
+
+
+def suffixes(docs: DataFrame, ends: np.ndarray, text: str = "text", deal: np.ndarray | None = None) -> DataFrame:
+    """The sampled suffixes with the range of leads they belong to, as the number that ``deal`` has for it.
 
     ``times``: how often the batch met the context (2 stands for more); 0 for rows that another row of the batch speaks
     for, which are dealt by text.
@@ -145,6 +155,7 @@ def suffixes(docs: DataFrame, ends: np.ndarray, text: str = "text") -> DataFrame
                 times = np.where(speaks, np.minimum(times[same], 2), 0).astype(np.int32)
                 u = ids[first + at]
                 part = np.where(speaks, np.searchsorted(ends, lead, side="right"), u % (len(ends) + 1)).astype(np.int32)
+                part = part if deal is None else deal[part]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part), pa.array(times), pa.array(lead.view(np.int64)), pa.array(context.view(np.int64)), pa.array(u), pa.array(place.astype(np.int32))],
                     names=["part", "times", "lead", "context", "uid", "place"],
@@ -317,7 +328,7 @@ def cut(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     docs = docs.drop("kept_bytes", "removed_spans", "n_bytes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = saved(judged(suffixes(docs, splitters(docs, parts, text), text), parts))
+    met = saved(judged(suffixes(docs, splitters(docs, parts, text), text, dealing(docs, parts)), parts))
     rest = met.filter("not alone")
     hot = saved(rest.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).drop("n"))
     some = saved(compared(contexts(docs, rest.join(hot, "lead", "left_anti"), text), parts))
