@@ -3,12 +3,17 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs.  All but the last return the columns of ``documents``.
 
-1. language: labels every text; texts without letters, or with no language for at least 35 % of their letters, go; ``lang``
-   becomes the language found
+1. language: a labelling stage: ``lang`` becomes the language found.  Few texts go: those without letters, and those with no
+   language for at least 35 % of their letters (mixes of three languages or more; clean text in two languages must stay)
 2. lines: repeated lines are cut out of the texts; texts of which nothing is left go; ``n_chars`` is counted again
 3. ngrams: of each group of near-duplicates the document with the smallest doc_id stays
 4. mixing: half of the tokens, divided among domains, languages and sources by weight, without repetitions
 5. pieces: every text as SentencePiece ids, decoded again and compared
+
+Null and empty texts go with the first stage, as they have no letters; if no row has a text and a language, all rows go, as nothing
+can be learned.  Repeated rows are copies of each other: their lines go or stay alike, and one of them stays in the third stage.
+Rows without an id stay there, and come last where order counts.  Texts of any length are read whole.  Other columns are left behind,
+so names cannot clash.  An empty table gives no rows.
 """
 
 import public_tokenizers
@@ -61,5 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir))
+        docs = saved(stage(spark, docs, sf_dir), docs)
     return docs
