@@ -17,11 +17,13 @@ every repeated string is seen through suffixes with equal leading bytes.
    the suffix, with L + R >= 200, covers [-L, R).
 4. The intervals of a text are joined and cut out.
 
-Texts are read whole, as UTF-8; null counts as empty.  Rows are told apart by (doc_id, text): repeated rows are each
+Texts are read whole, as UTF-8, and long ones in overlapping pieces, so that memory does not grow with a text's length beyond a few
+copies of its bytes; null counts as empty.  An empty table gives no rows.  Rows are told apart by (doc_id, text): repeated rows are each
 other's copies, and each gives a row.  Nothing is collected on the driver.
 """
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ LENGTH, GRAM, PAIRWISE, HOT = 200, 32, 40, 5000
 BEFORE = LENGTH - GRAM  # how far a window that holds the suffix's lead can begin before it
 WINDOW = BEFORE + 1
 BATCH_BYTES = 1 << 19
+#: Enough for the bytes of a batch and the overlaps of its pieces.
+PLACE_BITS = np.uint64(21)
 SPLIT_TEXTS, SPLIT_LEADS = 500, 100_000
 _rng = np.random.default_rng(77)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -65,11 +69,11 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def sampled(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(text, place, lead, context)`` of the sampled suffixes: hashes of the leading bytes and of the whole context."""
-    size = np.array([len(t) for t in texts], dtype=np.int64)
+def sampled(pieces: list["Piece"]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(piece, place, lead, context)`` of the sampled suffixes: hashes of the leading bytes and of the whole context."""
+    size = np.array([len(p.raw) for p in pieces], dtype=np.int64)
     start = np.concatenate([[0], np.cumsum(size)])
-    raw = np.frombuffer(b"".join(texts), np.uint8)
+    raw = np.frombuffer(b"".join(p.raw for p in pieces), np.uint8)
     n = len(raw)
     if n < LENGTH:
         none = np.zeros(0, np.int64)
@@ -79,18 +83,30 @@ def sampled(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[raw] * up[:n], out=total[1:])
         lead = _mixed((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1])
-        bits = np.uint64(int(n).bit_length())
-        # the place in the low bits: the leftmost of equal leads is the smallest
-        key = (lead >> bits << bits) | np.arange(len(lead), dtype=np.uint64)
-        low = sliding_min(key, WINDOW) & ((np.uint64(1) << bits) - np.uint64(1))
+        # the place in the low bits, as many of them whatever the batch: the leftmost of equal leads is the smallest
+        key = (lead >> PLACE_BITS << PLACE_BITS) | np.arange(len(lead), dtype=np.uint64)
+        low = sliding_min(key, WINDOW) & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))
         end_of = np.repeat(start[1:], size)
         inside = np.arange(len(low)) + LENGTH <= end_of[: len(low)]
         at = low[inside].astype(np.int64)
         at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
-        text = np.searchsorted(start, at, side="right") - 1
-        a, b = np.maximum(at - BEFORE, start[text]), np.minimum(at + LENGTH, start[text + 1])
+        piece = np.searchsorted(start, at, side="right") - 1
+        first, last, begin = (np.array([p[i] for p in pieces], dtype=np.int64)[piece] for i in (3, 4, 2))
+        own = (at - start[piece] + begin >= first) & (at - start[piece] + begin < last)
+        at, piece, begin = at[own], piece[own], begin[own]
+        a, b = np.maximum(at - BEFORE, start[piece]), np.minimum(at + LENGTH, start[piece + 1])
         context = _mixed((total[b] - total[a]) * down[a] + ((at - a) * 1024 + (b - at)).astype(np.uint64))
-    return text, at - start[text], lead[at], context
+    return piece, at - start[piece] + begin, lead[at], context
+
+
+class Piece(NamedTuple):
+    """Part of a text: the bytes from ``begin`` on, which has the suffixes at ``first`` to ``last`` and all they are judged by."""
+
+    row: int
+    raw: bytes
+    begin: int
+    first: int
+    last: int
 
 
 def uid(text: str = "text") -> Column:
@@ -100,18 +116,20 @@ def uid(text: str = "text") -> Column:
 SUFFIX = "part int, times int, lead long, context long, uid long, place int"
 
 
-def _batches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
-    """The texts of a batch as bytes, some BATCH_BYTES at a time."""
-    held, first, size = [], 0, 0
+def _batches(batch: pa.RecordBatch, column: int) -> Iterator[list[Piece]]:
+    """The texts of a batch as bytes, some BATCH_BYTES at a time; longer texts in pieces that overlap."""
+    held, size = [], 0
     for i, t in enumerate(batch.column(column)):
         raw = (t.as_py() or "").encode()
-        if held and size + len(raw) > BATCH_BYTES:
-            yield first, held
-            held, first, size = [], i, 0
-        held.append(raw)
-        size += len(raw)
+        for lo in range(0, max(len(raw), 1), BATCH_BYTES):
+            hi, a = min(lo + BATCH_BYTES, len(raw)), max(lo - BEFORE, 0)
+            if held and size + hi - lo > BATCH_BYTES:
+                yield held
+                held, size = [], 0
+            held.append(Piece(i, raw[a : hi + LENGTH], a, lo, hi))
+            size += hi - lo
     if held:
-        yield first, held
+        yield held
 
 
 def splitters(docs: DataFrame, parts: int, text: str = "text") -> np.ndarray:
@@ -146,14 +164,14 @@ def suffixes(docs: DataFrame, ends: np.ndarray, text: str = "text", deal: np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
-            for first, texts in _batches(b, 1):
-                at, place, lead, context = sampled(texts)
+            for pieces in _batches(b, 1):
+                at, place, lead, context = sampled(pieces)
                 # a context that is met again in the batch is settled here: one row speaks for it
                 _, one, same, times = np.unique(context, return_index=True, return_inverse=True, return_counts=True)
                 speaks = np.zeros(len(context), bool)
                 speaks[one] = True
                 times = np.where(speaks, np.minimum(times[same], 2), 0).astype(np.int32)
-                u = ids[first + at]
+                u = ids[np.array([p.row for p in pieces], dtype=np.int64)[at]]
                 part = np.where(speaks, np.searchsorted(ends, lead, side="right"), u % (len(ends) + 1)).astype(np.int32)
                 part = part if deal is None else deal[part]
                 yield pa.RecordBatch.from_arrays(
@@ -258,6 +276,7 @@ def spans_of(before: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarr
         ok = (l + r >= LENGTH) & ~np.eye(m, dtype=bool)
         return np.where(ok, l, 0).max(axis=1), np.where(ok, r, 0).max(axis=1)
     total, after = _sums(before, raw)
+    grid, _ = _grid(before, raw)
     left, right = np.zeros(m, np.int64), np.zeros(m, np.int64)
     for o in range(BEFORE + 1):
         able = np.flatnonzero((before >= o) & (after >= LENGTH - o))
@@ -267,6 +286,8 @@ def spans_of(before: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarr
             h = _mixed(total[able, BEFORE + LENGTH - o] - total[able, BEFORE - o])
         order = np.argsort(h, kind="stable")
         equal = h[order][1:] == h[order][:-1]
+        rows, other = able[order[1:][equal]], able[order[:-1][equal]]
+        equal[equal] = (grid[rows, BEFORE - o : BEFORE - o + LENGTH] == grid[other, BEFORE - o : BEFORE - o + LENGTH]).all(axis=1)
         hit = able[order[np.concatenate([[False], equal]) | np.concatenate([equal, [False]])]]
         left[hit] = np.maximum(left[hit], o)
         right[hit] = np.maximum(right[hit], LENGTH - o)

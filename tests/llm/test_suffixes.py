@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 
 from reelquery.llm import suffixes
 from reelquery.llm.queries import QUERIES
@@ -49,6 +50,21 @@ def test_leads_that_are_not_gathered(spark, monkeypatch):
     test_hot_passage(spark)
 
 
+def test_texts_in_pieces(spark, monkeypatch):
+    """Pieces give the same suffixes as whole texts, and repeats are found across them."""
+    rng = np.random.default_rng(9)
+    text = "".join(rng.choice(list("abc "), 20_000)).encode()
+    table = pa.record_batch([pa.array([text.decode(), "short", None, text[5000:9000].decode()])], names=["t"])
+    whole = [suffixes.sampled(p) for p in suffixes._batches(table, 0)]
+    monkeypatch.setattr(suffixes, "BATCH_BYTES", 1000)
+    parts = [(p, suffixes.sampled(p)) for p in suffixes._batches(table, 0)]
+    assert len(whole) == 1 and len(parts) > 20
+    one = sorted(zip(*(x.tolist() for x in whole[0]), strict=True))
+    cut = sorted((p[i].row, *rest) for p, s in parts for i, *rest in zip(*(x.tolist() for x in s), strict=True))
+    assert one == cut
+    test_random_passages(spark)
+
+
 def test_edges(spark):
     rng = np.random.default_rng(4)
     t = words(rng, 80)
