@@ -9,7 +9,7 @@ All of it is per row: no shuffle, no broadcast beyond the fixed tables below, an
 sentence holds one of ``TRIGGERS``, so texts without any are settled by a substring test.
 
 A null or empty text has no sentence and no licence.  Sentences that match nothing are left out of the sequence; repeated
-ones stay.
+ones stay.  Texts of any length are read whole; repeated rows give equal rows; an empty table gives none; other columns travel along.
 """
 
 import re
@@ -195,19 +195,20 @@ def sentence_ids(text: Column) -> Column:
 
 
 def apply_rules(sequence: Column) -> Column:
-    """Licences of ``,id,id,...,``: each rule in turn, its matches taken out."""
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("," + ",".join(ids) + ",").alias("ids")) for name, ids in RULES])
+    """Licences of ``,id,,id,...``: each rule in turn, its matches taken out.  Every identifier has commas of its own, so matches side by
+    side are all found."""
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(f",{i}," for i in ids)).alias("ids")) for name, ids in RULES])
     step = lambda s, r: F.when(s["left"].contains(r["ids"]), F.struct(F.replace(s["left"], r["ids"], F.lit(",-,")).alias("left"), F.array_append(s["found"], r["name"]).alias("found"))).otherwise(s)
     none = F.array().cast("array<string>")
     found = F.aggregate(rules, F.struct(sequence.alias("left"), none.alias("found")), step, lambda s: s["found"])
-    return F.when(sequence == ",,", none).otherwise(F.array_distinct(found))
+    return F.when(sequence == "", none).otherwise(F.array_distinct(found))
 
 
 def recognise(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``license_sentences array<string>`` and ``licenses array<string>``; columns of these names are replaced."""
     docs = docs.drop("license_sentences", "licenses")
     out = docs.withColumn("license_sentences", sentence_ids(F.col(text)))
-    sequence = F.concat(F.lit(","), F.array_join("license_sentences", ","), F.lit(","))
+    sequence = F.array_join(F.transform("license_sentences", lambda i: F.concat(F.lit(","), i, F.lit(","))), "")
     return out.withColumn("licenses", apply_rules(sequence))
 
 
@@ -218,17 +219,17 @@ def oracle_sql() -> str:
     norm = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' ')"
     steps, found, seq = [], [], "s0"
     for i, (name, ids) in enumerate(RULES):
-        pattern = quote("," + ",".join(ids) + ",")
+        pattern = quote("".join(f"<{x}>" for x in ids))
         found.append(f"CASE WHEN contains(s{i}, {pattern}) THEN {quote(name)} END")
-        steps.append(f"r{i + 1} AS (SELECT *, replace(s{i}, {pattern}, ',-,') AS s{i + 1} FROM r{i})")
+        steps.append(f"r{i + 1} AS (SELECT *, replace(s{i}, {pattern}, '<>') AS s{i + 1} FROM r{i})")
         seq = f"r{i + 1}"
     return f"""WITH known(k, id) AS (VALUES {values}),
 lines AS (SELECT row, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS ln FROM (SELECT row_number() OVER () AS row, doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 whole AS (SELECT row, doc_id, ln, 0 AS sn, id, line FROM lines LEFT JOIN known ON k = {norm('line')}),
 parts AS (SELECT row, ln, unnest(ss) AS s, generate_subscripts(ss, 1) AS sn FROM (SELECT row, ln, regexp_split_to_array(line, '{END}') AS ss FROM whole WHERE id IS NULL)),
 ids AS (SELECT row, ln, sn, id FROM whole WHERE id IS NOT NULL UNION ALL SELECT row, ln, sn, known.id FROM parts JOIN known ON k = {norm('s')}),
-seqs AS (SELECT row, count(*) AS n, string_agg(id, ',' ORDER BY ln, sn) AS ids FROM ids GROUP BY row),
-r0 AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids, ',' || coalesce(ids, '') || ',' AS s0 FROM (SELECT row_number() OVER () AS row, doc_id FROM documents) LEFT JOIN seqs USING (row)),
+seqs AS (SELECT row, count(*) AS n, string_agg(id, ',' ORDER BY ln, sn) AS ids, string_agg('<' || id || '>', '' ORDER BY ln, sn) AS marked FROM ids GROUP BY row),
+r0 AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(marked, '') AS s0 FROM (SELECT row_number() OVER () AS row, doc_id FROM documents) LEFT JOIN seqs USING (row)),
 {', '.join(steps)},
 f AS (SELECT doc_id, n_sentences, sentence_ids, list_filter([{', '.join(found)}], lambda x: x IS NOT NULL) AS l FROM {seq})
 SELECT doc_id, n_sentences, sentence_ids, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS licenses FROM f"""

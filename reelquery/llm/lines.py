@@ -24,7 +24,8 @@ more than ``HOT`` lines are not gathered at all: their lines' one-word variants
 Exact repeats are settled before, by a hash of the line, and take no part in the groups.  Texts are read whole.
 
 Null texts have no lines and stay null.  A null doc_id comes after all others.  Rows that share a doc_id share the places of
-their lines: of repeated rows, all keep or lose the same lines.  Columns ``lines_total`` and ``lines_removed`` are replaced.
+their lines: of repeated rows, all keep or lose the same lines.  Columns ``lines_total`` and ``lines_removed`` are replaced, others
+travel along.  An empty table gives no rows.
 """
 
 from collections.abc import Iterator

@@ -8,7 +8,8 @@ bitfield.  A part's ids do not depend on its neighbours, so parts are kept in a
 Pieces made only of word marks often share one score below all others; the leftmost then wins at each step, which pair
 checks cannot express.  Such runs are merged last, by direct simulation, exactly as the library does.
 
-Nulls count as empty text.  The vocabulary file's path is a parameter; its bytes (of fixed size) go to the workers.
+Nulls count as empty text.  Texts of any length are read whole; repeated rows give equal rows; an empty table gives none; other columns
+travel along, but for those of the names that ``encode`` and ``decode`` add.  The vocabulary file's path is a parameter; its bytes (of fixed size) go to the workers.
 """
 
 import heapq

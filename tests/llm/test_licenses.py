@@ -75,3 +75,17 @@ def test_wrapped_headers(spark):
 def test_parts_of_sentences_are_not_sentences(spark):
     texts = ["Unlike the MIT License this asks for\nmore.", "Released under the MIT License\nfor some", "released under the MIT Licenses", "MIT License, all rights reserved by us"]
     assert found(spark, texts) == [[], ["MIT"], [], []]
+
+
+NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def test_rules_side_by_side(spark):
+    bsd3 = BSD + "\n\n3. " + NAMES + "\n"
+    texts = [bsd3, bsd3 * 2, bsd3 * 5, MIT + "\n" + MIT, BSD + "\n" + bsd3, GPL + "\n" + GPL + "\n" + MIT]
+    assert found(spark, texts) == [["BSD-3-Clause"]] * 3 + [["MIT"], ["BSD-3-Clause", "BSD-2-Clause"], ["MIT", "GPL-3.0-or-later"]]
+
+
+def test_very_long_text(spark):
+    words = "lorem ipsum dolor sit amet. " * 60_000
+    assert found(spark, [words + "\n" + MIT + "\n" + words, words, "license " * 200_000]) == [["MIT"], [], []]
