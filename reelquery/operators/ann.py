@@ -1,6 +1,7 @@
 """Approximate k-NN by an inverted file: k-means cells as a partition column, nearest cells probed.
 
-The coarse codebook is fitted on a bounded sample (``sample`` rows, chosen by hash); every row is indexed.
+The coarse codebook is fitted on a bounded sample (``sample`` rows, chosen by hash); every row is indexed.  A cell is searched in
+blocks of some ``BLOCK`` rows, so a task's memory does not grow with the index.
 """
 
 import numpy as np
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from reelquery.operators.knn import HIT, _block_hits, _ranked, matrix, unit
 
 
+BLOCK = 8192
+
+
 class IvfIndex:
     def __init__(self, index: DataFrame, cells: int = 16, sample: int = 20_000, rounds: int = 10, seed: int = 7):
         got = index.select("embedding").filter(F.col("embedding").isNotNull()).orderBy(F.xxhash64("embedding", F.lit(seed))).limit(sample).toPandas()
@@ -42,11 +46,17 @@ class IvfIndex:
         def near(v: pd.Series) -> pd.Series:
             return pd.Series(list(np.argsort(-(unit(matrix(v))[0] @ shared.value.T), axis=1)[:, :probes].astype(np.int32)))
 
-        left = queries.select("query_idx", "embedding", F.explode(near("embedding")).alias("cell"))
-        right = self.rows.select("cell", F.col("video_id").cast("string").alias("video_id"), F.col("center_frame").cast("long").alias("center_frame"), F.col("timestamp_sec").cast("double").alias("timestamp_sec"), "embedding")
+        # a cell's blocks: a row a cell, so this table has as many rows as the codebook
+        blocks = self.rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("long").alias("_n"))
+        left = queries.select("query_idx", "embedding", F.explode(near("embedding")).alias("cell")).join(F.broadcast(blocks), "cell")
+        left = left.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n")
+        block = F.pmod(F.xxhash64("video_id", "center_frame"), F.col("_n")).alias("block")
+        right = self.rows.join(F.broadcast(blocks), "cell").select("cell", block, F.col("video_id").cast("string").alias("video_id"), F.col("center_frame").cast("long").alias("center_frame"), F.col("timestamp_sec").cast("double").alias("timestamp_sec"), "embedding")
 
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame({c.split()[0]: [] for c in HIT.split(", ")})
             q, ok = unit(matrix(left["embedding"]))
             return _block_hits(left["query_idx"].to_numpy()[ok], q[ok], right, matrix(right["embedding"]), k)
 
-        return _ranked(left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(meet, HIT), k)
+        return _ranked(left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(meet, HIT), k)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reelquery.functions import timing
 from reelquery.functions import vector as V
-from reelquery.operators import knn, ranking, store, temporal
+from reelquery.operators import ann, knn, ranking, store, temporal
 from reelquery.sources import manifest as M
 
 FPS = 5.0
@@ -99,6 +99,11 @@ def q_knn_join(s, d):
     return _hits_out(hits(s, d))
 
 
+def q_ivf_search(s, d):
+    """The inverted file with every cell probed, which must be exact."""
+    return _hits_out(ann.IvfIndex(index(s, d), cells=8).search(query_video(s, d), k=50, probes=8))
+
+
 def q_best_hit(s, d):
     return _hits_out(ranking.best_hit_per_video(hits(s, d)))
 
@@ -170,6 +175,13 @@ def q_scene_segments(s, d):
     return seg.groupBy("video_id", "scene_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("value"), 6).alias("lo"), F.round(F.max("value"), 6).alias("hi"))
 
 
+def q_scenes_of(s, d):
+    e = table(s, d, "events").select(F.col("user_id").cast("string").alias("video_id"), "ts", "event_id", "value")
+    w = Window.partitionBy("video_id").orderBy("ts", "event_id")
+    scored = e.select("video_id", (F.row_number().over(w) - 1).cast("long").alias("frame_idx"), F.lit(FPS).alias("fps"), F.coalesce(F.abs(F.col("value") - F.lag("value").over(w)), F.lit(0.0)).alias("score"))
+    return temporal.scenes_of(scored, 100.0).select("video_id", "scene_id", F.round("start_sec", 6).alias("start_sec"), F.round("end_sec", 6).alias("end_sec"))
+
+
 def q_scene_min_length(s, d):
     e = table(s, d, "events").select(F.col("user_id").alias("video_id"), "ts", "event_id", "value")
     seg = temporal.scene_segments(e, 100.0, order=("ts", "event_id")).groupBy("video_id", "scene_id").agg(F.unix_micros(F.min("ts").cast("timestamp")).alias("a"), F.unix_micros(F.max("ts").cast("timestamp")).alias("b"))
@@ -232,9 +244,9 @@ def q_count_suffix(s, d):
 
 QUERIES = {
     "search_video": q_search_video, "search_video_order_bonus": q_search_bonus, "search_video_zero_query": q_search_zero, "chamfer_score": q_chamfer_score, "chamfer_rank": q_chamfer_rank,
-    "ranked_report": q_ranked_report, "knn_topk": q_knn_topk, "knn_filtered": q_knn_filtered, "knn_join": q_knn_join, "best_hit_per_video": q_best_hit, "dedup_frames": q_dedup,
+    "ranked_report": q_ranked_report, "knn_topk": q_knn_topk, "knn_filtered": q_knn_filtered, "knn_join": q_knn_join, "ivf_search": q_ivf_search, "best_hit_per_video": q_best_hit, "dedup_frames": q_dedup,
     "l2_norm": q_l2_norm, "normalize_safe": q_normalize_safe, "normalize_drop_zero": q_normalize_drop_zero, "cosine_pairs": q_cosine_pairs, "score_transform": q_score_transform,
-    "fps_params": q_fps_params, "sync_indices": q_sync_indices, "clipped_windows": q_clipped, "keyframe_windows": q_keyframe_windows, "keyframe_windows_mixed_fps": q_mixed_fps, "scene_segments": q_scene_segments,
+    "fps_params": q_fps_params, "sync_indices": q_sync_indices, "clipped_windows": q_clipped, "keyframe_windows": q_keyframe_windows, "keyframe_windows_mixed_fps": q_mixed_fps, "scene_segments": q_scene_segments, "scenes_of": q_scenes_of,
     "scene_min_length": q_scene_min_length, "scene_windows": q_scene_windows, "windows_with_fallback": q_fallback, "pool_mean": _pooled("mean"), "pool_max": _pooled("max"),
     "pool_center": _pooled("center"), "embed_windows": _pooled("mean", unit=True), "doc_id": q_doc_id, "upsert_last_wins": q_upsert, "quarantine_counts": q_quarantine,
     "pending_videos": q_pending, "manifest_subset": q_manifest_subset, "json_extract": q_json_extract, "video_id_from_path": q_video_id, "count_suffix": q_count_suffix,
@@ -317,6 +329,7 @@ ORACLE = {
     "chamfer_rank": _CHAMFER + " SELECT * FROM (SELECT row_number() OVER (ORDER BY score DESC, video_id || '.json')::INTEGER AS rank, * FROM scored WHERE video_id <> '0') WHERE rank <= 10",
     "knn_topk": _topk_sql(""),
     "knn_filtered": _topk_sql("WHERE video_id = '3'"),
+    "ivf_search": f"WITH {_hits_sql()} SELECT {_HIT_OUT} FROM hits",
     "knn_join": f"WITH {_hits_sql()} SELECT {_HIT_OUT} FROM hits",
     "best_hit_per_video": f"WITH {_hits_sql()} SELECT {_HIT_OUT} FROM best",
     "dedup_frames": f"WITH {_hits_sql()} SELECT {_HIT_OUT} FROM kept",
@@ -333,6 +346,9 @@ r AS (SELECT *, CASE video_id::INT % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 3.7::
 SELECT c.video_id, c.frame_idx AS center_frame, round(c.frame_idx / c.rate, 6) AS timestamp_sec, count(*) AS n_frames
 FROM r c JOIN r o ON c.video_id = o.video_id AND abs(o.frame_idx - c.frame_idx) <= trunc(c.rate * 0.5::DOUBLE)::BIGINT
 WHERE (c.frame_idx - c.f0) % trunc(c.rate)::BIGINT = 0 GROUP BY ALL HAVING count(*) = 2 * trunc(any_value(c.rate) * 0.5::DOUBLE)::BIGINT + 1""",
+    "scenes_of": """WITH s AS (SELECT user_id::VARCHAR AS video_id, row_number() OVER w - 1 AS frame_idx, coalesce(abs(value - lag(value) OVER w), 0) AS score FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+c AS (SELECT *, sum(CASE WHEN score >= 100 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY frame_idx)::BIGINT AS scene_id FROM s)
+SELECT video_id, scene_id, round(min(frame_idx) / 5.0::DOUBLE, 6) AS start_sec, round((max(frame_idx) + 1) / 5.0::DOUBLE, 6) AS end_sec FROM c GROUP BY 1, 2""",
     "keyframe_windows": f"WITH {_WIN} SELECT video_id, center_frame, round(timestamp_sec, 6) AS timestamp_sec, n_frames FROM win",
     "scene_segments": f"WITH {_scene_sql(200)} SELECT user_id AS video_id, scene_id, count(*) AS n, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM seg GROUP BY 1, 2",
     "scene_min_length": f"WITH {_scene_sql(100)}, b AS (SELECT user_id AS video_id, scene_id, epoch_us(min(ts)) / 1e6 AS a, epoch_us(max(ts)) / 1e6 AS b FROM seg GROUP BY 1, 2) SELECT video_id, scene_id, round(b - a, 3) AS seconds FROM b WHERE b - a >= 1.0",
