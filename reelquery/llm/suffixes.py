@@ -18,8 +18,8 @@ every repeated string is seen through suffixes with equal leading bytes.
 4. The intervals of a text are joined and cut out.
 
 Texts are read whole, as UTF-8, and long ones in overlapping pieces, so that memory does not grow with a text's length beyond a few
-copies of its bytes; null counts as empty.  An empty table gives no rows.  Rows are told apart by (doc_id, text): repeated rows are each
-other's copies, and each gives a row.  Nothing is collected on the driver.
+copies of its bytes; null counts as empty.  An empty table gives no rows.  Rows are told apart by doc_id, or where ids are missing or shared by a
+hash of (doc_id, text): repeated rows are each other's copies, and each gives a row.  Nothing is collected on the driver.
 """
 
 from collections.abc import Iterator
@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 from reelquery.llm.common import saved
 from reelquery.llm.ngrams import _mixed, grouped
@@ -113,6 +113,15 @@ def uid(text: str = "text") -> Column:
     return F.xxhash64(F.col("doc_id"), F.col(text))
 
 
+def name_of(docs: DataFrame, text: str = "text") -> Column:
+    """What tells rows apart: doc_id if every row has one of its own, else a hash of it and the text."""
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
+        if odd.isEmpty():
+            return F.col("doc_id").cast("long")
+    return uid(text)
+
+
 SUFFIX = "part int, times int, lead long, context long, uid long, place int"
 
 
@@ -153,13 +162,13 @@ def dealing(docs: DataFrame, parts: int) -> np.ndarray:
     return out
 
 
-def suffixes(docs: DataFrame, ends: np.ndarray, text: str = "text", deal: np.ndarray | None = None) -> DataFrame:
+def suffixes(docs: DataFrame, ends: np.ndarray, text: str = "text", deal: np.ndarray | None = None, name: Column | None = None) -> DataFrame:
     """The sampled suffixes with the range of leads they belong to, as the number that ``deal`` has for it.
 
     ``times``: how often the batch met the context (2 stands for more); 0 for rows that another row of the batch speaks
     for, which are dealt by text.
     """
-    rows = docs.select(uid(text).alias("uid"), F.col(text).alias("text")).filter(F.length("text") > LENGTH // 4 - 1)
+    rows = docs.select((uid(text) if name is None else name).alias("uid"), F.col(text).alias("text")).filter(F.length("text") > LENGTH // 4 - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -234,11 +243,11 @@ def judged(rows: DataFrame, parts: int) -> DataFrame:
     return dealt.select("lead", "context", "uid", "place", "times").mapInArrow(run, "lead long, uid long, place int, full boolean, alone boolean")
 
 
-def contexts(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
+def contexts(docs: DataFrame, wanted: DataFrame, name: Column, text: str = "text") -> DataFrame:
     """Adds the bytes around each suffix and how many of them lie before it."""
     by_text = wanted.groupBy("uid").agg(F.collect_set(F.struct("lead", "place", "full")).alias("w"))
     # repeated rows have one uid and one text
-    texts = docs.select(uid(text).alias("uid"), F.col(text).cast("binary").alias("raw")).join(by_text, "uid")
+    texts = docs.select(name.alias("uid"), F.col(text).cast("binary").alias("raw")).join(by_text, "uid")
     x = texts.select("uid", "raw", F.explode("w").alias("x")).select("uid", "raw", "x.*")
     before = F.least(F.col("place"), F.lit(BEFORE))
     return x.select("lead", "uid", "place", "full", before.alias("before"), F.substring(F.col("raw"), F.col("place") - before + 1, before + LENGTH).alias("bytes")).dropDuplicates(["uid", "place"])
@@ -349,16 +358,17 @@ def cut(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     docs = docs.drop("kept_bytes", "removed_spans", "n_bytes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = saved(judged(suffixes(docs, splitters(docs, parts, text), text, dealing(docs, parts)), parts))
+    name = name_of(docs, text)
+    met = saved(judged(suffixes(docs, splitters(docs, parts, text), text, dealing(docs, parts), name), parts))
     rest = met.filter("not alone")
     hot = saved(rest.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).drop("n"))
-    some = saved(compared(contexts(docs, rest.join(hot, "lead", "left_anti"), text), parts))
+    some = saved(compared(contexts(docs, rest.join(hot, "lead", "left_anti"), name, text), parts))
     if not hot.isEmpty():
-        some = some.unionByName(saved(compared_by_windows(contexts(docs, rest.join(hot, "lead"), text))))
+        some = some.unionByName(saved(compared_by_windows(contexts(docs, rest.join(hot, "lead"), name, text))))
     whole = met.filter("full").select("uid", F.greatest(F.col("place") - BEFORE, F.lit(0)).alias("a"), (F.col("place") + LENGTH).alias("b"))
     spans = some.unionByName(whole).groupBy("uid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     # the row travels as one column, so that its names cannot clash with those used here
-    rows = docs.select(uid(text).alias("uid"), F.struct(*docs.columns).alias("row")).join(spans, "uid", "left").select("row", F.col("row")[text].alias("text"), "spans")
+    rows = docs.select(name.alias("uid"), F.struct(*docs.columns).alias("row")).join(spans, "uid", "left").select("row", F.col("row")[text].alias("text"), "spans")
     made = "kept_bytes binary, removed_spans array<struct<a: int, b: int>>, n_bytes long"
     schema = StructType([*rows.select("row").schema, *StructType.fromDDL(made)])
     arrow = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
