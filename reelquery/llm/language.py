@@ -14,7 +14,6 @@ Equal texts get equal labels; an empty table gives no rows; other columns travel
 """
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,8 +41,8 @@ _FIRST = np.array([r[0] for r in RANGES])
 _LAST = np.array([r[1] for r in RANGES])
 _SCRIPT = np.array([SCRIPTS.index(r[2]) for r in RANGES])
 LETTERS = re.compile(r"[^\W\d_]+")
-#: What the pattern takes for letters besides: numbers such as one half, superscript two or Roman eight.
-_ODD = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")) + "]")
+#: What the pattern takes for letters besides: numbers such as one half, superscript two or Roman eight; there are none above plane 1.
+_ODD = re.compile("[" + "".join(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("Nl", "No")) + "]")
 FAR = -1e6
 
 
