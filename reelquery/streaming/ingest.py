@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from reelquery.operators.store import IndexTable
+from reelquery.operators.temporal import rate_of
 
 
 def upsert_stream(stream: DataFrame, table: IndexTable, checkpoint: str, **trigger):
@@ -18,19 +19,21 @@ WINDOW = "video_id string, center_frame long, timestamp_sec double, window array
 STATE = "first long, idx array<long>, frames array<binary>"
 
 
-def ring_buffer_windows(frames: DataFrame, fps: float = 30.0, k_seconds: float = 0.5) -> DataFrame:
-    """Centred windows of a frame stream ``(video_id, frame_idx, data)``; state is the last 2k+1 frames of a video.
+def ring_buffer_windows(frames: DataFrame, fps: float | None = None, k_seconds: float = 0.5) -> DataFrame:
+    """Centred windows of a frame stream ``(video_id, frame_idx, data[, fps])``; state is the last 2k+1 frames of a video.
 
-    Frames of one video must arrive in order across batches; inside a batch they are sorted.
+    The rate is ``fps``, or else each video's own (that of the first frame of a batch).  Frames of one video must arrive in order
+    across batches; inside a batch they are sorted.
     """
-    rate = float(fps or 30.0)
-    step, radius = max(1, int(rate)), max(1, int(rate * k_seconds))
-    size = 2 * radius + 1
+    rows = frames.withColumn("fps", rate_of(frames, fps))
 
     def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         first, idx, buf = state.get if state.exists else (None, [], [])
         idx, buf, out = list(idx), list(buf), []
         rows = pd.concat(list(batches)).sort_values("frame_idx")
+        rate = float(rows["fps"].iloc[0])
+        step, radius = max(1, int(rate)), max(1, int(rate * k_seconds))
+        size = 2 * radius + 1
         for i, data in zip(rows["frame_idx"], rows["data"], strict=True):
             first = int(i) if first is None else first
             idx, buf = [*idx, int(i)][-size:], [*buf, data][-size:]
@@ -40,4 +43,4 @@ def ring_buffer_windows(frames: DataFrame, fps: float = 30.0, k_seconds: float =
         state.update((first, idx, buf))
         yield pd.DataFrame(out, columns=["video_id", "center_frame", "timestamp_sec", "window"])
 
-    return frames.groupBy("video_id").applyInPandasWithState(advance, WINDOW, STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("video_id").applyInPandasWithState(advance, WINDOW, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -353,12 +353,14 @@ def test_streams(spark, tmp_path):
     from reelquery.streaming.ingest import ring_buffer_windows, upsert_stream
 
     src = tmp_path / "frames"
-    spark.createDataFrame([("v", i, bytes([i])) for i in range(60)], "video_id string, frame_idx long, data binary").coalesce(1).write.parquet(str(src))
-    stream = spark.readStream.schema("video_id string, frame_idx long, data binary").parquet(str(src))
-    q = ring_buffer_windows(stream, 5.0).writeStream.format("memory").queryName("ring").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).start()
+    rows = [("v", i, 5.0, bytes([i])) for i in range(60)] + [("w", i, 12.5, bytes([i])) for i in range(60)]
+    spark.createDataFrame(rows, "video_id string, frame_idx long, fps double, data binary").coalesce(1).write.parquet(str(src))
+    stream = spark.readStream.schema("video_id string, frame_idx long, fps double, data binary").parquet(str(src))
+    q = ring_buffer_windows(stream).writeStream.format("memory").queryName("ring").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).start()
     q.processAllAvailable()
     q.stop()
-    assert sorted(r["center_frame"] for r in spark.table("ring").collect()) == [c for c, _, _ in loop_windows(60, 5.0, 0.5)]
+    for video, rate in (("v", 5.0), ("w", 12.5)):
+        assert sorted(r["center_frame"] for r in spark.table("ring").filter(F.col("video_id") == video).collect()) == [c for c, _, _ in loop_windows(60, rate, 0.5)]
     t = store.IndexTable(spark, "stream_index_test", dims=2)
     t.delete()
     t.create()
