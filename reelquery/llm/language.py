@@ -147,11 +147,12 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     n, k = scores.shape
     total = scores.sum(axis=0)
     a = int(np.argmax(total))
-    # if no stretch of words gains more than half the penalty by another label, one label is best throughout: k stretches side by
-    # side take k - 1 changes at least, and one that is the whole text gains nothing
+    # One label is best throughout if no stretch of words gains more than the penalty by another, as m stretches beside some that keep
+    # it take m changes at least.  If none keeps it they take m - 1, and the first and the last must gain more than the penalty.
     gain = np.cumsum(scores - scores[:, a : a + 1], axis=0)
-    low = np.minimum(np.minimum.accumulate(gain, axis=0), 0.0)
-    if ((gain - np.vstack([np.zeros(k), low[:-1]])).max() if n else 0) <= penalty / 2:
+    before = np.vstack([np.zeros(k), gain[:-1]]) if n else gain
+    low = np.minimum.accumulate(before, axis=0)
+    if not n or ((gain - low).max() <= penalty and gain.max() + (gain[-1] - before).max() <= penalty):
         return np.full(n, a)
     best, back = scores[0].tolist(), []
     for row in scores[1:].tolist():
