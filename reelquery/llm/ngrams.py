@@ -252,19 +252,6 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
         edges, runs = saved(edges.unionByName(more).distinct(), edges, more), runs + MORE
 
 
-def in_blocks(rows: DataFrame, key: str, size: str, member: str, block: int) -> DataFrame:
-    """Adds ``cell``: rows of a key with up to ``block`` members share one; larger keys' blocks meet pairwise.
-
-    ``side`` says which of the two blocks a row is in (0 for both in a cell of one block).
-    """
-    n = F.ceil(F.col(size) / F.lit(block)).cast("long")
-    own = F.pmod(F.xxhash64(F.col(member), F.lit(3)), n)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    out = rows.withColumn("_n", n).withColumn("_own", own).select("*", other.alias("_other"))
-    lo, hi = F.least("_own", "_other"), F.greatest("_own", "_other")
-    return out.withColumn("cell", F.xxhash64(F.col(key), lo, hi)).withColumn("side", F.when(F.col("_own") == lo, 0).otherwise(1)).drop("_n", "_own", "_other")
-
-
 def grouped(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
     """The groups of rows sorted by an integer key column, one at a time; only one group is held."""
     held: list[pa.RecordBatch] = []
