@@ -41,17 +41,38 @@ _FIRST = np.array([r[0] for r in RANGES])
 _LAST = np.array([r[1] for r in RANGES])
 _SCRIPT = np.array([SCRIPTS.index(r[2]) for r in RANGES])
 LETTERS = re.compile(r"[^\W\d_]+")
-#: What the pattern takes for letters besides: numbers such as one half, superscript two or Roman eight; there are none above plane 1.
-_ODD = re.compile("[" + "".join(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("Nl", "No")) + "]")
+
+
+def _numbers(first: int, end: int) -> re.Pattern:
+    return re.compile("[" + "".join(c for c in map(chr, range(first, end)) if unicodedata.category(c) in ("Nl", "No")) + "]")
+
+
+#: What the pattern takes for letters besides: numbers such as one half, superscript two or Roman eight.  Those of plane 1 are
+#: apart, as a class that holds any is slow; there are none above.
+_ODD, _ODD_ABOVE, _ABOVE = _numbers(0, 0x10000), _numbers(0x10000, 0x20000), re.compile("[\U00010000-\U0010ffff]")
 FAR = -1e6
 
 
+#: A letter beyond the Latin ranges: without one, all words are of one script.
+_BEYOND = re.compile(r"[^\W\d_\x00-\u024f]")
+
+
+def _lettered(text: str) -> str:
+    """The text with blanks for numbers that the pattern would take for letters."""
+    if text.isascii():
+        return text
+    if _ODD.search(text):
+        text = _ODD.sub(" ", text)
+    return _ODD_ABOVE.sub(" ", text) if _ABOVE.search(text) else text
+
+
 def places_of(text: str) -> Iterator[tuple[int, int]]:
     """Where the words of a text start and end."""
-    plain = text.isascii()
-    for m in LETTERS.finditer(text if plain else _ODD.sub(" ", text)):
+    plain = _lettered(text)
+    latin = not _BEYOND.search(plain)
+    for m in LETTERS.finditer(plain):
         a, z = m.span()
-        if plain or max(m[0]) < "\u0250":  # all Latin
+        if latin or m[0].isascii():
             yield a, z
             continue
         script = scripts_of(np.frombuffer(m[0].encode("utf-32-le"), np.uint32).astype(np.int64))
@@ -60,11 +81,13 @@ def places_of(text: str) -> Iterator[tuple[int, int]]:
 
 
 def words_of(text: str) -> list[str]:
-    if text.isascii():
-        return LETTERS.findall(text)
+    plain = _lettered(text)
+    if plain.isascii() or not _BEYOND.search(plain):
+        return LETTERS.findall(plain)
     return [text[a:z] for a, z in places_of(text)]
 
 
+
 def scripts_of(first: np.ndarray) -> np.ndarray:
     """Script numbers of code points."""
     at = np.searchsorted(_FIRST, first, side="right") - 1
