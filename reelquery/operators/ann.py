@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelquery.operators.knn import HIT, _block_hits, _ranked, matrix, unit
+from reelquery.operators.knn import HIT, _block_hits, _ranked, matrix, together, unit
 
 
 BLOCK = 8192
@@ -55,8 +55,8 @@ class IvfIndex:
 
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
-                return pd.DataFrame({c.split()[0]: [] for c in HIT.split(", ")})
+                return together(iter(()), HIT)
             q, ok = unit(matrix(left["embedding"]))
-            return _block_hits(left["query_idx"].to_numpy()[ok], q[ok], right, matrix(right["embedding"]), k)
+            return together(_block_hits(left["query_idx"].to_numpy()[ok], q[ok], right, matrix(right["embedding"]), k), HIT)
 
         return _ranked(left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(meet, HIT), k)

@@ -2,8 +2,8 @@
 
 ``knn_topk`` is one query: a projection and ``TakeOrderedAndProject``.  ``knn_join`` is a stated query set against the
 whole index.  The query side is broadcast only while its measured size stays below ``broadcast_bytes``; beyond that both
-sides are cut into blocks that meet on a grid.  Either way a NumPy block product scores a batch at a time and only each
-batch's own top k leaves the Python worker, so the shuffle carries k rows per query and batch and no vectors.
+sides are cut into blocks that meet on a grid.  Either way a NumPy block product scores a batch at a time, for as many
+queries at once as a bounded block of scores has room for, and only each batch's own top k leaves the Python worker, so the shuffle carries k rows per query and batch and no vectors.
 
 The order of hits is total: cosine (rounded to ``DIGITS``) descending, then video_id, then center_frame.
 """
@@ -21,6 +21,8 @@ from reelquery.functions.vector import dot, l2_norm, score_of
 
 DIGITS = 9
 BROADCAST_BYTES = 32 << 20
+#: Scores held at once, 8 bytes each; a worker holds a few times that.
+CELLS = 2_000_000
 HIT = "query_idx long, video_id string, center_frame long, timestamp_sec double, cosine double"
 
 
@@ -54,25 +56,33 @@ def unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return m / np.where(n == 0, 1.0, n)[:, None], n > 0
 
 
-def _block_hits(qid: np.ndarray, q: np.ndarray, rows: pd.DataFrame, m: np.ndarray, k: int) -> pd.DataFrame:
+def _query_blocks(queries: int, rows: int) -> Iterator[slice]:
+    """Cuts the queries so that a block of scores against ``rows`` rows has about ``CELLS`` cells, whatever the two sizes."""
+    step = max(1, CELLS // max(1, rows))
+    for lo in range(0, queries, step):
+        yield slice(lo, lo + step)
+
+
+def _block_hits(qid: np.ndarray, q: np.ndarray, rows: pd.DataFrame, m: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
     """The best k of ``rows`` (with vectors ``m``) for every query; ties go to the smaller (video_id, center_frame)."""
     order = np.lexsort((rows["center_frame"].to_numpy(), rows["video_id"].to_numpy().astype(str)))
     rows, (m, ok) = rows.iloc[order], unit(m[order])
     rows, m = rows[ok], m[ok]
-    if not len(rows) or not len(qid):
-        return pd.DataFrame({"query_idx": [], "video_id": [], "center_frame": [], "timestamp_sec": [], "cosine": []})
-    s = np.round(q @ m.T, DIGITS)
-    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-    at = best.ravel()
-    return pd.DataFrame(
-        {
-            "query_idx": np.repeat(qid, best.shape[1]),
-            "video_id": rows["video_id"].to_numpy()[at],
-            "center_frame": rows["center_frame"].to_numpy()[at],
-            "timestamp_sec": rows["timestamp_sec"].to_numpy()[at],
-            "cosine": np.take_along_axis(s, best, axis=1).ravel(),
-        }
-    )
+    if not len(rows) or not len(qid) or k < 1:
+        return
+    k = min(k, len(rows))
+    columns = {c: rows[c].to_numpy() for c in ("video_id", "center_frame", "timestamp_sec")}
+    for some in _query_blocks(len(qid), len(rows)):
+        s = q[some] @ m.T
+        np.negative(np.round(s, DIGITS, out=s), out=s)
+        last = np.partition(s, k - 1, axis=1)[:, k - 1 : k]
+        # every tie with the k-th is looked at; not a number is neither larger nor smaller, and sorts last
+        x, y = np.nonzero(~(s > last))
+        by = np.lexsort((s[x, y], x))  # stable: of equal cosines the first in order stays first
+        x, y = x[by], y[by]
+        best = np.arange(len(x)) - np.searchsorted(x, x) < k
+        x, y = x[best], y[best]
+        yield pd.DataFrame({"query_idx": qid[some][x], **{c: v[y] for c, v in columns.items()}, "cosine": -s[x, y]})
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -84,8 +94,13 @@ def _parse(schema: str) -> StructType:
     return StructType.fromDDL(schema)
 
 
+def together(tables: Iterator[pd.DataFrame], schema: str) -> pd.DataFrame:
+    found = list(tables)
+    return pd.concat(found) if found else pd.DataFrame({c: [] for c in _parse(schema).names})
+
+
 def meet(queries: DataFrame, index: DataFrame, kernel, schema: str, broadcast_bytes: int = BROADCAST_BYTES, block: int = 4096) -> DataFrame:
-    """Runs ``kernel(query_idx, query vectors, index rows, index vectors)`` so that every query meets every row once.
+    """Runs ``kernel(query_idx, query vectors, index rows, index vectors)``, which yields tables, so that every query meets every row once.
 
     The queries are broadcast while their measured size is within ``broadcast_bytes``; beyond that, both sides are cut into
     blocks of about ``block`` rows that meet on a grid.  Rows without a vector, or with one of another
@@ -108,8 +123,7 @@ def meet(queries: DataFrame, index: DataFrame, kernel, schema: str, broadcast_by
                 if len(qid) and b.num_rows:
                     # vectors come as one flat buffer: no object per row
                     m = b.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-                    out = kernel(qid, q, b.select([0, 1, 2]).to_pandas(), m)
-                    if len(out):
+                    for out in kernel(qid, q, b.select([0, 1, 2]).to_pandas(), m):
                         yield pa.RecordBatch.from_pandas(out[names], preserve_index=False)
 
         return index.mapInArrow(scan, schema)
@@ -120,7 +134,7 @@ def meet(queries: DataFrame, index: DataFrame, kernel, schema: str, broadcast_by
     right = index.select(each(gq).alias("_q"), F.pmod(F.xxhash64("video_id", "center_frame"), F.lit(gi)).alias("_i"), "video_id", "center_frame", "timestamp_sec", "embedding")
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return kernel(left["query_idx"].to_numpy(), matrix(left["embedding"]), right, matrix(right["embedding"]))
+        return together(kernel(left["query_idx"].to_numpy(), matrix(left["embedding"]), right, matrix(right["embedding"])), schema)
 
     return left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInPandas(cell, schema)
 
@@ -128,7 +142,7 @@ def meet(queries: DataFrame, index: DataFrame, kernel, schema: str, broadcast_by
 def knn_join(queries: DataFrame, index: DataFrame, k: int = 50, broadcast_bytes: int = BROADCAST_BYTES, block: int = 4096) -> DataFrame:
     """Top k index rows of every query ``(query_idx, embedding)``, ranked; zero queries and zero rows give nothing."""
 
-    def kernel(qid: np.ndarray, q: np.ndarray, rows: pd.DataFrame, m: np.ndarray) -> pd.DataFrame:
+    def kernel(qid: np.ndarray, q: np.ndarray, rows: pd.DataFrame, m: np.ndarray) -> Iterator[pd.DataFrame]:
         u, ok = unit(q)
         return _block_hits(qid[ok], u[ok], rows, m, k)
 
@@ -144,14 +158,15 @@ def best_per_video(queries: DataFrame, index: DataFrame, broadcast_bytes: int =
     A block sends one row per query and video, so the shuffle does not grow with the frames of a video.
     """
 
-    def kernel(qid: np.ndarray, q: np.ndarray, rows: pd.DataFrame, m: np.ndarray) -> pd.DataFrame:
+    def kernel(qid: np.ndarray, q: np.ndarray, rows: pd.DataFrame, m: np.ndarray) -> Iterator[pd.DataFrame]:
         if not len(rows) or not len(qid):
-            return pd.DataFrame({"video_id": [], "query_idx": [], "cosine": []})
+            return
         order = np.argsort(rows["video_id"].to_numpy().astype(str), kind="stable")
-        video, m = rows["video_id"].to_numpy()[order], m[order]
+        video, q, m = rows["video_id"].to_numpy()[order], unit(q)[0], unit(m[order])[0]
         start = np.flatnonzero(np.concatenate([[True], video[1:] != video[:-1]]))
-        best = np.maximum.reduceat(unit(q)[0] @ unit(m)[0].T, start, axis=1)
-        return pd.DataFrame({"video_id": np.tile(video[start], len(qid)), "query_idx": np.repeat(qid, len(start)), "cosine": best.ravel()})
+        for some in _query_blocks(len(qid), len(m)):
+            best = np.maximum.reduceat(q[some] @ m.T, start, axis=1)
+            yield pd.DataFrame({"video_id": np.tile(video[start], len(best)), "query_idx": np.repeat(qid[some], len(start)), "cosine": best.ravel()})
 
     return meet(queries, index, kernel, BEST, broadcast_bytes, block).groupBy("video_id", "query_idx").agg(F.max("cosine").alias("cosine"))
 

@@ -4,8 +4,10 @@ import json
 import math
 import os
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -185,6 +187,46 @@ def test_knn_grid_equals_broadcast(spark):
     assert key(knn.knn_join(q, index, 5)) == key(knn.knn_join(q, index, 5, broadcast_bytes=0, block=100))
 
 
+@pytest.mark.parametrize("kind", ["noise", "ties", "odd"])
+def test_blocks_of_scores_are_bounded_and_exact(kind):
+    rng = np.random.default_rng(3)
+    q, m = (rng.standard_normal((n, 4)) if kind == "noise" else rng.integers(-1, 2, (n, 4)).astype(float) for n in (4000, 5000))
+    if kind == "odd":
+        m[7, 0], m[11, 1], m[13] = np.nan, np.inf, 0.0
+    rows = pd.DataFrame({"video_id": rng.integers(0, 30, len(m)).astype(str), "center_frame": rng.permutation(len(m)), "timestamp_sec": np.arange(len(m)) / 30})
+    with np.errstate(invalid="ignore"):
+        u = knn.unit(q)[0]
+        tracemalloc.start()
+        got = pd.concat(knn._block_hits(np.arange(len(q)), u, rows, m, 50))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 4000 * 5000 * 8  # less than one matrix of all scores, of which the whole of them took several
+        by = np.lexsort((rows["center_frame"], rows["video_id"].astype(str)))
+        by = by[knn.unit(m)[1][by]]
+        for i in range(0, len(q), 61):
+            s = np.round(u[i] @ knn.unit(m)[0][by].T, knn.DIGITS)
+            best = np.argsort(-s, kind="stable")[:50]
+            own = got[got["query_idx"] == i]
+            assert own["center_frame"].tolist() == rows["center_frame"].to_numpy()[by[best]].tolist()
+            assert np.allclose(own["cosine"], s[best], atol=2e-9, equal_nan=True)
+
+
+@pytest.mark.parametrize("search", [knn.best_per_video, lambda q, rows: knn.knn_join(q, rows, 9)])
+def test_blocks_of_scores_change_nothing(spark, monkeypatch, search):
+    kernels, whole = [], knn.meet
+    monkeypatch.setattr(knn, "meet", lambda q, rows, kernel, *more: kernels.append(kernel) or whole(q, rows, kernel, *more))
+    rng = np.random.default_rng(4)
+    q, m = rng.standard_normal((50, 6)), rng.standard_normal((300, 6))
+    rows = pd.DataFrame({"video_id": [str(i % 7) for i in range(300)], "center_frame": range(300), "timestamp_sec": 0.0})
+    search(spark.createDataFrame([(0, [1.0])], "query_idx long, embedding array<double>"), spark.createDataFrame([("0", 0, 0.0, [1.0])], "video_id string, center_frame long, timestamp_sec double, embedding array<double>"))
+    found = lambda: [t for t in kernels[0](np.arange(50), q, rows, m)]
+    once = found()
+    monkeypatch.setattr(knn, "CELLS", 900)
+    blocks = found()
+    assert len(once) == 1 and len(blocks) == 17
+    assert pd.concat(blocks).round(9).sort_values(["query_idx", "video_id", "cosine"], ignore_index=True).equals(once[0].round(9).sort_values(["query_idx", "video_id", "cosine"], ignore_index=True))
+
+
 def test_filter_before_top_k(spark):
     index = index_of(spark, [("a", i, 0.0, [1.0, 0.0]) for i in range(20)] + [("", i, 0.0, [0.5, 0.5]) for i in range(3)])
     assert knn.knn_topk(index, [1.0, 0.0], 3, video_id="").count() == 3
