@@ -229,6 +229,43 @@ def test_op10_large_group(spark):
     assert got == list(zip(range(len(texts)), links.sum(axis=1).tolist(), name.tolist(), strict=True))
 
 
+def sketches_around(rng, center, n, own):
+    """n sketches that differ from a center in ``own`` coordinates drawn for each."""
+    sk = np.tile(center, (n, 1))
+    for row in sk:
+        at = rng.choice(ngrams.T, own, replace=False)
+        row[at] = rng.integers(0, 1 << 32, own)
+    return sk
+
+
+def of_sketches(spark, sk, node=5):
+    return spark.createDataFrame([(node, i, x.tobytes()) for i, x in enumerate(sk)], "node long, id long, sketch binary")
+
+
+def test_op10_passage_shared_by_many(spark):
+    """Where no class ends at the pivot, none is written as a candidate of such: only children are made."""
+    rng = np.random.default_rng(21)
+    large = of_sketches(spark, sketches_around(rng, rng.integers(0, 1 << 32, ngrams.T).astype(np.uint32), 1500, 36))
+    assert ngrams.around(large.join(ngrams.pivots(large), "node")).filter("kind < 2").count() == 0
+
+
+def test_op10_nodes_in_one_task(spark):
+    """A node of some hundred classes, put around pivots first, joins what brute force over the estimates joins."""
+    rng = np.random.default_rng(22)
+    center = rng.integers(0, 1 << 32, (3, ngrams.T)).astype(np.uint32)
+    sk = np.concatenate([sketches_around(rng, center[0], 400, 6), sketches_around(rng, center[0], 150, 17), sketches_around(rng, center[1], 200, 5), sketches_around(rng, center[2], 200, 40)])
+    sk = sk[rng.permutation(len(sk))]
+    agree = sum((sk[:, j][:, None] == sk[:, j][None, :]).astype(int) for j in range(ngrams.T))
+    want = brute.smallest_reachable(list(range(len(sk))), list(zip(*np.nonzero(np.triu(agree >= ngrams.NEAR, 1)), strict=True)))
+    edges = ngrams.candidate_edges(of_sketches(spark, sk)).toPandas()
+    star = ngrams._stars(np.arange(len(sk)), sk)
+    got = ngrams.roots(np.arange(len(sk)), edges["a"].to_numpy(), edges["b"].to_numpy())
+    assert len(star[2]) < 0.5 * len(sk) and len(edges) < 2 * len(sk)
+    # whatever brute force joins is joined
+    assert all(len({got[i] for i in np.flatnonzero(np.array(want) == w)}) == 1 for w in set(want))
+    assert len(set(got.tolist())) >= 200
+
+
 def test_op10_shared_and_missing_ids(spark):
     """Texts under one doc_id, or under none, are compared like any others."""
     a, b, c = "a b c d e f g", "q r s t u v w", "k l m n o p x"
