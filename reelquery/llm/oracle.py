@@ -44,3 +44,32 @@ near AS (SELECT v.line FROM v JOIN put USING (i, k) WHERE put.o < v.o UNION SELE
 judged AS (SELECT l.*, f.o IS NOT NULL AND (f.o <> struct_pack(d := doc_id, n := ln) OR near.line IS NOT NULL) AS gone FROM l LEFT JOIN f USING (line) LEFT JOIN near USING (line)),
 left_over AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS g, string_agg(line, chr(10) ORDER BY ln) FILTER (WHERE NOT gone) AS t FROM judged GROUP BY 1)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(g, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents LEFT JOIN left_over USING (doc_id)"""
+
+_CRC = """crc_table AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i))"""
+
+
+def _crc(text: str) -> str:
+    """The CRC-32 of a string, by bytes and a table."""
+    codes = f"list_transform(range(0, octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LEAF = "sha256(concat(" + ", ".join(f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + "))"
+_TREE = "{0} AS (SELECT g, 0 AS lvl, pos, n, d FROM {1} UNION ALL SELECT g, lvl + 1, pos // 16, (any_value(n) + 15) // 16, sha256(string_agg(d, '' ORDER BY pos)) FROM {0} WHERE n > 1 GROUP BY g, lvl, pos // 16)"
+_SIDES = """{0} AS (SELECT l.g, l.pos, n.lvl, string_agg(n.d, '' ORDER BY n.pos) FILTER (WHERE n.pos < l.pos >> 4 * n.lvl) AS b, string_agg(n.d, '' ORDER BY n.pos) FILTER (WHERE n.pos > l.pos >> 4 * n.lvl) AS a
+FROM {1} l JOIN {2} n ON n.g IS NOT DISTINCT FROM l.g AND n.n > 1 AND n.pos // 16 = l.pos >> 4 * (n.lvl + 1) GROUP BY ALL)"""
+MERKLE = f"""WITH RECURSIVE {_CRC},
+leaves AS (SELECT doc_id, source AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n, {_LEAF.format("text")} AS d,
+  CASE WHEN {_crc("doc_id::VARCHAR")} % 5 = 0 THEN {_LEAF.format(_LOWER.format("text"))} END AS changed FROM documents, crc_table),
+{_TREE.format("low", "leaves")},
+subroots AS (SELECT 0 AS g, g AS source, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, d FROM low WHERE n = 1),
+{_TREE.format("high", "subroots")}, {_SIDES.format("low_sides", "leaves", "low")}, {_SIDES.format("high_sides", "subroots", "high")},
+sides AS (SELECT doc_id, lvl, coalesce(b, '') AS b, coalesce(a, '') AS a FROM leaves JOIN low_sides USING (g, pos)
+  UNION ALL SELECT doc_id, lvl + 1000, coalesce(b, ''), coalesce(a, '') FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.g JOIN high_sides h ON h.pos = s.pos),
+steps AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lvl) AS k FROM sides),
+folded AS (SELECT doc_id, 0 AS k, coalesce(changed, d) AS v FROM leaves UNION ALL SELECT doc_id, s.k, sha256(b || v || a) FROM folded f JOIN steps s USING (doc_id) WHERE s.k = f.k + 1),
+ends AS (SELECT doc_id, arg_max(v, k) AS folded_root FROM folded GROUP BY 1),
+proofs AS (SELECT doc_id, sha256(string_agg(b || a, '' ORDER BY k)) AS p FROM steps GROUP BY 1)
+SELECT doc_id, l.d AS leaf, s.d AS subroot, h.d AS root, coalesce(p, sha256('')) AS proof_sha256, folded_root, folded_root = h.d AS verified
+FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.g JOIN (SELECT d FROM high WHERE n = 1) h ON true JOIN ends USING (doc_id) LEFT JOIN proofs USING (doc_id)"""

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquery.llm import language, licenses, lines, mixing, multiindex, ngrams, oracle, pieces, secrets, suffixes, topk
+from reelquery.llm import language, licenses, lines, merkle, mixing, multiindex, ngrams, oracle, pieces, secrets, suffixes, topk
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -64,8 +64,17 @@ def op10_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op8_suffixes": op8_suffixes, "op9_lines": op9_lines, "op5_topk": op5_topk, "op6_multiindex": op6_multiindex, "op2_licenses": op2_licenses, "op7_mix": op7_mix, "op10_ngrams": op10_ngrams, "op1_pieces": op1_pieces, "op3_secrets": op3_secrets, "op4_language": op4_language}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    of = lambda text: merkle.leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, of(merkle.lower_az(F.col("text"))))
+    made = merkle.manifest(docs.select("doc_id", "source", of(F.col("text")).alias("leaf"), changed.alias("changed")))
+    folded = made.withColumn("folded_root", merkle.fold(F.coalesce("changed", "leaf"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES = {"op8_suffixes": op8_suffixes, "op9_lines": op9_lines, "op5_topk": op5_topk, "op6_multiindex": op6_multiindex, "op2_licenses": op2_licenses, "op7_mix": op7_mix, "op10_ngrams": op10_ngrams, "op1_pieces": op1_pieces, "op3_secrets": op3_secrets, "op4_language": op4_language, "op11_merkle": op11_merkle}
 ORACLE = {
     "op2_licenses": licenses.oracle_sql(), "op5_topk": oracle.TOPK, "op6_multiindex": oracle.MULTIINDEX, "op7_mix": mixing.oracle_sql(*MIX),
-    "op8_suffixes": oracle.SUFFIXES, "op9_lines": oracle.LINES, "op10_ngrams": oracle.NGRAMS,
+    "op8_suffixes": oracle.SUFFIXES, "op9_lines": oracle.LINES, "op10_ngrams": oracle.NGRAMS, "op11_merkle": oracle.MERKLE,
 }
