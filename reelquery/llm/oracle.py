@@ -73,3 +73,29 @@ ends AS (SELECT doc_id, arg_max(v, k) AS folded_root FROM folded GROUP BY 1),
 proofs AS (SELECT doc_id, sha256(string_agg(b || a, '' ORDER BY k)) AS p FROM steps GROUP BY 1)
 SELECT doc_id, l.d AS leaf, s.d AS subroot, h.d AS root, coalesce(p, sha256('')) AS proof_sha256, folded_root, folded_root = h.d AS verified
 FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.g JOIN (SELECT d FROM high WHERE n = 1) h ON true JOIN ends USING (doc_id) LEFT JOIN proofs USING (doc_id)"""
+
+SPELLING = f"""WITH RECURSIVE {_CRC},
+found AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+keyed AS (SELECT run, c, {_crc("doc_id || ':' || run")} AS h FROM (SELECT doc_id, run, count(*) AS c FROM found WHERE length(run) >= 7 GROUP BY ALL), crc_table),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM keyed),
+v AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY 1 HAVING sum(c) >= 2),
+less AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS k FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, b.word AS near, b.n AS m FROM less a JOIN less b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, v.word, v.n FROM less a JOIN v ON v.word = a.k UNION SELECT v.word, a.word, a.n FROM less a JOIN v ON v.word = a.k),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY 1),
+formed AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN m END AS form_n,
+  CASE WHEN m >= 10 * v.n THEN (SELECT min(near) FROM near x WHERE x.word = v.word AND x.m = best.m) END AS form FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS pos, 0 AS k FROM formed UNION ALL SELECT walk.word, f.form, k + 1 FROM walk JOIN formed f ON f.word = walk.pos WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(pos, k) AS root FROM walk GROUP BY 1)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)"""
+
+_WORDS = f"regexp_extract_all({_LOWER.format('text')}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+BENCHMARK = f"""WITH item AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS MATERIALIZED (SELECT DISTINCT item_id, array_to_string(w[i + 1 : i + k], ' ') AS s, k FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(0, len(w) - least(10, len(w)) + 1)) AS i FROM item WHERE len(w) > 0)),
+doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+at_place AS (SELECT r, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM doc, (SELECT DISTINCT k FROM win) WHERE len(w) >= k),
+hit AS MATERIALIZED (SELECT DISTINCT r, i, p.k, item_id FROM at_place p JOIN win ON win.k = p.k AND win.s = array_to_string(p.w[i + 1 : i + p.k], ' ')),
+words AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + k)) AS j FROM hit) GROUP BY 1),
+named AS (SELECT r, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(named.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, words.n IS NOT NULL AS contaminated
+FROM doc LEFT JOIN words USING (r) LEFT JOIN named USING (r)"""

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquery.llm import language, licenses, lines, merkle, mixing, multiindex, ngrams, oracle, pieces, secrets, suffixes, topk
+from reelquery.llm import decontam, language, licenses, lines, merkle, mixing, multiindex, ngrams, oracle, pieces, secrets, spelling, suffixes, topk
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -73,8 +73,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-QUERIES = {"op8_suffixes": op8_suffixes, "op9_lines": op9_lines, "op5_topk": op5_topk, "op6_multiindex": op6_multiindex, "op2_licenses": op2_licenses, "op7_mix": op7_mix, "op10_ngrams": op10_ngrams, "op1_pieces": op1_pieces, "op3_secrets": op3_secrets, "op4_language": op4_language, "op11_merkle": op11_merkle}
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), noise=True))
+
+
+def op13_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digests(decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+QUERIES = {"op8_suffixes": op8_suffixes, "op9_lines": op9_lines, "op5_topk": op5_topk, "op6_multiindex": op6_multiindex, "op2_licenses": op2_licenses, "op7_mix": op7_mix, "op10_ngrams": op10_ngrams, "op1_pieces": op1_pieces, "op3_secrets": op3_secrets, "op4_language": op4_language, "op11_merkle": op11_merkle, "op12_spelling": op12_spelling, "op13_benchmark": op13_benchmark}
 ORACLE = {
     "op2_licenses": licenses.oracle_sql(), "op5_topk": oracle.TOPK, "op6_multiindex": oracle.MULTIINDEX, "op7_mix": mixing.oracle_sql(*MIX),
-    "op8_suffixes": oracle.SUFFIXES, "op9_lines": oracle.LINES, "op10_ngrams": oracle.NGRAMS, "op11_merkle": oracle.MERKLE,
+    "op8_suffixes": oracle.SUFFIXES, "op9_lines": oracle.LINES, "op10_ngrams": oracle.NGRAMS, "op11_merkle": oracle.MERKLE, "op12_spelling": oracle.SPELLING, "op13_benchmark": oracle.BENCHMARK,
 }
