@@ -22,15 +22,20 @@ def l2_norm(v: Column) -> Column:
 
 def normalize(v: Column, zero: str = "null") -> Column:
     """Unit vector.  ``zero`` says what a zero vector becomes: ``null``, ``keep`` (stays zero) or ``raise``."""
-    n = l2_norm(v)
-    scaled = F.transform(doubles(v), lambda x: x / n)
-    if zero == "keep":
-        return F.when(n == 0, doubles(v)).otherwise(scaled)
-    if zero == "raise":
-        return F.when(n == 0, F.raise_error(F.lit("zero vector cannot be normalised")).cast("array<double>")).otherwise(scaled)
-    if zero != "null":
+    if zero not in ("null", "keep", "raise"):
         raise ValueError(f"unknown zero policy: {zero!r}")
-    return F.when(n > 0, scaled)
+    # the vector and its norm are bound to names, as an expression inside the lambda is evaluated for every component
+    bound = F.transform(F.array(doubles(v)), lambda p: F.struct(p.alias("v"), l2_norm(p).alias("n")))
+
+    def scaled(p: Column) -> Column:
+        unit = F.transform(p["v"], lambda x: x / p["n"])
+        if zero == "keep":
+            return F.when(p["n"] == 0, p["v"]).otherwise(unit)
+        if zero == "raise":
+            return F.when(p["n"] == 0, F.raise_error(F.lit("zero vector cannot be normalised")).cast("array<double>")).otherwise(unit)
+        return F.when(p["n"] > 0, unit)
+
+    return F.get(F.transform(bound, scaled), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -71,18 +71,38 @@ def scene_min_length(scenes: DataFrame, seconds: float = 1.0) -> DataFrame:
     return scenes.filter(F.col("end_sec") - F.col("start_sec") >= seconds)
 
 
-def scenes_of(scored: DataFrame, threshold: float = 30.0) -> DataFrame:
-    """``(video_id, frame_idx, score[, fps])`` to scenes ``(video_id, scene_id, start_sec, end_sec)``: a cut at each score from the threshold on."""
-    order = Window.partitionBy("video_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
-    cut = scored.withColumn("_rate", rate_of(scored)).withColumn("scene_id", F.sum(F.when(F.col("score") >= threshold, 1).otherwise(0)).over(order))
-    return cut.groupBy("video_id", "scene_id").agg((F.min("frame_idx") / F.max("_rate")).alias("start_sec"), ((F.max("frame_idx") + 1) / F.max("_rate")).alias("end_sec"))
+def scenes_of(scored: DataFrame, threshold: float = 30.0, min_frames: int = 15) -> DataFrame:
+    """``(video_id, frame_idx, score[, fps])`` to scenes ``(video_id, scene_id, start_sec, end_sec)``.
+
+    A frame with a score from the threshold on begins a scene if the scene before has ``min_frames`` frames by then; a video without a cut has
+    no scenes.  Only frames at or above the threshold are gathered, in order, and folded; the others are counted.
+    """
+    high = F.when(F.col("score") >= threshold, F.col("frame_idx"))
+    videos = scored.withColumn("_rate", rate_of(scored)).groupBy("video_id").agg(F.min("frame_idx").alias("_first"), (F.max("frame_idx") + 1).alias("_end"), F.max("_rate").alias("_rate"), F.array_sort(F.collect_list(high)).alias("_high"))
+    far = lambda cuts, i: i - F.element_at(cuts, -1) >= min_frames
+    starts = F.aggregate("_high", F.array("_first"), lambda cuts, i: F.when(far(cuts, i), F.array_append(cuts, i)).otherwise(cuts))
+    cut = videos.withColumn("_starts", starts).filter(F.size("_starts") > 1)
+    ends = F.array_append(F.slice("_starts", 2, F.size("_starts")), F.col("_end"))
+    scenes = cut.select("video_id", "_rate", F.posexplode(F.arrays_zip(F.col("_starts").alias("a"), ends.alias("b"))).alias("scene_id", "s"))
+    return scenes.select("video_id", F.col("scene_id").cast("long").alias("scene_id"), (F.col("s.a") / F.col("_rate")).alias("start_sec"), (F.col("s.b") / F.col("_rate")).alias("end_sec"))
+
+
+def scene_frames(frames: DataFrame, scenes: DataFrame, fps: float | None = None) -> DataFrame:
+    """Frames with the ``scene_id`` of each scene ``(video_id, scene_id, start_sec, end_sec)`` they lie in; scenes may overlap or be empty.
+
+    A scene names its frames, cut at the video's last one, so frames and scenes meet by an equi-join on (video, frame): every row joined
+    is kept, whatever the number of scenes of a video, and one long video is spread over its frames.
+    """
+    videos = frames.groupBy(F.col("video_id").alias("_v")).agg(F.max("frame_idx").alias("_last"), F.max(rate_of(frames, fps)).alias("_rate"))
+    at = scenes.join(videos, F.col("video_id") == F.col("_v"))
+    first, last = F.greatest((F.col("start_sec") * F.col("_rate")).cast("long"), F.lit(0)), F.least((F.col("end_sec") * F.col("_rate")).cast("long") - 1, F.col("_last"))
+    members = at.select("_v", "scene_id", F.explode(F.when(first <= last, F.sequence(first, last))).alias("_i"))
+    return frames.join(members, (F.col("video_id") == F.col("_v")) & (F.col("frame_idx") == F.col("_i"))).drop("_v", "_i")
 
 
 def scene_windows(frames: DataFrame, scenes: DataFrame, fps: float | None = None, k_seconds: float = 0.5, min_seconds: float = 1.0) -> DataFrame:
-    """Windows of every scene of at least ``min_seconds``; frames meet scenes by video and frame range, at their own rate."""
-    bounds = scene_min_length(scenes, min_seconds).select("video_id", "scene_id", "start_sec", "end_sec")
-    rate = rate_of(frames, fps)
-    inside = frames.join(bounds, "video_id").filter((F.col("frame_idx") >= (F.col("start_sec") * rate).cast("long")) & (F.col("frame_idx") < (F.col("end_sec") * rate).cast("long")))
+    """Windows of every scene of at least ``min_seconds``, at the video's own rate."""
+    inside = scene_frames(frames, scene_min_length(scenes, min_seconds), fps)
     return keyframe_windows(inside, ["video_id", "scene_id"], k_seconds, fps)
 
 
@@ -98,4 +118,4 @@ def embed_windows(windows: DataFrame, method: str = "mean") -> DataFrame:
     return windows.withColumn("embedding", embed_window(F.col("window"), method)).drop("window").filter(F.col("embedding").isNotNull())
 
 
-__all__ = ["clipped_windows", "embed_windows", "keyframe_windows", "radius_of", "rate_of", "scene_min_length", "scene_segments", "scene_windows", "scenes_of", "sync_indices", "window_bounds", "windows_with_fallback"]
+__all__ = ["clipped_windows", "embed_windows", "keyframe_windows", "radius_of", "rate_of", "scene_frames", "scene_min_length", "scene_segments", "scene_windows", "scenes_of", "sync_indices", "window_bounds", "windows_with_fallback"]

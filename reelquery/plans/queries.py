@@ -346,9 +346,10 @@ r AS (SELECT *, CASE video_id::INT % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 3.7::
 SELECT c.video_id, c.frame_idx AS center_frame, round(c.frame_idx / c.rate, 6) AS timestamp_sec, count(*) AS n_frames
 FROM r c JOIN r o ON c.video_id = o.video_id AND abs(o.frame_idx - c.frame_idx) <= trunc(c.rate * 0.5::DOUBLE)::BIGINT
 WHERE (c.frame_idx - c.f0) % trunc(c.rate)::BIGINT = 0 GROUP BY ALL HAVING count(*) = 2 * trunc(any_value(c.rate) * 0.5::DOUBLE)::BIGINT + 1""",
-    "scenes_of": """WITH s AS (SELECT user_id::VARCHAR AS video_id, row_number() OVER w - 1 AS frame_idx, coalesce(abs(value - lag(value) OVER w), 0) AS score FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-c AS (SELECT *, sum(CASE WHEN score >= 100 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY frame_idx)::BIGINT AS scene_id FROM s)
-SELECT video_id, scene_id, round(min(frame_idx) / 5.0::DOUBLE, 6) AS start_sec, round((max(frame_idx) + 1) / 5.0::DOUBLE, 6) AS end_sec FROM c GROUP BY 1, 2""",
+    "scenes_of": """WITH RECURSIVE s AS (SELECT user_id::VARCHAR AS video_id, row_number() OVER w - 1 AS frame_idx, coalesce(abs(value - lag(value) OVER w), 0) AS score FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+starts AS (SELECT video_id, min(frame_idx) AS f FROM s GROUP BY 1 UNION ALL SELECT t.video_id, min(s.frame_idx) FROM starts t JOIN s ON s.video_id = t.video_id AND s.score >= 100 AND s.frame_idx >= t.f + 15 GROUP BY 1),
+scenes AS (SELECT video_id, row_number() OVER w - 1 AS scene_id, f, coalesce(lead(f) OVER w, (SELECT max(frame_idx) + 1 FROM s WHERE s.video_id = starts.video_id)) AS e, count(*) OVER (PARTITION BY video_id) AS n FROM starts WINDOW w AS (PARTITION BY video_id ORDER BY f))
+SELECT video_id, scene_id, round(f / 5.0::DOUBLE, 6) AS start_sec, round(e / 5.0::DOUBLE, 6) AS end_sec FROM scenes WHERE n > 1""",
     "keyframe_windows": f"WITH {_WIN} SELECT video_id, center_frame, round(timestamp_sec, 6) AS timestamp_sec, n_frames FROM win",
     "scene_segments": f"WITH {_scene_sql(200)} SELECT user_id AS video_id, scene_id, count(*) AS n, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM seg GROUP BY 1, 2",
     "scene_min_length": f"WITH {_scene_sql(100)}, b AS (SELECT user_id AS video_id, scene_id, epoch_us(min(ts)) / 1e6 AS a, epoch_us(max(ts)) / 1e6 AS b FROM seg GROUP BY 1, 2) SELECT video_id, scene_id, round(b - a, 3) AS seconds FROM b WHERE b - a >= 1.0",
