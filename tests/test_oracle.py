@@ -30,6 +30,14 @@ def same(spark, name, query, sql, sf=SF):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, name):
     same(spark, name, QUERIES[name], ORACLE[name])
+
+
+def test_probed_search_finds_most(spark):
+    """The one query without SQL, as it is approximate: its recall against the exact search."""
+    assert set(QUERIES) - set(ORACLE) == {"index_probed"}
+    key = ["query_idx", "video_id", "center_frame"]
+    exact, found = (QUERIES[n](spark, SF).select(*key) for n in ("knn_join", "index_probed"))
+    assert exact.join(found, key).count() >= 0.9 * exact.count()
