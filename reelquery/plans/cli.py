@@ -1,19 +1,22 @@
 """Jobs for spark-submit: ``index`` pending videos, ``search`` by a video, ``list`` the videos of a folder.
 
     spark-submit reelquery/plans/cli.py index --frames FRAMES --fps 30 [--scenes SCENES]
+    spark-submit reelquery/plans/cli.py index --manifest JSON --subset validation --directory DIR --decoder MODULE:NAME --encoder MODULE:NAME
     spark-submit reelquery/plans/cli.py search --frames FRAMES --video ID --fps 30 [--order-bonus]
 
-FRAMES is Parquet with (video_id, frame_idx, embedding[, fps]), SCENES with (video_id, scene_id, start_sec, end_sec).
+With a manifest the job starts at the video files in DIR; the decoder takes a path and yields (frame_idx, fps, data), the encoder is a class
+or function without arguments.  FRAMES is Parquet with (video_id, frame_idx, embedding[, fps]), SCENES with (video_id, scene_id, start_sec, end_sec).
 """
 
 import argparse
+import importlib
 
 from pyspark.sql import SparkSession
 
 from reelquery.operators.ranking import ranked_report
 from reelquery.operators.store import IndexTable
-from reelquery.plans.jobs import index_videos, search_by_video, setup_logger
-from reelquery.sources.manifest import list_videos
+from reelquery.plans.jobs import index_corpus, index_videos, search_by_video, setup_logger
+from reelquery.sources.manifest import LocalFetcher, list_videos
 
 
 def parser() -> argparse.ArgumentParser:
@@ -23,6 +26,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--scenes")
     p.add_argument("--video")
     p.add_argument("--directory")
+    p.add_argument("--manifest")
+    p.add_argument("--subset", default="validation")
+    p.add_argument("--decoder", default="reelquery.sources.frames:raw_decoder")
+    p.add_argument("--encoder", default="reelquery.functions.encode:ByteStatsEncoder")
+    p.add_argument("--limit", type=int, default=1000, help="first entries of the subset")
+    p.add_argument("--wave", type=int, default=1000, help="videos decoded before they are indexed")
     p.add_argument("--fps", type=float, help="one rate for all; without it each row's own, or 30")
     p.add_argument("--table", default="video_index")
     p.add_argument("--dims", type=int, default=512)
@@ -31,6 +40,11 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def named(path: str):
+    module, name = path.split(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None):
     a = parser().parse_args(args)
     log = setup_logger()
@@ -38,6 +52,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None):
     if a.job == "list":
         return list_videos(spark, a.directory)
     table = IndexTable(spark, a.table, a.dims)
+    if a.job == "index" and a.manifest:
+        bad = index_corpus(spark, table, a.manifest, a.subset, a.directory, LocalFetcher(), named(a.decoder), named(a.encoder), a.encoder, limit=a.limit, wave=a.wave)
+        log.info("rows that could not be indexed: %d", bad.count())
+        return table.read()
     frames = spark.read.parquet(a.frames)
     if a.job == "index":
         bad = index_videos(table, frames, spark.read.parquet(a.scenes) if a.scenes else None, a.fps)
