@@ -1,5 +1,8 @@
 """The index store: key, upsert, quarantine, incremental planning, and table life cycle over Parquet tables."""
 
+import base64
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,7 +78,7 @@ class IndexTable:
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.data} ({INDEX_DDL}, bucket int, cell int, version bigint) USING parquet PARTITIONED BY (bucket, cell, version)")
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name}_cells (codebook bigint, cell int, center array<double>) USING parquet")
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name}_reach (bucket int, version bigint, cell int, n bigint, reach double) USING parquet")
-        self._show({}, 0)
+        self._show({}, 0, {})
         return True
 
     def delete(self) -> bool:
@@ -118,19 +121,30 @@ class IndexTable:
         got = self.spark.table(f"{self.name}_reach").join(F.broadcast(now), ["bucket", "version"]).groupBy("cell").agg(F.min("reach").alias("reach"))  # a row a bucket
         return {r["cell"]: r["reach"] for r in got.collect()}  # a row a cell
 
-    def _show(self, versions: dict[int, int], codebook: int) -> None:
+    def ledger(self) -> dict[str, int]:
+        """For each stream that writes here the last micro-batch that took effect."""
+        return json.loads(base64.b64decode(self._property("ledger")))
+
+    def _show(self, versions: dict[int, int], codebook: int, ledger: dict[str, int]) -> None:
         """Replaces the view: the one step by which a write takes effect."""
+        streams = base64.b64encode(json.dumps(ledger).encode()).decode()
         now = " OR ".join(f"(bucket = {b} AND version = {v})" for b, v in sorted(versions.items())) or "false"
         columns = ", ".join([*(c.split()[0] for c in INDEX_DDL.split(", ")), "bucket", "cell"])
         text = ",".join(f"{b}:{v}" for b, v in sorted(versions.items()))
-        self.spark.sql(f"CREATE OR REPLACE VIEW {self.name} TBLPROPERTIES ('dims' = '{self.dims}', 'versions' = '{text}', 'codebook' = '{codebook}') AS SELECT {columns} FROM {self.data} WHERE {now}")
+        self.spark.sql(f"CREATE OR REPLACE VIEW {self.name} TBLPROPERTIES ('dims' = '{self.dims}', 'versions' = '{text}', 'codebook' = '{codebook}', 'ledger' = '{streams}') AS SELECT {columns} FROM {self.data} WHERE {now}")
 
-    def write(self, batch: DataFrame) -> DataFrame:
+    def write(self, batch: DataFrame, stream: tuple[str, int] | None = None) -> DataFrame:
         """Upserts ``(video_id, center_frame, timestamp_sec, embedding[, ord])``; returns the quarantined rows.
 
         Without ``ord``, of rows with one key the one that sorts last counts.  The quarantined rows of the last batch stay in
-        ``<name>_quarantine``.
+        ``<name>_quarantine``.  ``stream``: a stream's name and the number of its micro-batch, noted by the same step that shows the rows; a
+        number that is noted already, or an earlier one, changes nothing.
         """
+        ledger = self.ledger()
+        if stream is not None:
+            if stream[1] <= ledger.get(stream[0], -1):
+                return self.spark.table(f"{self.name}_quarantine")
+            ledger[stream[0]] = stream[1]
         if "ord" not in batch.columns:
             batch = batch.withColumn("ord", F.lit(0).cast("long"))
         with staged(with_reason(batch, self.dims)) as judged:
@@ -146,7 +160,9 @@ class IndexTable:
             versions, codebook = self.versions(), int(self._property("codebook"))
             if touched:
                 there = self._buckets({b: versions[b] for b in touched if b in versions}).drop("cell")
-                self._rewrite(upsert(there, good, ["video_id", "center_frame"], "ord"), touched, versions, codebook, self.centroids())
+                self._rewrite(upsert(there, good, ["video_id", "center_frame"], "ord"), touched, versions, codebook, ledger, self.centroids())
+            elif stream is not None:
+                self._show(versions, codebook, ledger)
         return self.spark.table(f"{self.name}_quarantine")
 
     def fit(self, cells: int = 256, sample: int = 20_000, rounds: int = 10, seed: int = 7) -> np.ndarray:
@@ -157,12 +173,12 @@ class IndexTable:
         rows.write.insertInto(f"{self.name}_cells")
         versions = self.versions()
         if versions:
-            self._rewrite(self._buckets(versions).drop("cell"), sorted(versions), versions, codebook, centers)
+            self._rewrite(self._buckets(versions).drop("cell"), sorted(versions), versions, codebook, self.ledger(), centers)
         else:
-            self._show(versions, codebook)
+            self._show(versions, codebook, self.ledger())
         return centers
 
-    def _rewrite(self, rows: DataFrame, touched: list[int], versions: dict[int, int], codebook: int, centers: np.ndarray | None) -> None:
+    def _rewrite(self, rows: DataFrame, touched: list[int], versions: dict[int, int], codebook: int, ledger: dict[str, int], centers: np.ndarray | None) -> None:
         """Writes ``rows`` as the new version of the buckets ``touched``, then shows them."""
         new = 1 + max((int(x.split("=")[1]) for r in self.spark.sql(f"SHOW PARTITIONS {self.data}").collect() for x in r[0].split("/") if x.startswith("version=")), default=0)
         out = rows.withColumn("cell", nearest_cell(self.spark, centers)(F.col("embedding")) if centers is not None else F.lit(0)).withColumn("version", F.lit(new).cast("long"))
@@ -174,7 +190,7 @@ class IndexTable:
             written.groupBy("bucket", "version", "cell").agg(F.count(F.lit(1)).alias("n"), F.min(cosine).alias("reach")).select("bucket", "version", "cell", "n", "reach").write.insertInto(f"{self.name}_reach")
         before = dict(versions)
         versions |= dict.fromkeys(touched, new)
-        self._show(versions, codebook)
+        self._show(versions, codebook, ledger)
         self._drop_old(versions, before)
 
     def _buckets(self, versions: dict[int, int]) -> DataFrame:

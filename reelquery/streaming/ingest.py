@@ -10,9 +10,14 @@ from reelquery.operators.store import IndexTable
 from reelquery.operators.temporal import rate_of
 
 
-def upsert_stream(stream: DataFrame, table: IndexTable, checkpoint: str, **trigger):
-    """Upserts every micro-batch; a replayed batch writes the same keys again, so the sink is idempotent."""
-    return stream.writeStream.foreachBatch(lambda batch, _: table.write(batch) and None).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def upsert_stream(stream: DataFrame, table: IndexTable, checkpoint: str, name: str | None = None, **trigger):
+    """Upserts every micro-batch exactly once.
+
+    The table notes the batch of the stream ``name`` (its checkpoint, if not given) in the step that shows the rows: a batch that is replayed after a
+    crash is written if it had not taken effect, and left out if it had, even when other writers have changed its keys since.
+    """
+    own = name or checkpoint
+    return stream.writeStream.foreachBatch(lambda batch, n: table.write(batch, (own, n)) and None).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 WINDOW = "video_id string, center_frame long, timestamp_sec double, window array<binary>"
