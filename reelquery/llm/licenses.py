@@ -125,8 +125,11 @@ RULES = [
     ("Proprietary", ["all_rights"]),
 ]
 TRIGGERS = ("licen", "permi", "warrant", "redistribut", "copyright", "rights", "unencumbered", "distributed", "released", "available")
-#: Within a line, a sentence ends at . ! ? ; : with a blank behind it.
+#: Within a line, a sentence ends at . ! ? ; : with a blank behind it; a pointer to a file, as in `` - see the LICENSE file``, is another sentence.
 END = "[.!?;:] "
+POINTER = "[ ,]*[-\u2013\u2014,(] *(?=see )"
+#: The third BSD clause names the holder or an organisation, in any words; it is known with these.
+NAMED = ("neither[ \\n]the[ \\n]name[ \\n]of[ \\n](?:[a-z0-9]+[ \\n]){1,16}?nor[ \\n]the[ \\n]names[ \\n]of", "neither the name of the copyright holder nor the names of")
 
 
 def normal(sentence: str) -> str:
@@ -173,8 +176,9 @@ def _parts(c: Column) -> Column:
     """
     c = F.regexp_replace(F.lower(c), r"(?m)^[ \t]*(?:dnl|rem|c)(?=[ \t\r\n]|\z)", "")
     c = F.regexp_replace(c, "(?<=[0-9])\\+", " or later")  # the + of GPL-2.0+ must not be lost
-    c = F.regexp_replace(F.regexp_replace(c, END, "\n"), "[^a-z0-9\n]+", " ")
-    return F.regexp_replace(F.concat(F.lit("\n"), c, F.lit("\n")), " *\n[ \n]*", "\n")
+    c = F.regexp_replace(F.regexp_replace(c, f"{END}|{POINTER}", "\n"), "[^a-z0-9\n]+", " ")
+    c = F.regexp_replace(F.concat(F.lit("\n"), c, F.lit("\n")), " *\n[ \n]*", "\n")
+    return F.regexp_replace(c, f"(?<=\n){NAMED[0]}", NAMED[1])
 
 
 def sentence_ids(text: Column) -> Column:

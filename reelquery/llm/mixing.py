@@ -14,6 +14,9 @@ by document, so a leaf may hold any share of the rows.  With more than ``BUCKETS
 a 1/BUCKETS part of them.  What a leaf takes is told by one row, its last epoch, bucket and key: the tables joined with the documents
 have a row a leaf, and Spark broadcasts them only while they are small.
 
+A weight of 0 switches a domain, language or source off: nothing is taken from it, and its siblings' budget is divided as if it were not
+there (the root's budget is still a fraction of all tokens).  A null or negative weight is an error.
+
 Columns ``epoch`` and ``mix_tokens`` of the input are replaced, and others travel along.  Texts are read whole.
 Null domains, languages and sources are nodes of their own; a null text has no tokens; repeated rows with one id and text share
 their place in the order and are taken together.  An empty table gives no rows.
@@ -121,6 +124,10 @@ def budgets(leaves: DataFrame, total: DataFrame, amount: Column, max_epochs: int
 
     ``amount`` is the root's budget, from the one-row table ``total``.
     """
+    for level in LEVELS:
+        w = weights(level, F.col(level))
+        bad = F.raise_error(F.concat(F.lit(f"the weight of a {level} must be 0 or more: "), F.col(level))).cast("boolean")
+        leaves = leaves.filter(F.when(w >= 0, w > 0).otherwise(bad))
     joined = leaves.crossJoin(F.broadcast(total.select(amount.alias("_total"))))  # one row
     out, up = None, joined.withColumn("cap", F.col("tokens") * max_epochs)
     for depth, level in enumerate(LEVELS):

@@ -2,6 +2,8 @@
 
 import textwrap
 
+import pytest
+
 from reelquery.llm import licenses
 
 EXPECTED = {
@@ -89,3 +91,23 @@ def test_rules_side_by_side(spark):
 def test_very_long_text(spark):
     words = "lorem ipsum dolor sit amet. " * 60_000
     assert found(spark, [words + "\n" + MIT + "\n" + words, words, "license " * 200_000]) == [["MIT"], [], []]
+
+
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+
+
+@pytest.mark.parametrize("names", ["Example Inc.", "the copyright holder", "the University of Somewhere, Department 7,", "<organization>", "wrapped\n * over two\n * lines"])
+def test_third_clause_with_any_name(spark, names):
+    third = f"3. Neither the name of {names} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    df = spark.createDataFrame([(1, BSD + third), (2, BSD), (3, third), (4, "Neither the name of the " + "very " * 40 + "long")], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.recognise(df).collect()}
+    assert got == {1: ["BSD-3-Clause"], 2: ["BSD-2-Clause"], 3: [], 4: []}
+
+
+@pytest.mark.parametrize("end", [" - see the LICENSE file for details", " \u2013 see the [LICENSE](LICENSE.md) file for details.", " (see LICENSE)", ", see LICENSE.txt"])
+def test_a_pointer_to_the_licence_file(spark, end):
+    df = spark.createDataFrame([(1, f"This project is licensed under the MIT License{end}\n")], "doc_id long, text string")
+    assert licenses.recognise(df).first()["licenses"] == ["MIT"]

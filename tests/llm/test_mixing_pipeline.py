@@ -6,7 +6,9 @@ from collections import defaultdict
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from reelquery.llm import language, lines, mixing, ngrams
@@ -33,21 +35,24 @@ def fill(budget, children):
 WEIGHT = {"domain": {"d0": 4, "d1": 3, "d2": 2}, "lang": {"en": 4}, "source": {}}
 
 
-def expected(rows, fraction, epochs, seed):
-    docs = []
+def expected(rows, fraction, epochs, seed, weight=WEIGHT):
+    docs, off = [], 0
     for i, text, lang, source in rows:
         n = len(text.split()) if text else 0
         digits = "".join(c for c in source or "" if c.isdigit())
-        if n:
-            docs.append(((f"d{int(digits) % 4}" if digits else "other", lang or mixing.NONE, source or mixing.NONE), i, text, n))
+        leaf = (f"d{int(digits) % 4}" if digits else "other", lang or mixing.NONE, source or mixing.NONE)
+        if n and all(weight[level].get(name, 1) for level, name in zip(mixing.LEVELS, leaf, strict=True)):
+            docs.append((leaf, i, text, n))
+        else:
+            off += n
     cap = defaultdict(int)
     for leaf, _, _, n in docs:
         for k in range(4):
             cap[leaf[:k]] += n * epochs
-    budget = {(): sum(d[3] for d in docs) * fraction[0] // fraction[1]}
+    budget = {(): (off + sum(d[3] for d in docs)) * fraction[0] // fraction[1]}
     for k, level in enumerate(mixing.LEVELS):
         for parent in [p for p in budget if len(p) == k]:
-            kids = {p[k]: (WEIGHT[level].get(p[k], 1), c) for p, c in cap.items() if len(p) == k + 1 and p[:k] == parent}
+            kids = {p[k]: (weight[level].get(p[k], 1), c) for p, c in cap.items() if len(p) == k + 1 and p[:k] == parent}
             budget |= {(*parent, name): b for name, b in fill(budget[parent], kids).items()}
     out = []
     for leaf in {d[0] for d in docs}:
@@ -72,6 +77,37 @@ def test_op7_loop(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "weight",
+    [
+        {"domain": {"d1": 0, "other": 0}, "lang": {"en": 4}, "source": {}},
+        {"domain": {"d0": 2}, "lang": {"en": 0, mixing.NONE: 0}, "source": {"src1": 0, "src7": 3}},
+        {"domain": {"d0": 4}, "lang": {x: 0 for x in ("en", "xx", "yy")}, "source": {f"src{i}": 0 for i in range(0, 20, 2)}},
+        {"domain": {x: 0 for x in ("d0", "d1", "d2", "d3", "other")}, "lang": {}, "source": {}},
+    ],
+)
+def test_op7_weights_of_zero(spark, weight):
+    rows = [(i, "w " * (1 + i % 37) + str(i), ["en", "xx", "yy", None][i % 4], f"src{i % 19}" if i % 11 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+    def weights(level, name):
+        out = F.lit(1)
+        for k, v in weight[level].items():
+            out = F.when(name == k, v).otherwise(out)
+        return out.cast("long")
+
+    for fraction in ((1, 2), (1, 20), (9, 10)):
+        got = mixing.mix(df, fraction, 2, 7, weights).select("doc_id", "epoch", "mix_tokens").collect()
+        assert sorted((tuple(r) for r in got), key=str) == expected(rows, fraction, 2, 7, weight)
+
+
+@pytest.mark.parametrize("wrong", [None, -1])
+def test_op7_weights_that_are_errors(spark, wrong):
+    df = spark.createDataFrame([(1, "a b", "en", "src1")], "doc_id long, text string, lang string, source string")
+    with pytest.raises(PySparkException, match="must be 0 or more"):
+        mixing.mix(df, weights=lambda level, name: F.lit(wrong).cast("long") if level == "lang" else F.lit(1).cast("long")).collect()
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.by_language(spark, docs, SF).cache()
