@@ -4,13 +4,15 @@ import base64
 import json
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelquery.functions.vector import l2_norm
 from reelquery.operators.cells import cell_cosine, fit_cells, nearest_cell
 from reelquery.operators.staging import staged
 
+#: Why rows are set aside, in the order in which they are looked at.
+REASONS = ("missing", "dims", "value", "zero")
 INDEX_DDL = "doc_id string, video_id string, timestamp_sec double, center_frame int, embedding array<float>, norm double"
 
 
@@ -70,6 +72,7 @@ class IndexTable:
 
     def __init__(self, spark: SparkSession, name: str = "video_index", dims: int = 512, buckets: int = BUCKETS):
         self.spark, self.name, self.dims, self.data, self.buckets = spark, name, dims, f"{name}_data", buckets
+        self.counts: dict[str, int] = {}
 
     def create(self) -> bool:
         """Creates the table unless it is there (whatever its dims); True if it was created."""
@@ -137,7 +140,8 @@ class IndexTable:
         """Upserts ``(video_id, center_frame, timestamp_sec, embedding[, ord])``; returns the quarantined rows.
 
         Without ``ord``, of rows with one key the one that sorts last counts.  The quarantined rows of the last batch stay in
-        ``<name>_quarantine``.  ``stream``: a stream's name and the number of its micro-batch, noted by the same step that shows the rows; a
+        ``<name>_quarantine``; ``counts`` has the rows of the batch and how many were set aside for each reason, counted while it was evaluated.
+        ``stream``: a stream's name and the number of its micro-batch, noted by the same step that shows the rows; a
         number that is noted already, or an earlier one, changes nothing.
         """
         ledger = self.ledger()
@@ -147,7 +151,10 @@ class IndexTable:
             ledger[stream[0]] = stream[1]
         if "ord" not in batch.columns:
             batch = batch.withColumn("ord", F.lit(0).cast("long"))
-        with staged(with_reason(batch, self.dims)) as judged:
+        seen = Observation()
+        counts = [F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col("reason") == r).alias(r) for r in REASONS]]
+        with staged(with_reason(batch, self.dims).observe(seen, *counts)) as judged:
+            self.counts = seen.get
             bad = judged.filter(F.col("reason").isNotNull())
             bad.write.format("parquet").mode("overwrite").saveAsTable(f"{self.name}_quarantine")
             video = F.col("video_id").cast("string")

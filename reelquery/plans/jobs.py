@@ -172,8 +172,7 @@ def index_corpus(
         scenes = scenes_of(frames.select("video_id", "frame_idx", "fps", "score"), threshold, min_frames)
         encoded = frames.filter(F.col("embedding").isNotNull()).drop("score")
         bad.append(stage(table.write(video_embeddings(encoded, scenes, None, method))))
-        reasons = {r["reason"]: r["count"] for r in bad[-1].groupBy("reason").count().collect()}  # a row a reason
-        log.info("wave %d is indexed; quarantined: %s", n, reasons or "none")
+        log.info("wave %d is indexed: %s", n, ", ".join(f"{k} {v}" for k, v in table.counts.items()))
         stage_of.drop(n)
 
     for n in stage_of.left():

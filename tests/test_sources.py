@@ -117,3 +117,30 @@ def test_a_stream_restarted_from_an_old_checkpoint(spark, tmp_path):
     ingest.upsert_stream(spark.readStream.schema(schema).parquet(source), t, str(tmp_path / "two"), name="s").awaitTermination()
     assert seen(t) == {"a": 7.0, "b": 1.0}
     t.delete()
+
+
+def test_errors_are_counted_while_a_batch_is_evaluated(spark, tmp_path):
+    t = store.IndexTable(spark, "counts_index_test", 2, 4)
+    t.delete()
+    t.create()
+    log = str(tmp_path / "log")
+
+    @F.udf("array<double>")
+    def counted(v):
+        with open(log, "a") as f:
+            f.write("x")
+        return v
+
+    vectors = [[1.0, 2.0], None, [1.0], [0.0, 0.0], [float("nan"), 1.0], [3.0, 0.0], [0.0, 0.0]]
+    batch = spark.createDataFrame([("a", i, 0.0, v) for i, v in enumerate(vectors)], "video_id string, center_frame int, timestamp_sec double, embedding array<double>")
+    bad = t.write(batch.withColumn("embedding", counted("embedding")))
+    assert t.counts == {"rows": 7, "missing": 1, "dims": 1, "value": 1, "zero": 2}
+    assert bad.count() == 5 and len(open(log).read()) == 7
+    t.write(rows(spark, []))
+    assert t.counts == {"rows": 0, "missing": 0, "dims": 0, "value": 0, "zero": 0}
+    t.write(batch.filter("false"))
+    assert t.counts["rows"] == 0
+    batch.write.parquet(str(tmp_path / "in"))
+    ingest.upsert_stream(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in")), t, str(tmp_path / "c")).awaitTermination()
+    assert t.counts["rows"] == 7
+    t.delete()
