@@ -1,19 +1,29 @@
 """Line dedup by deletion neighbourhoods.
 
-Lines are the parts of a text between line feeds.  A line goes if an earlier line of the corpus equals it, or lies within one word of
-it (one word inserted, deleted or replaced, letter case and blanks aside) and both have ``LEAST`` words or more.
+Lines are the parts of a text between line feeds.  A line goes if an earlier line of the corpus equals it or is near to it.
 Earlier means a smaller (doc_id, line number) of the line's first occurrence; whether the earlier line itself goes does not matter.
 Lines without words stay, and so does the order of the rest.
 
-The distance is counted in words: the neighbourhood of a line of some hundred characters would be as many keys, which at
-this scale no shuffle bears.  Even so a line's variants are emitted in two sizes, without losing a pair:
+The bound is one edit (a unit inserted, deleted or replaced, letter case and amount of blanks aside) in lines long enough for it to be small:
+
+* level 0: the units are words, and each character of a script written without blanks (``UNSPACED``) is a word.  Both
+  lines have ``LEAST`` words or more: at most one word in 8 differs.
+* level 1: the units are characters.  Both lines have ``LEAST`` + 1 words or fewer, and ``CHARS`` characters or more: at most one
+  character in 16 differs.
+
+Lines are near if they are so at either level; the levels overlap, as one character can make or join words.  Lines of fewer words than
+LEAST and fewer characters than CHARS ("Page 12") have no near lines: the least edit is more of them than the bound.
+
+Long lines are not compared by characters: the neighbourhood of a line of some hundred characters would be as many keys, which at
+this scale no shuffle bears.  Even so a line's variants are emitted in two sizes, without losing a pair.  What is said of words below
+holds for characters at level 1; keys of the two levels differ, by their lowest bit:
 
 * A word whose hash ends in three zero bits begins a block.  Lines of ``MANY`` blocks or more emit the line without each block,
   without each two blocks in a row, and whole: one edited word changes one block, or joins or parts two, so what is
   left is equal on both sides.  A line of n words emits about n / 4 keys.
 * Lines of up to ``MANY`` blocks emit the line without each word, and whole.
 
-Before that the halves of all lines are hashed: two lines within one word of each other share the first or the last half (see
+Before that the halves of all lines are hashed: two lines within one unit of each other share the first or the last half (see
 ``half_keys``), so only lines that share one emit variants.  Most lines of a corpus share none, which saves most of the keys.
 
 An edit changes the number of blocks by one at most, so both lines of a pair have MANY blocks or more, or both MANY or fewer.  Keys met in one
@@ -28,6 +38,7 @@ their lines: of repeated rows, all keep or lose the same lines.  Columns ``lines
 travel along.  An empty table gives no rows.
 """
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,13 +49,36 @@ from pyspark.sql import functions as F
 from reelquery.llm.common import saved
 from reelquery.llm.ngrams import _mixed, grouped, word_hashes
 
-LEAST, MANY, PAIRWISE, HOT = 8, 4, 8, 2000
+LEAST, CHARS, MANY, PAIRWISE, HOT = 8, 16, 4, 8, 2000
+#: Scripts written without blanks (Thai, Lao, Tibetan, Burmese, Khmer, Han, kana) and their marks.
+UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3001-\u312f\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff9f\U00020000-\U0003ffff"
+_UNSPACED = re.compile(f"[{UNSPACED}]")
+_WORD = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
 LAST_ID = 2**63 - 1
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 BATCH_WORDS = 200_000
 
 
+def form(line: str, level: int) -> list[str]:
+    """The units of a line: its words, or its characters with each run of blanks as one."""
+    low = line.lower()
+    if level:
+        return list(" ".join(low.split()))
+    return low.split() if low.isascii() or not _UNSPACED.search(low) else _WORD.findall(low)
+
+
+def forms(line: str) -> list[tuple[int, list[str]]]:
+    """The levels at which a line can have near lines, with its units."""
+    words = form(line, 0)
+    out = [(0, words)] if len(words) >= LEAST else []
+    if len(words) <= LEAST + 1:
+        chars = form(line, 1)
+        if len(chars) >= CHARS:
+            out.append((1, chars))
+    return out
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n + 1, base, dtype=np.uint64)
     out[0] = 1
@@ -93,10 +127,10 @@ def variants(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def half_keys(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(key, h)``: the halves of every line of LEAST words or more, ``h`` naming the line.
+    """``(key, h)``: the halves of every line that can have near lines, ``h`` naming the line.
 
-    If one word is inserted, deleted or replaced, what lies before it or what lies behind it is half a line: of the n words of the
-    longer line, the first or the last (n - 1) // 2 are the first or last ones of the other, and n // 2 if both have n words.
+    If one unit is inserted, deleted or replaced, what lies before it or what lies behind it is half a line: of the n units of the
+    longer line, the first or the last (n - 1) // 2 are the first or last ones of the other, and n // 2 if both have n units.
     """
     import xxhash
 
@@ -115,7 +149,7 @@ def half_keys(docs: DataFrame, text: str = "text") -> DataFrame:
         for b in batches:
             for t in b.column(0):
                 for raw in (t.as_py() or "").split("\n"):
-                    if len(raw) < 2 * LEAST - 1:
+                    if len(raw) < LEAST:
                         continue
                     h = xxhash.xxh64_intdigest(raw.encode(), 42)
                     if h in seen:
@@ -123,13 +157,11 @@ def half_keys(docs: DataFrame, text: str = "text") -> DataFrame:
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(h)
-                    w = raw.lower().split()
-                    n = len(w)
-                    if n < LEAST:
-                        continue
-                    for m in {n // 2, (n - 1) // 2}:
-                        keys += key(" ".join(w[:m])), key(" ".join(w[n - m :]), 1)
-                        names += h, h
+                    for level, w in forms(raw):
+                        n = len(w)
+                        for m in {n // 2, (n - 1) // 2}:
+                            keys += key(" ".join(w[:m]), 2 * level), key(" ".join(w[n - m :]), 2 * level + 1)
+                            names += h, h
                 if len(keys) > BATCH_WORDS:
                     yield flush()
         if keys:
@@ -139,26 +171,29 @@ def half_keys(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def line_keys(found: DataFrame) -> DataFrame:
-    """``(key, h)``: the variants of the lines ``(h, line)`` of LEAST words or more."""
+    """``(key, h)``: the variants of the lines ``(h, line)`` at their levels; the lowest bit of a key is the level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[str] = []
         sizes: list[int] = []
         names: list[int] = []
+        level: list[int] = []
 
         def flush() -> pa.RecordBatch:
             starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
             key, at = variants(word_hashes(words), starts)
             h = np.array(names, dtype=np.int64)[at]
-            words.clear(), sizes.clear(), names.clear()
+            key = (key & ~np.uint64(1)) | np.array(level, dtype=np.uint64)[at]
+            words.clear(), sizes.clear(), names.clear(), level.clear()
             return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h)], names=["key", "h"])
 
         for b in batches:
             for h, line in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                w = line.as_py().lower().split()
-                words += w
-                sizes.append(len(w))
-                names.append(h)
+                for k, w in forms(line.as_py()):
+                    words += w
+                    sizes.append(len(w))
+                    names.append(h)
+                    level.append(k)
                 if len(words) > BATCH_WORDS:
                     yield flush()
         if words:
@@ -195,7 +230,7 @@ def shared_keys(keys: DataFrame) -> DataFrame:
 
 
 def within_one(a: list[str], b: list[str]) -> bool:
-    """True if one word inserted, deleted or replaced, or none, turns a into b."""
+    """True if one unit inserted, deleted or replaced, or none, turns a into b."""
     if abs(len(a) - len(b)) > 1:
         return False
     i, n = 0, min(len(a), len(b))
@@ -246,7 +281,7 @@ def near_lines(rows: DataFrame) -> DataFrame:
         for g in grouped(batches):
             d = g.to_pydict()
             order = sorted(range(g.num_rows), key=lambda i: (d["doc"][i], d["ln"][i], d["h"][i]))
-            lines = [d["line"][i].lower().split() for i in order]
+            lines = [form(d["line"][i], d["key"][0] & 1) for i in order]
             out += [d["h"][order[j]] for j in _later(lines)]
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["h"])
@@ -257,7 +292,7 @@ def near_lines(rows: DataFrame) -> DataFrame:
 
 
 def near_lines_of_hot_keys(rows: DataFrame) -> DataFrame:
-    """The same for groups of any size: ``(h, doc, ln, line)`` to the ``h`` of lines within one word of an earlier one.
+    """The same for groups of any size: ``(h, doc, ln, line, level)`` to the ``h`` of lines within one unit of an earlier one.
 
     Every line emits its one-word variants under 128 bits, of three kinds: 0 without word i, for the lines that have another
     word there; 1 whole; 2 without a word.  Kind 0 meets kind 0, kind 1 meets kind 2.  Only minima per key are needed, which
@@ -269,12 +304,12 @@ def near_lines_of_hot_keys(rows: DataFrame) -> DataFrame:
             for lo in range(0, whole.num_rows, 1000):
                 b = whole.slice(lo, 1000)
                 at, key, kind = [], [], []
-                for i, line in enumerate(b.column(3).to_pylist()):
-                    full, gone = one_word(line.lower().split())
+                for i, (line, level) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+                    full, gone = one_word(form(line, level))
                     n = len(gone)
                     at += [i] * (2 * n + 1)
                     kind += [0] * n + [1] + [2] * n
-                    key += [(g, k + 1) for k, g in enumerate(gone)] + [(full, 0)] + [(g, 0) for g in gone]
+                    key += [(g, 2 * k + 2 + level) for k, g in enumerate(gone)] + [(full, level)] + [(g, level) for g in gone]
                 with np.errstate(over="ignore"):
                     base, place = (np.array([k[j] for k in key], dtype=np.uint64) for j in (0, 1))
                     x, y = _mixed(base + place * np.uint64(_BASE)), _mixed(base ^ (place + np.uint64(77)) * np.uint64(_BACK))
@@ -282,7 +317,7 @@ def near_lines_of_hot_keys(rows: DataFrame) -> DataFrame:
                 cols = [pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(kind, pa.int32()), *(b.column(j).take(pa.array(at)) for j in range(3))]
                 yield pa.RecordBatch.from_arrays(cols, names=["x", "y", "kind", "h", "doc", "ln"])
 
-    keys = saved(rows.select("h", "doc", "ln", "line").mapInArrow(run, "x long, y long, kind int, h long, doc long, ln int"))
+    keys = saved(rows.select("h", "doc", "ln", "line", "level").mapInArrow(run, "x long, y long, kind int, h long, doc long, ln int"))
     own = F.struct("doc", "ln", "h")
     first = keys.groupBy("x", "y").agg(*[F.min(F.when(F.col("kind") == k, own)).alias(f"m{k}") for k in range(3)])
     met = keys.join(first, ["x", "y"])
@@ -310,7 +345,8 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     near = near_lines(shared.join(size.filter(F.col("members") <= HOT), "key").join(found, "h"))
     hot = size.filter(F.col("members") > HOT)
     if not hot.isEmpty():
-        near = near.unionByName(near_lines_of_hot_keys(found.join(shared.join(hot, "key").select("h").distinct(), "h"))).distinct()
+        at = shared.join(hot, "key").select("h", F.col("key").bitwiseAND(F.lit(1)).cast("int").alias("level")).distinct()
+        near = near.unionByName(near_lines_of_hot_keys(found.join(at, "h"))).distinct()
     near = saved(near, shared, size, found)
     state = first.join(near.withColumn("near", F.lit(True)), "h", "left").select("h", F.col("doc").alias("_d"), F.col("ln").alias("_l"), F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.join(state, "h").filter(F.col("near") | (F.col("doc") != F.col("_d")) | (F.col("ln") != F.col("_l")))

@@ -32,15 +32,19 @@ gaps AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS x, a
 kept AS (SELECT r, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) || substr(any_value(h), 2 * max(b) + 1) AS k, count(*) AS n, sum(b - y) AS m FROM gaps JOIN raw USING (r) GROUP BY r)
 SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(m, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM raw LEFT JOIN kept USING (r)"""
 
-LINES = """WITH l AS (SELECT doc_id, text, unnest(ls) AS line, generate_subscripts(ls, 1) AS ln FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+# fixed values: blanks, and scripts written without them
+_BLANK = "\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+_UNSPACED = "\\x{0E00}-\\x{0FFF}\\x{1000}-\\x{109F}\\x{1780}-\\x{17FF}\\x{2E80}-\\x{2FDF}\\x{3001}-\\x{312F}\\x{31F0}-\\x{31FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{FF01}-\\x{FF9F}\\x{20000}-\\x{3FFFF}"
+LINES = f"""WITH l AS (SELECT doc_id, text, unnest(ls) AS line, generate_subscripts(ls, 1) AS ln FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
 f AS (SELECT line, min(struct_pack(d := doc_id, n := ln)) AS o FROM l WHERE regexp_matches(line, '[^ \\t\\r]') GROUP BY 1),
-w AS (SELECT line, o, regexp_extract_all(lower(line), '[^\\s]+') AS w FROM f),
-v AS (SELECT line, o, i, hash(list_concat(w[: i - 1], w[i + 1 :])) AS k FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w WHERE len(w) >= 8)),
-put AS (SELECT i, k, min(o) AS o FROM v GROUP BY 1, 2),
-less AS (SELECT k, min(o) AS o FROM v GROUP BY 1),
-whole AS (SELECT hash(w) AS k, min(o) AS o FROM w WHERE len(w) >= 8 GROUP BY 1),
-near AS (SELECT v.line FROM v JOIN put USING (i, k) WHERE put.o < v.o UNION SELECT v.line FROM v JOIN whole USING (k) WHERE whole.o < v.o
-  UNION SELECT w.line FROM w JOIN less ON less.k = hash(w.w) WHERE len(w.w) >= 8 AND less.o < w.o UNION SELECT w.line FROM w JOIN whole ON whole.k = hash(w.w) WHERE len(w.w) >= 8 AND whole.o < w.o),
+u AS (SELECT line, o, regexp_extract_all(lower(line), '[{_UNSPACED}]|[^{_BLANK}{_UNSPACED}]+') AS u, array_to_string(regexp_extract_all(lower(line), '[^{_BLANK}]+'), ' ') AS c FROM f),
+w AS (SELECT line, o, 0 AS lv, u AS w FROM u WHERE len(u) >= 8 UNION ALL SELECT line, o, 1, regexp_extract_all(c, '(?s).') FROM u WHERE len(u) <= 9 AND length(c) >= 16),
+v AS (SELECT line, o, lv, i, hash(list_concat(w[: i - 1], w[i + 1 :])) AS k FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w)),
+put AS (SELECT lv, i, k, min(o) AS o FROM v GROUP BY ALL),
+less AS (SELECT lv, k, min(o) AS o FROM v GROUP BY ALL),
+whole AS (SELECT lv, hash(w) AS k, min(o) AS o FROM w GROUP BY ALL),
+near AS (SELECT v.line FROM v JOIN put USING (lv, i, k) WHERE put.o < v.o UNION SELECT v.line FROM v JOIN whole USING (lv, k) WHERE whole.o < v.o
+  UNION SELECT w.line FROM w JOIN less ON less.k = hash(w.w) AND less.lv = w.lv WHERE less.o < w.o UNION SELECT w.line FROM w JOIN whole ON whole.k = hash(w.w) AND whole.lv = w.lv WHERE whole.o < w.o),
 judged AS (SELECT l.*, f.o IS NOT NULL AND (f.o <> struct_pack(d := doc_id, n := ln) OR near.line IS NOT NULL) AS gone FROM l LEFT JOIN f USING (line) LEFT JOIN near USING (line)),
 left_over AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS g, string_agg(line, chr(10) ORDER BY ln) FILTER (WHERE NOT gone) AS t FROM judged GROUP BY 1)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(g, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents LEFT JOIN left_over USING (doc_id)"""

@@ -1,11 +1,15 @@
 """Operator 9 against brute force."""
 
+import re
+
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
 from reelquery.llm import lines
 
+WORD = re.compile(r"[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3001-\u312f\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff9f\U00020000-\U0003ffff]|[^\s\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3001-\u312f\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff9f\U00020000-\U0003ffff]+")
+
 
 def brute(rows):
     places = sorted((i if i is not None else lines.LAST_ID, n, x) for i, t in rows if t is not None for n, x in enumerate(t.split("\n")) if x.strip())
@@ -14,11 +18,12 @@ def brute(rows):
         first.setdefault(x, (d, n))
     gone, seen = set(), []
     for x, at in sorted(first.items(), key=lambda p: p[1]):
-        w = x.lower().split()
-        if len(w) >= lines.LEAST and any(lines.within_one(v, w) for v in seen):
+        w = WORD.findall(x.lower())
+        c = re.sub(r"\s+", " ", x.lower()).strip()
+        mine = (w if len(w) >= 8 else None, list(c) if len(w) <= 9 and len(c) >= 16 else None)
+        if any(a is not None and b is not None and lines.within_one(a, b) for other in seen for a, b in zip(other, mine, strict=True)):
             gone.add(x)
-        if len(w) >= lines.LEAST:
-            seen.append(w)
+        seen.append(mine)
     out = []
     for i, t in rows:
         if t is None:
@@ -70,6 +75,7 @@ def test_hot_line(spark):
 def test_groups_that_are_not_gathered(spark, monkeypatch):
     monkeypatch.setattr(lines, "HOT", 5)
     test_random_edits(spark)
+    test_random_edits_of_characters(spark)
     test_hot_line(spark)
 
 
@@ -79,6 +85,37 @@ def test_edges(spark):
     assert lines.dedup(empty).count() == 0
 
 
+def test_short_and_unspaced_lines(spark):
+    han = "本网站的所有内容均受版权法保护，未经许可不得转载。"
+    pairs = [
+        (han, han.replace("不得", "不能")), (han + "甲", han[:-1] + "甲"), (han, "《" + han), ("สงวนลิขสิทธิ์ตามกฎหมาย", "สงวนลิขสิทธิตามกฎหมาย"),
+        ("all of our rights are reserved", "all of our rights are reserved."), ("All  rights reserved worldwide", "all rights reserved, worldwide"),
+        ("one two three four five six seven eight", "one two three four five six seveneight"), ("a1 漢 b2 c3 d4 e5 f6 longer word", "a1 漢 b2 c3 d4 e5 f6 longer wo字d"),
+    ]
+    # each pair begins with its own number, twice, so that pairs stay apart
+    rows = [(2 * i + j, f"{chr(97 + i) * 9}{x}") for i, p in enumerate(pairs) for j, x in enumerate(p)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = [r["doc_id"] for r in lines.dedup(df).filter("lines_removed = 1").collect()]
+    assert compare(spark, rows) == len(gone)
+    assert set(range(1, 14, 2)) <= set(gone)
+    kept = [("Page 12", "Page 13"), ("短い行です", "短い行だ"), ("all rights reserved by us", "all rights reserved by them"), (han, han.replace("不得", "能转")), ("a b c d e f g", "a b c d e f g h")]
+    assert compare(spark, [(i, x) for i, p in enumerate(kept) for x in p]) == 0
+
+
+def test_random_edits_of_characters(spark):
+    rng = np.random.default_rng(8)
+    letters = list("abcde  ") + list("漢字仮名กข")
+    base = ["".join(rng.choice(letters[: 7 if rng.integers(0, 2) else 13], rng.integers(8, 40))) for _ in range(60)]
+    rows = []
+    for d in range(250):
+        x = list(base[rng.integers(0, len(base))])
+        for _ in range(rng.integers(0, 3)):
+            i = int(rng.integers(0, len(x)))
+            x[i : i + int(rng.integers(0, 2))] = [letters[rng.integers(0, 13)]] * int(rng.integers(0, 2))
+        rows.append((d, "".join(x)))
+    assert compare(spark, rows) > 60
+
+
 def test_every_pair_shares_a_key():
     rng = np.random.default_rng(6)
     for _ in range(400):
