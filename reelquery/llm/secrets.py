@@ -17,6 +17,12 @@ literal is scored by its target's sensitive words, its length and its variety, a
 that reaches a sensitive name later is reported where it was written.  A literal is a span, and a joined one a list of literals,
 never a copy, so the work is in proportion to the text whatever it holds.
 
+What a name is given is no literal if it is an expression: a call, an index, or dotted names without digits (``os.environ``).  The quoted
+alternatives of an expression are: ``c ? "..." : "..."``, ``x || "..."``, ``x ?? "..."`` and, after ``=``, ``x or "..."`` and ``"..." if c else "..."``;
+each counts on its own and none is carried.  Under a sensitive name the lines of a YAML block scalar are its parts, and the value of a nested
+key such as ``value`` or ``default`` is its own (``{"password": {"value": "..."}}``, and the same by indentation).  ``<name>...</name>`` without blanks,
+and ``name="..." value="..."`` within an element, are pairs too.
+
 Every text is read whole; null counts as empty.  Spans may overlap across kinds.  Repeated rows give equal rows; an empty table gives
 none; columns other than ``secret_spans`` travel along.
 """
@@ -25,6 +31,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,6 +59,20 @@ _TOKEN = re.compile(rf"""(?<![A-Za-z0-9_]){_STRING}|(?P<name>[A-Za-z0-9_.$@-]+)|
 _NAME = re.compile(r"[A-Za-z0-9_.$@-]+")
 _TYPED = re.compile(r"[ \t]*[A-Za-z_][A-Za-z0-9_.]*(?:\[[^\[\]\n=:]*\])?[ \t]*=(?![=>])")
 _BLANK = re.compile(r"[ \t]*")
+_EXPRESSION = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*[(\[]|[A-Za-z_]+(?:\.[A-Za-z_]+)+(?![A-Za-z0-9+/_.=@$-])")
+#: What stands before a quoted alternative: a bounded stretch of brackets, strings and the rest.
+_BEFORE = r"""(?:\([^()\n]{0,150}\)|\[[^\[\]\n]{0,150}\]|"[^"\n]{0,100}"|'[^'\n]{0,100}'|[^\n?|;{},()\[\]"'`]){0,60}?"""
+_CHOICE = re.compile(_BEFORE + r"""(?:\?\??|\|\|)[ \t]*(?=["'`])""")
+_CHOICE_WORD = re.compile(_BEFORE + r"""(?:(?:\?\??|\|\|)|(?<![A-Za-z0-9_])(?:or|else))[ \t]*(?=["'`])""")
+_OTHER = re.compile(r"""[ \t]*(?::|\?\?|\|\||or(?=[ \t]))[ \t]*(?=["'`])""")
+# fixed values: keys that hold the value of the name above them
+_HOLDER = r"""["']?(?:value|default|data|content|plain|plaintext|plain_text|string|literal)["']?[ \t]*[:=][ \t]*"""
+_NESTED = re.compile(r"""\s{0,80}\{\s{0,80}(?:["']?[A-Za-z_]+["']?[ \t]*[:=][ \t]*(?:"[^"\n]{0,100}"|'[^'\n]{0,100}'|[A-Za-z0-9_.]{1,50})[ \t]*,?\s{0,80}){0,8}?""" + _HOLDER)
+_INDENTED = re.compile(r"[ \t]*\n([ \t]+)" + _HOLDER)
+_BLOCK = re.compile(r"[ \t]*[|>][0-9+-]{0,2}[ \t]*\n")
+_BLOCK_LINE = re.compile(r"([ \t]*)([^\n]*?)[ \t\r]*(?:\n|\Z)")
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]{0,80})(?:[ \t][^<>\n]{0,200})?>\s{0,80}([^<>\s]+)\s{0,80}</\1>")
+_ATTRIBUTES = re.compile(r"""(?<![A-Za-z0-9_-])(?:key|name|id)=["']([^"'\n<>]{1,80})["'][ \t]+(?:value|content)=["']([^"'\n<>]+)["']""")
 _BARE = re.compile(r"[A-Za-z0-9_$][A-Za-z0-9+/_.@$-]*(?:={1,2}(?![A-Za-z0-9+/_.=@$-]))?")
 _REFERENCE = re.compile(r"""(["']?)\$(?:\{([A-Za-z_][A-Za-z0-9_]*)\}|([A-Za-z_][A-Za-z0-9_]*))\1(?![A-Za-z0-9+/_.=@${"'-])""")
 _LINE_START = re.compile(r"""[ \t]*(?:(?:export|set|-)[ \t]+)?["']?""")
@@ -121,6 +142,37 @@ class Lexer:
             at = text.find("\n", m.start())
             at = yield from self._line(line, at if at >= 0 else len(text), True)
 
+    def elements(self) -> Iterator[tuple[str, Literal]]:
+        """The pairs of elements and of attributes."""
+        if "<" in self.text:
+            for pattern in (_ELEMENT, _ATTRIBUTES):
+                for m in pattern.finditer(self.text):
+                    yield m[1], Literal(self.text, m.span(2))
+
+    def _choices(self, at: int, end: int, words: bool) -> Iterator[Literal]:
+        """The quoted alternatives of the expression at ``at`` on its line."""
+        m = (_CHOICE_WORD if words else _CHOICE).match(self.text, at, end)
+        while m and (q := _QUOTED.match(self.text, m.end(), end)):
+            k = q.lastindex
+            if k and q.end(k) > q.start(k):
+                yield Literal(self.text, q.span(k))
+            m = _OTHER.match(self.text, q.end(), end)
+
+    def _under(self, at: int, column: int) -> Literal | None:
+        """The value that stands below a name in ``column``, whose operator ends at ``at``: a block of lines, or a nested key's."""
+        text = self.text
+        if m := _BLOCK.match(text, at):
+            parts, z = [], m.end()
+            while z < len(text) and (m := _BLOCK_LINE.match(text, z)) and (len(m[1]) > column or not m[2]):
+                if m[2]:
+                    parts.append(Literal(text, m.span(2)))
+                z = m.end()
+            return parts[0] if len(parts) == 1 else Literal(parts=tuple(parts)) if parts else None
+        m = _NESTED.match(text, at) or _INDENTED.match(text, at)
+        if m and (m.re is _NESTED or len(m[1]) > column):
+            return self._literal(m.end(), len(text))[0]
+        return None
+
     def _line(self, at: int, end: int, outer: bool) -> Iterator[tuple[str, Literal]]:
         text, start, first = self.text, at, True
         carry = not _COMMENT.match(text, at, end)
@@ -135,6 +187,10 @@ class Lexer:
                 if name and m["op"] in ("=", ":", "=>", ":="):
                     typed = _TYPED.match(text, at, end) if m["op"] == ":" else None
                     value, stop = self._literal(_BLANK.match(text, typed.end() if typed else at).end(), len(text) if outer else end)
+                    if outer:
+                        if not value and sensitivity(name) and (below := self._under(at, place - start)):
+                            yield name, below
+                        yield from ((name, x) for x in self._choices(stop if value else at, end, m["op"] == "="))
                 if value:
                     at = stop
                     if carry and value.quoted:
@@ -173,6 +229,8 @@ class Lexer:
                 k = m.lastindex
                 if k and m.end(k) > m.start(k):
                     parts.append(Literal(text, m.span(k)))
+            elif _EXPRESSION.match(text, at, end):
+                break
             elif m := _BARE.match(text, at, end):
                 if m[0] in self.constants:
                     parts.append(self.constants[m[0]])
@@ -200,7 +258,8 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         out |= {("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 20}
     out |= {("hex", *m.span()) for m in HEX.finditer(text)}
-    for name, value in Lexer(text).assignments():
+    lexer = Lexer(text)
+    for name, value in chain(lexer.assignments(), lexer.elements()):
         if score(name, value) >= THRESHOLD:
             value.tell(out)
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
