@@ -4,12 +4,16 @@ Words are runs of letters (Unicode category L) of one script.  The script (by th
 log-frequencies of its hashed character n-grams (2 to 4, word ends marked); a Viterbi pass with a switching
 penalty labels the words, and runs of one label are spans.  A text's language is the one with most letters.
 
+Two measures tell how far to trust it, both from 0 to 1.  The score is the share of letters in that language.  The fit says whether
+they look like text of it at all: the share of a word's n-grams that are commoner in the language than chance (one in CELLS) would
+have it, 0 for a word of a script that the language does not use; the mean over the words with the language's label, by letters.
+
 ``fit`` learns from ``text`` and ``lang`` of the rows it is given.  It may use a bounded sample: at most about
 ``sample`` rows, chosen by a hash of the text; gram counts and script shares are aggregated in the cluster and
 the model has a fixed number of cells per language.  ``label`` covers every text whole.
 
-A null or empty text, or one without letters, is ``und`` with score 0 and no spans; so is every text if there was no labelled row to
-learn from.  A script that no learned language uses leaves all languages as candidates.  Ties go to the language that sorts first.
+A null or empty text, or one without letters, is ``und`` with score and fit 0 and no spans; so is every text if there was no labelled row to
+learn from.  A script that no learned language uses leaves all languages as candidates; its words fit them by collisions of hashes only (up to 0.1 or so).  Ties go to the language that sorts first.
 Equal texts get equal labels; an empty table gives no rows; other columns travel along.
 """
 
@@ -51,6 +55,7 @@ def _numbers(first: int, end: int) -> re.Pattern:
 #: apart, as a class that holds any is slow; there are none above.
 _ODD, _ODD_ABOVE, _ABOVE = _numbers(0, 0x10000), _numbers(0x10000, 0x20000), re.compile("[\U00010000-\U0010ffff]")
 FAR = -1e6
+_CHANCE = -np.log(CELLS)
 
 
 #: A letter beyond the Latin ranges: without one, all words are of one script.
@@ -87,7 +92,6 @@ def words_of(text: str) -> list[str]:
     return [text[a:z] for a, z in places_of(text)]
 
 
-
 def scripts_of(first: np.ndarray) -> np.ndarray:
     """Script numbers of code points."""
     at = np.searchsorted(_FIRST, first, side="right") - 1
@@ -123,12 +127,22 @@ class Model:
     table: np.ndarray  # CELLS x languages: log-frequencies
     allowed: np.ndarray  # scripts x languages
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
+    def judge(self, words: list[str]) -> np.ndarray:
+        """A row per word: its scores, then its fits, by language."""
         cells, owner = grams_of(words)
+        allowed = self.allowed[scripts_of(np.array([ord(w[0]) for w in words]))]
+        grams = np.maximum(np.bincount(owner, minlength=len(words)), 1)
+        common = [np.bincount(owner, self.table[cells, j] > _CHANCE, minlength=len(words)) / grams for j in range(len(self.langs))]
+        return np.hstack([self._scores(words, cells, owner, allowed), np.stack(common, axis=1) * allowed])
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        return self.judge(words)[:, : len(self.langs)]
+
+    def _scores(self, words: list[str], cells: np.ndarray, owner: np.ndarray, allowed: np.ndarray) -> np.ndarray:
         out = np.stack([np.bincount(owner, self.table[cells, j], minlength=len(words)) for j in range(len(self.langs))], axis=1)
         out -= out.max(axis=1, keepdims=True)
         out = np.maximum(out, -30.0)  # one odd word must not outweigh a sentence
-        return np.where(self.allowed[scripts_of(np.array([ord(w[0]) for w in words]))], out, FAR)
+        return np.where(allowed, out, FAR)
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = 20_000) -> Model:
@@ -191,10 +205,10 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
 
 
 class Labeller:
-    """Scores of words are kept in a bounded table."""
+    """Scores and fits of words are kept in a bounded table."""
 
     def __init__(self, model: Model):
-        self.model, self.kept, self.rows = model, {}, np.zeros((KEPT_WORDS + CHUNK_WORDS, len(model.langs)))
+        self.model, self.kept, self.rows = model, {}, np.zeros((KEPT_WORDS + CHUNK_WORDS, 2 * len(model.langs)))
 
     def scores(self, words: list[str]) -> np.ndarray:
         get = self.kept.get
@@ -207,23 +221,29 @@ class Labeller:
             self.kept.update(zip(new, range(n, n + len(new)), strict=True))
             for i in range(0, len(new), 10_000):
                 part = new[i : i + 10_000]
-                self.rows[n + i : n + i + len(part)] = self.model.word_scores(part)
+                self.rows[n + i : n + i + len(part)] = self.model.judge(part)
         return self.rows[np.fromiter(map(self.kept.__getitem__, words), dtype=np.int64, count=len(words))]
 
     def text_scores(self, words: list[str]) -> np.ndarray:
         parts = [self.scores(words[i : i + CHUNK_WORDS]) for i in range(0, len(words), CHUNK_WORDS)]
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
-    def label(self, text: str | None, words: list[str], scores: np.ndarray) -> tuple[str, float, list[tuple[int, int, str]]]:
-        """Language, share of letters in it, and spans."""
+    def label(self, text: str | None, words: list[str], judged: np.ndarray) -> tuple[str, float, float, list[tuple[int, int, str]]]:
+        """Language, share of letters in it, fit, and spans."""
         langs = self.model.langs
         if not words or not langs:
-            return "und", 0.0, []
-        labels = viterbi(scores)
+            return "und", 0.0, 0.0, []
+        labels = viterbi(judged[:, : len(langs)])
+        size = np.fromiter(map(len, words), dtype=np.float64, count=len(words))
+
+        def fit_of(j: int) -> float:
+            mine = size * (labels == j)
+            return float(np.clip(mine @ judged[:, len(langs) + j] / mine.sum(), 0.0, 1.0))
+
         if labels[0] == labels[-1] and (labels == labels[0]).all():
             first = text.index(words[0])
-            return langs[labels[0]], 1.0, [(first, text.rindex(words[-1]) + len(words[-1]), langs[labels[0]])]
-        letters = np.bincount(labels, np.array([len(w) for w in words]), minlength=len(langs))
+            return langs[labels[0]], 1.0, fit_of(labels[0]), [(first, text.rindex(words[-1]) + len(words[-1]), langs[labels[0]])]
+        letters = np.bincount(labels, size, minlength=len(langs))
         most = int(np.argmax(letters))
         spans, at = [], -1
         for (a, z), j in zip(places_of(text), labels, strict=True):
@@ -232,17 +252,17 @@ class Labeller:
             else:
                 spans.append((a, z, langs[j]))
                 at = j
-        return langs[most], float(letters[most] / letters.sum()), spans
+        return langs[most], float(letters[most] / letters.sum()), fit_of(most), spans
 
 
 def label(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds ``lang_pred string``, ``lang_score double`` and ``lang_spans array<struct<start, end, lang>>``.
+    """Adds ``lang_pred string``, ``lang_score double``, ``lang_fit double`` and ``lang_spans array<struct<start, end, lang>>``.
 
     Columns of these names are replaced.  No shuffle; the model (of fixed size per language) is broadcast.
     """
-    docs = docs.drop("lang_pred", "lang_score", "lang_spans")
+    docs = docs.drop("lang_pred", "lang_score", "lang_fit", "lang_spans")
     spans = "array<struct<start: int, end: int, lang: string>>"
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score"), F.lit(None).cast(spans).alias("lang_spans")).schema
+    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score"), F.lit(0.0).alias("lang_fit"), F.lit(None).cast(spans).alias("lang_spans")).schema
     at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
@@ -255,11 +275,11 @@ def label(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 texts = b.column(at).to_pylist()
                 words = [words_of(t) if t and known.model.langs else [] for t in texts]
                 flat = [w for x in words for w in x]
-                scores = known.text_scores(flat) if flat else np.zeros((0, len(known.model.langs)))
+                scores = known.text_scores(flat) if flat else np.zeros((0, 2 * len(known.model.langs)))
                 ends = np.cumsum([0, *map(len, words)])
                 got = [known.label(t, w, scores[i:j]) for t, w, i, j in zip(texts, words, ends, ends[1:], strict=False)]
-                made = pa.array([[dict(zip(("start", "end", "lang"), s, strict=True)) for s in g[2]] for g in got], arrow)
-                cols = [*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), made]
+                made = pa.array([[dict(zip(("start", "end", "lang"), s, strict=True)) for s in g[3]] for g in got], arrow)
+                cols = [*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64()), made]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
     return docs.mapInArrow(run, schema)

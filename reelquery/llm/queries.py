@@ -30,7 +30,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.filter(~language.held_out()))
     out = language.label(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", (F.col("lang_score") * F.col("lang_fit")).alias("score"), F.col("lang_score").alias("share"), F.col("lang_fit").alias("fit"))
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
