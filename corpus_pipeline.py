@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs.  All but the last return the columns of ``documents``.
 
-1. language: a labelling stage: ``lang`` becomes the language found.  Few texts go: those without letters, and those with no
-   language for at least 35 % of their letters (mixes of three languages or more; clean text in two languages must stay)
+1. language: ``lang`` becomes the language found.  Rejected are texts without letters, those with no language for at
+   least 35 % of their letters (mixes of three languages or more; clean text in two languages must stay), and those that do not look
+   like text of the language found (a fit below 0.3: random letters, scripts and languages that no row is labelled with)
 2. lines: repeated lines are cut out of the texts; texts of which nothing is left go; ``n_chars`` is counted again
 3. ngrams: of each group of near-duplicates the document with the smallest doc_id stays
 4. mixing: half of the tokens, divided among domains, languages and sources by weight, without repetitions
@@ -25,7 +26,7 @@ from reelquery.llm import language, lines, mixing, ngrams, pieces
 from reelquery.llm.common import saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_SHARE = 0.35
+LEAST_SHARE, LEAST_FIT = 0.35, 0.3
 MIX = ((1, 2), 1, 42)
 
 
@@ -33,7 +34,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if docs.filter("text is not null and lang is not null").isEmpty():
         return docs.select(COLUMNS).filter("false")
     out = language.label(docs.select(COLUMNS), language.fit(docs))
-    kept = out.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SHARE))
+    kept = out.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SHARE) & (F.col("lang_fit") >= LEAST_FIT))
     return kept.withColumn("lang", F.col("lang_pred")).select(COLUMNS)
 
 
